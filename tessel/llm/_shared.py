@@ -15,12 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 MEMO_WORDS = 400_000
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or a local folder where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessel-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    if not root:  # tests and single machines
+        root = _LOCAL_ROOTS.setdefault(spark.sparkContext.applicationId, "")
+        if not root:
+            root = _LOCAL_ROOTS[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessel-")
     return root.rstrip("/")
 
 

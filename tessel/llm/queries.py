@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessel.llm import quality
 from tessel.llm.packing import packing_digest
+from tessel.llm.pii import find_pii
+from tessel.llm.secrets import scan_secrets
+from tessel.llm.sharding import sharding_digest
 from tessel.llm.tokenfile import token_file_digest
 
 
@@ -18,12 +22,36 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(_docs(spark, sf_dir))
 
 
+def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(_docs(spark, sf_dir))
+
+
+def op3_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_docs(spark, sf_dir))
+
+
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_docs(spark, sf_dir))
+
+
 def op5_bit_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_docs(spark, sf_dir))
 
 
+def op7_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding_digest(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sum_of_squares_packing, op5_bit_packed_token_files)
+    f.__name__: f
+    for f in (
+        op1_sum_of_squares_packing,
+        op2_quality_cascade,
+        op3_secret_novelty,
+        op4_weak_supervision_pii,
+        op5_bit_packed_token_files,
+        op7_balanced_label_propagation,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality_cascade": quality.ORACLE_SQL}
