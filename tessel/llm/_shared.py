@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Distinct words that one Python worker remembers; later words are encoded anew each batch.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -47,7 +47,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 24 << 20):
+def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 12 << 20):
     """Slices of a batch whose text holds about `limit` bytes at most (one longer text stays whole)."""
     col = batch.column(column)
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
