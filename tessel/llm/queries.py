@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import quality
+from tessel.llm import decontam, neardup, quality
 from tessel.llm.packing import packing_digest
 from tessel.llm.pii import find_pii
 from tessel.llm.secrets import scan_secrets
@@ -38,10 +38,18 @@ def op5_bit_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_docs(spark, sf_dir))
 
 
+def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_docs(spark, sf_dir), n=2)
+
+
 def op7_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding_digest(_docs(spark, sf_dir))
 
 
+def op8_containment_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -50,8 +58,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_secret_novelty,
         op4_weak_supervision_pii,
         op5_bit_packed_token_files,
+        op6_circulant_minhash,
         op7_balanced_label_propagation,
+        op8_containment_decontamination,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_cascade": quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_cascade": quality.ORACLE_SQL,
+    "op6_circulant_minhash": neardup.ORACLE_SQL,
+    "op8_containment_decontamination": decontam.ORACLE_SQL,
+}
