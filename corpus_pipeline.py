@@ -1,4 +1,61 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, near duplicates, benchmark decontamination, secret scans, packing.
 
-STAGES: list = []
+Each stage reads all rows that its predecessor kept, written as Parquet, and its decisions take effect: documents that
+the quality rules reject, near copies but one of each group, and documents that hold a benchmark item go; secrets are
+replaced by a mark; what remains is packed into sequences. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessel.llm._shared import materialize
+from tessel.llm.decontam import drop_contaminated
+from tessel.llm.neardup import drop_near_duplicates
+from tessel.llm.packing import pack_documents
+from tessel.llm.quality import quality_cascade
+from tessel.llm.secrets import redact_secrets
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_cascade(docs).where("kept").select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
+]
+
+#: Compression and tokenizers are not SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all packed sequences."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm import decontam, neardup, quality
+from tessel.llm.langid import identify
 from tessel.llm.packing import packing_digest
 from tessel.llm.pii import find_pii
 from tessel.llm.secrets import scan_secrets
 from tessel.llm.sharding import sharding_digest
+from tessel.llm.substring import repeats_digest
 from tessel.llm.tokenfile import token_file_digest
 
 
@@ -50,6 +52,14 @@ def op8_containment_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontam.contained_items(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(_docs(spark, sf_dir))
+
+
+def op10_recurrent_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -61,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_circulant_minhash,
         op7_balanced_label_propagation,
         op8_containment_decontamination,
+        op9_suffix_array_dedup,
+        op10_recurrent_language_id,
     )
 }
 
