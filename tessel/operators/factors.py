@@ -14,7 +14,14 @@ from tessel.functions.windows import average_rank, by, pair_corr, positive_ln, r
 BASE = ("VALUE", "MOM_12_1", "QUALITY", "SIZE")
 ENHANCED = ("REVERSAL_1M", "VOL_1M", "ILLIQUIDITY")
 FACTORS = (*BASE, *ENHANCED)
-DAYS, MONTHS = by("symbol", order="date"), by("symbol", order="month_end")
+
+
+def days():
+    return by("symbol", order="date")
+
+
+def months():
+    return by("symbol", order="month_end")
 
 
 def dollar_volume(df: DataFrame) -> DataFrame:
@@ -25,31 +32,31 @@ def dollar_volume(df: DataFrame) -> DataFrame:
 
 def daily_windows(df: DataFrame) -> DataFrame:
     """Trailing statistics that factors are read from at a month's end."""
-    out = with_change(dollar_volume(df), "close", "ret_d", DAYS)
+    out = with_change(dollar_volume(df), "close", "ret_d", days())
     out = out.withColumn("__illiq", ratio(F.abs("ret_d"), F.col("dollar_vol")))
     return out.withColumns(
         {
-            "avg_dv_21": rolling(F.avg, F.col("dollar_vol"), DAYS, 21, 10),
-            "ma_252": rolling(F.avg, F.col("close"), DAYS, 252, 126),
-            "__mu": rolling(F.avg, F.col("ret_d"), DAYS, 63, 40),
-            "__sd": rolling(F.stddev_pop, F.col("ret_d"), DAYS, 63, 40),
-            "vol_21": rolling(F.stddev_pop, F.col("ret_d"), DAYS, 21, 15),
-            "illiq_21": rolling(F.avg, F.col("__illiq"), DAYS, 21, 15),
+            "avg_dv_21": rolling(F.avg, F.col("dollar_vol"), days(), 21, 10),
+            "ma_252": rolling(F.avg, F.col("close"), days(), 252, 126),
+            "__mu": rolling(F.avg, F.col("ret_d"), days(), 63, 40),
+            "__sd": rolling(F.stddev_pop, F.col("ret_d"), days(), 63, 40),
+            "vol_21": rolling(F.stddev_pop, F.col("ret_d"), days(), 21, 15),
+            "illiq_21": rolling(F.avg, F.col("__illiq"), days(), 21, 15),
         }
     ).withColumn("sharpe_3m", ratio(F.col("__mu"), F.col("__sd"))).drop("__illiq", "__mu", "__sd")
 
 
 def monthly_last(df: DataFrame) -> DataFrame:
     """The last bar of each symbol and month, with month_end (the calendar month's last day)."""
-    following = F.lead("date").over(DAYS)
+    following = F.lead("date").over(days())
     last = following.isNull() | (F.last_day(following) != F.last_day("date"))
     return df.withColumn("__last", last).where("__last").drop("__last").withColumn("month_end", F.last_day("date"))
 
 
 def with_monthly_returns(monthly: DataFrame) -> DataFrame:
     """ret_1m and fwd_1m_ret over traded months."""
-    out = with_change(monthly, "close", "ret_1m", MONTHS)
-    return out.withColumn("fwd_1m_ret", F.lead("ret_1m").over(MONTHS))
+    out = with_change(monthly, "close", "ret_1m", months())
+    return out.withColumn("fwd_1m_ret", F.lead("ret_1m").over(months()))
 
 
 def monthly_closes(df: DataFrame) -> DataFrame:
@@ -63,7 +70,7 @@ def raw_factors(df: DataFrame, enhanced: bool = True, month_end_mode: str = "str
     strict: a factor exists only where the calendar month's end was traded. last_bar: at each month's last bar.
     """
     m = with_monthly_returns(monthly_last(daily_windows(df)))
-    m = m.withColumn("MOM_12_1", ratio(F.lag("close", 1).over(MONTHS), F.lag("close", 12).over(MONTHS)) - 1)
+    m = m.withColumn("MOM_12_1", ratio(F.lag("close", 1).over(months()), F.lag("close", 12).over(months())) - 1)
     if month_end_mode == "strict":
         m = m.where("date = month_end")
     out = {

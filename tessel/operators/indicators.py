@@ -8,30 +8,33 @@ from pyspark.sql import functions as F
 
 from tessel.functions.windows import by, ratio, rolling, with_change
 
-DAYS = by("symbol", order="date")
+
+
+def days():
+    return by("symbol", order="date")
 
 
 def returns(df: DataFrame) -> DataFrame:
     """ret (gaps filled forward), log_ret (both closes positive) and abs_ret."""
-    out = with_change(df, "close", "ret", DAYS).withColumn("__p", F.lag("close").over(DAYS))
+    out = with_change(df, "close", "ret", days()).withColumn("__p", F.lag("close").over(days()))
     log_ret = F.when((F.col("close") > 0) & (F.col("__p") > 0), F.ln(F.col("close") / F.col("__p")))
     return out.withColumn("log_ret", log_ret).withColumn("abs_ret", F.abs("ret")).drop("__p")
 
 
 def moving_averages(df: DataFrame, short: int = 5, long: int = 20) -> DataFrame:
-    return df.withColumns({"ma_5": rolling(F.avg, F.col("close"), DAYS, short), "ma_20": rolling(F.avg, F.col("close"), DAYS, long)})
+    return df.withColumns({"ma_5": rolling(F.avg, F.col("close"), days(), short), "ma_20": rolling(F.avg, F.col("close"), days(), long)})
 
 
 def volatility(df: DataFrame, n: int = 20, days: int = 252) -> DataFrame:
     """vol_20: population deviation of ret over n rows, per year."""
-    return df.withColumn("vol_20", rolling(F.stddev_pop, F.col("ret"), DAYS, n) * F.sqrt(F.lit(float(days))))
+    return df.withColumn("vol_20", rolling(F.stddev_pop, F.col("ret"), days(), n) * F.sqrt(F.lit(float(days))))
 
 
 def rsi(df: DataFrame, n: int = 14) -> DataFrame:
     """rsi_14 by simple averages of gains and losses; null without a loss."""
-    out = df.withColumn("__d", F.col("close") - F.lag("close").over(DAYS))
+    out = df.withColumn("__d", F.col("close") - F.lag("close").over(days()))
     gain, loss = F.when(F.col("__d") > 0, F.col("__d")).when(F.col("__d").isNotNull(), 0.0), F.when(F.col("__d") < 0, -F.col("__d")).when(F.col("__d").isNotNull(), 0.0)
-    strength = ratio(rolling(F.avg, gain, DAYS, n), rolling(F.avg, loss, DAYS, n))
+    strength = ratio(rolling(F.avg, gain, days(), n), rolling(F.avg, loss, days(), n))
     return out.withColumn("rsi_14", 100 - 100 / (1 + strength)).drop("__d")
 
 

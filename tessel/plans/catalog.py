@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions.windows import average_rank, by, forward_fill
-from tessel.operators import cleaning, factors, indicators, portfolio, research, stress, tuning
+from tessel.operators import cleaning, decision, factors, indicators, ml, portfolio, registry, research, stress, tuning, validation
 from tessel.plans import sql
 from tessel.sources import bars as sources
+from tessel.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +40,11 @@ def rounded(df: DataFrame, n: int = 8, **own: int) -> DataFrame:
     return df.select(*[F.round(c, own.get(c, n)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def single(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns to single precision, where values may be very large."""
+    return df.withColumns({c: F.col(c).cast("float").cast("double") for c in columns})
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.bars_from_lineitem(table(spark, sf_dir, "lineitem"))
 
@@ -411,14 +417,15 @@ def q_net_returns(spark, sf_dir):
     return rounded(net(spark, sf_dir))
 
 
-@query("SELECT month_end, strategy, round(nav, 6) AS nav FROM gn")
+@query("SELECT month_end, strategy, round(ln(abs(nullif(nav, 0))), 6) AS log_nav, nav < 0 AS below_zero FROM gn")
 def q_nav(spark, sf_dir):
-    return rounded(portfolio.with_nav(gross(spark, sf_dir)).select("month_end", "strategy", "nav"), 6)
+    n = portfolio.with_nav(gross(spark, sf_dir))
+    return n.select("month_end", "strategy", F.round(F.ln(F.abs(F.nullif(F.col("nav"), F.lit(0.0)))), 6).alias("log_nav"), (F.col("nav") < 0).alias("below_zero"))
 
 
-@query("SELECT month_end, strategy, round(drawdown, 7) AS drawdown FROM gn")
+@query("SELECT month_end, strategy, round(drawdown, 7)::FLOAT::DOUBLE AS drawdown FROM gn")
 def q_drawdown(spark, sf_dir):
-    return rounded(portfolio.with_nav(gross(spark, sf_dir)).select("month_end", "strategy", "drawdown"), 7)
+    return single(rounded(portfolio.with_nav(gross(spark, sf_dir)).select("month_end", "strategy", "drawdown"), 7), "drawdown")
 
 
 @query(
@@ -430,7 +437,8 @@ def q_rolling(spark, sf_dir):
 
 
 def _performance(df: DataFrame) -> DataFrame:
-    return rounded(df, 8, sharpe=6, calmar=6, sortino=6)
+    out = rounded(df, 8, sharpe=6, calmar=6, sortino=6)
+    return single(out, *[c for c, t in out.dtypes if t == "double"])
 
 
 @query(sql.performance("gn", "strategy"))
@@ -456,19 +464,22 @@ SPLIT = f"CASE WHEN month_end >= DATE '{sql.SPLITS['test_start']}' THEN 'test' W
 
 
 @query(
-    f"""SELECT split, strategy, count(ret) AS periods, round(avg(ret), 8) AS mean_ret, round(stddev_pop(ret), 8) AS std_ret, round(product(1 + ret) - 1, 7) AS total_ret
+    f"""SELECT split, strategy, count(ret) AS periods, round(avg(ret), 8) AS mean_ret, round(stddev_pop(ret), 8) AS std_ret, round(ln(abs(nullif(product(1 + ret), 0))), 7) AS log_growth
 FROM (SELECT *, {SPLIT} AS split FROM p_r) WHERE split <> 'holdout' GROUP BY split, strategy"""
 )
 def q_split_summary(spark, sf_dir):
-    return rounded(portfolio.split_summary(gross(spark, sf_dir), research.time_split("month_end", **sql.SPLITS)), total_ret=7)
+    r = portfolio.split_summary(gross(spark, sf_dir), research.time_split("month_end", **sql.SPLITS))
+    return rounded(r.withColumn("log_growth", F.ln(F.abs(F.nullif(1 + F.col("total_ret"), F.lit(0.0))))).drop("total_ret"), log_growth=7)
 
 
 @query(
     f""", rs AS (SELECT sc.*, q.top_quantile FROM sc CROSS JOIN (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE]) AS top_quantile) q), {sql.portfolio('rb', 'rs', 'top_quantile', 'top_quantile')}, ro AS (SELECT * FROM rb_r WHERE strategy = 'long_short'), {sql.nav('rn', 'ro', 'top_quantile')}
-SELECT top_quantile, count(ret) AS months, round(product(1 + ret), 6) AS final_nav, round(avg(ret), 8) AS mean_ret, round(stddev_pop(ret), 8) AS std_ret, round(min(drawdown), 7) AS max_drawdown FROM rn GROUP BY top_quantile"""
+SELECT top_quantile, count(ret) AS months, round(ln(abs(nullif(product(1 + ret), 0))), 6) AS final_nav, round(avg(ret), 8) AS mean_ret, round(stddev_pop(ret), 8) AS std_ret, round(min(drawdown), 7)::FLOAT::DOUBLE AS max_drawdown FROM rn GROUP BY top_quantile"""
 )
 def q_robustness(spark, sf_dir):
-    return rounded(portfolio.robustness(scores(spark, sf_dir), [0.1, 0.2, 0.3]), final_nav=6, max_drawdown=7)
+    r = portfolio.robustness(scores(spark, sf_dir), [0.1, 0.2, 0.3])
+    r = r.withColumn("final_nav", F.ln(F.abs(F.nullif(F.col("final_nav"), F.lit(0.0)))))
+    return single(rounded(r, final_nav=6, max_drawdown=7), "max_drawdown")
 
 
 @query(
@@ -563,7 +574,7 @@ tr AS (SELECT r.candidate_id, r.month_end, t.turnover, r.ret - t.turnover * (15.
   FROM tp_r r JOIN tp_t t ON r.candidate_id = t.candidate_id AND r.month_end = t.month_end AND r.strategy = t.strategy JOIN grid g ON g.candidate_id = r.candidate_id WHERE r.strategy = 'long_short'),
 th AS (SELECT * FROM tr WHERE split <> 'holdout'), {sql.nav('tn', 'th', 'candidate_id, split')},
 tf AS (SELECT a.*, mean_turnover FROM ({sql.performance('tn', 'candidate_id, split')}) a JOIN (SELECT candidate_id, split, avg(turnover) AS mean_turnover FROM th GROUP BY ALL) b ON a.candidate_id = b.candidate_id AND a.split = b.split)"""
-TUNED = "candidate_id, split, periods, ann_return, ann_vol, sharpe, max_drawdown, round(mean_turnover, 8) AS mean_turnover"
+TUNED = "candidate_id, split, periods, ann_return, ann_vol, sharpe, max_drawdown, round(mean_turnover, 8)::FLOAT::DOUBLE AS mean_turnover"
 
 
 @query(TUNING + f" SELECT {TUNED} FROM tf")
@@ -574,3 +585,167 @@ def q_tuning_grid(spark, sf_dir):
 @query(TUNING + f" SELECT {TUNED} FROM tf WHERE split = 'validation' ORDER BY tf.sharpe DESC NULLS LAST, tf.ann_return DESC NULLS LAST, candidate_id LIMIT 1")
 def q_tuning_selected(spark, sf_dir):
     return _performance(tuning.select(rounded(tuned(spark, sf_dir), 8, sharpe=6)).select("candidate_id", "split", "periods", "ann_return", "ann_vol", "sharpe", "max_drawdown", "mean_turnover"))
+
+
+# Registry
+
+
+def registered(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    w = portfolio.weights(s)
+    g, t = portfolio.portfolio_returns(w, s), portfolio.turnover(w, s)
+    mean = t.groupBy("strategy").agg(F.avg("turnover").alias("mean_turnover"))
+    return registry.registry(
+        registry.backtest_entries(portfolio.performance(g), mean, "gross", 0.0),
+        registry.backtest_entries(portfolio.performance(portfolio.net_returns(g, t, 15.0)), mean, "net", 15.0),
+    )
+
+
+REGISTRY = f""", pg AS ({sql.performance('gn', 'strategy')}), pn AS ({sql.performance('nn', 'strategy')}), mt AS (SELECT strategy, round(avg(turnover), 8)::FLOAT::DOUBLE AS turnover FROM p_t GROUP BY strategy),
+rg AS (SELECT 'gross' AS return_type, 0::DOUBLE AS transaction_cost_bps, * FROM pg UNION ALL SELECT 'net', 15::DOUBLE, * FROM pn)"""
+
+
+@query(
+    REGISTRY
+    + """ SELECT 'factor_' || rg.strategy AS benchmark, 'factor_strategy' AS category, '' AS validation_method, return_type, '' AS model, rg.strategy, ann_return, sharpe, max_drawdown, turnover, transaction_cost_bps,
+  NULL::DOUBLE AS auc, NULL::DOUBLE AS rank_ic, 'reporting_only' AS selection_role, 'backtest' AS source_file FROM rg JOIN mt ON rg.strategy = mt.strategy"""
+)
+def q_registry(spark, sf_dir):
+    return _performance(registered(spark, sf_dir))
+
+
+@query(
+    REGISTRY
+    + """ SELECT 'factor_' || g.strategy AS benchmark, g.strategy, g.ann_return AS gross, n.ann_return AS net, round(g.ann_return - n.ann_return, 3)::FLOAT::DOUBLE AS cost_drag FROM pg g JOIN pn n ON g.strategy = n.strategy"""
+)
+def q_gross_net(spark, sf_dir):
+    return rounded_drag(registry.gross_net(_performance(registered(spark, sf_dir))))
+
+
+def rounded_drag(df: DataFrame) -> DataFrame:
+    return single(df.withColumn("cost_drag", F.round("cost_drag", 3)), "cost_drag")
+
+
+# Validation and models
+
+FEATURES = ["z_VALUE", "z_MOM_12_1", "z_QUALITY", "z_SIZE"]
+
+
+@query(
+    """, mo AS (SELECT month_end, row_number() OVER (ORDER BY month_end) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT month_end FROM z)),
+st AS (SELECT unnest(range(24, CAST(max(n) AS BIGINT), 6)) AS at FROM mo), sp AS (SELECT at, CAST(row_number() OVER (ORDER BY at) - 1 AS INTEGER) AS split_id FROM st)
+SELECT split_id, CASE WHEN i < at THEN 'train' ELSE 'test' END AS role, month_end, 'purged' AS method, 1::INTEGER AS embargo_months FROM sp JOIN mo ON i < at - 1 OR (i >= at AND i < at + 6)"""
+)
+def q_walkforward_splits(spark, sf_dir):
+    splits = validation.walk_forward(validation.panel_months(panel(spark, sf_dir)), 24, 6, "purged", 1)
+    validation.assert_no_leakage(splits)
+    return validation.split_table(spark, splits)
+
+
+def predicted(spark, sf_dir, *models: str, method: str = "expanding") -> DataFrame:
+    """Predictions of a few late splits: one fit per model and split."""
+    return ml.walk_forward_predictions(panel(spark, sf_dir), FEATURES, models, 24, 12, method)[0]
+
+
+@query()
+def q_ml_linear(spark, sf_dir):
+    return ml.evaluate(predicted(spark, sf_dir, "linear"))
+
+
+@query()
+def q_ml_ridge(spark, sf_dir):
+    return ml.evaluate(predicted(spark, sf_dir, "ridge", "lasso"))
+
+
+@query()
+def q_ml_logistic(spark, sf_dir):
+    return ml.evaluate(predicted(spark, sf_dir, "logistic"))
+
+
+@query()
+def q_ml_trees(spark, sf_dir):
+    data = ml.dataset(panel(spark, sf_dir), FEATURES)
+    split = validation.walk_forward(validation.panel_months(data), 24, 36, "purged", 1)[0]
+    forest = ml.fit_predict(data, split, "random_forest", FEATURES, trees=20)[0]
+    return ml.evaluate(forest.unionByName(ml.fit_predict(data, split, "gradient_boosting", FEATURES)[0]))
+
+
+@query()
+def q_ml_portfolios(spark, sf_dir):
+    return portfolio.performance(ml.score_portfolios(predicted(spark, sf_dir, "ridge")), ("method", "model", "strategy"))
+
+
+@query()
+def q_validation_cmp(spark, sf_dir):
+    both = predicted(spark, sf_dir, "ridge").unionByName(predicted(spark, sf_dir, "ridge", method="purged"))
+    return ml.compare_methods(ml.evaluate(both))
+
+
+def fixed_predictions(spark, sf_dir) -> DataFrame:
+    """z_VALUE as a prediction, to check the metrics."""
+    p = ml.dataset(panel(spark, sf_dir), ["z_VALUE"])
+    return p.select("month_end", "symbol", F.lit("value").alias("model"), F.lit("none").alias("method"), F.round("z_VALUE", 6).alias("score"), F.col("fwd_1m_ret").alias("target"), "target_class")
+
+
+FIXED = """, fx AS (SELECT month_end, symbol, round(z_VALUE, 6) AS score, fwd_1m_ret AS target, CAST(fwd_1m_ret > 0 AS INTEGER) AS c FROM z)"""
+
+
+@query(
+    FIXED
+    + """, fr AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rs, rank() OVER (ORDER BY target) + (count(*) OVER (PARTITION BY target) - 1) / 2.0 AS rt FROM fx)
+SELECT 'none' AS method, 'value' AS model, round((sum(rs * c) - sum(c) * (sum(c) + 1) / 2.0) / (sum(c) * (count(*) - sum(c))), 7) AS auc, round(covar_pop(rs, rt) / (stddev_pop(rs) * stddev_pop(rt)), 7) AS rank_ic FROM fr"""
+)
+def q_ml_auc(spark, sf_dir):
+    return rounded(ml.evaluate(fixed_predictions(spark, sf_dir)).select("method", "model", "auc", "rank_ic"), 7)
+
+
+@query(FIXED + """ SELECT 'value' AS model, round(avg(c), 8) AS precision_top FROM (SELECT *, row_number() OVER (ORDER BY score DESC, month_end, symbol) AS k, count(*) OVER () AS n FROM fx) WHERE k <= greatest(1, round_even(n * 0.2, 0))""")
+def q_ml_precision_top(spark, sf_dir):
+    return rounded(ml.evaluate(fixed_predictions(spark, sf_dir)).select("model", "precision_top"))
+
+
+@query(FIXED + " SELECT 'value' AS model, count(*) AS n, round(sqrt(avg(pow(score - target, 2))), 7) AS rmse, round(avg(abs(score - target)), 7) AS mae FROM fx")
+def q_ml_errors(spark, sf_dir):
+    return rounded(ml.evaluate(fixed_predictions(spark, sf_dir)).select("model", "n", "rmse", "mae"), 7)
+
+
+# Decision
+
+
+def decided(spark, sf_dir) -> DataFrame:
+    return decision.optimize_panel(decision.score_panels(panel(spark, sf_dir)))
+
+
+@query()
+def q_decision_weights(spark, sf_dir):
+    return decision.long_weights(decided(spark, sf_dir))
+
+
+@query()
+def q_decision_returns(spark, sf_dir):
+    return decision.month_returns(decided(spark, sf_dir))
+
+
+@query(
+    """, cs AS (SELECT unnest(['000001', '000002', '000003']) AS symbol), cg AS (SELECT n.month_end, cs.symbol, coalesce(z.fwd_1m_ret, 0) AS r FROM (SELECT DISTINCT month_end FROM z) n CROSS JOIN cs LEFT JOIN z ON z.month_end = n.month_end AND z.symbol = cs.symbol),
+cp AS (SELECT a.month_end, a.symbol AS a, b.symbol AS b, covar_samp(a.r, b.r) OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.month_end ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS cov FROM cg a JOIN cg b ON a.month_end = b.month_end)
+SELECT month_end, a, b, round(cov, 6)::FLOAT::DOUBLE AS cov FROM cp WHERE cov IS NOT NULL AND NOT isnan(cov)"""
+)
+def q_trailing_cov(spark, sf_dir):
+    return single(rounded(decision.covariance_pairs(panel(spark, sf_dir), ["000001", "000002", "000003"]), 6), "cov")
+
+
+# Sources
+
+
+@query()
+def q_sample_panel(spark, sf_dir):
+    return sources.sample_panel(spark)
+
+
+@query(
+    """, h AS (SELECT min(ret) AS lo, max(ret) AS hi FROM ret), b AS (SELECT CAST(least(floor((ret - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin FROM ret, h WHERE ret IS NOT NULL)
+SELECT bin, count(*) AS count FROM b GROUP BY bin"""
+)
+def q_return_histogram(spark, sf_dir):
+    return sinks.histogram(returns(spark, sf_dir), "ret", 20).select("bin", "count")

@@ -71,8 +71,8 @@ def nav(name: str, source: str, keys: str = "strategy") -> str:
 
 def performance(source: str, keys: str) -> str:
     """Metrics from a relation with ret and drawdown."""
-    return f"""SELECT {keys}, periods, round(a, 8) AS ann_return, round(v, 8) AS ann_vol, round(a / CASE WHEN v > 1e-12 THEN v END, 6) AS sharpe, round(d, 8) AS max_drawdown,
-  round(a / CASE WHEN d < -1e-12 THEN -d END, 6) AS calmar, round(a / CASE WHEN s > 1e-12 THEN s END, 6) AS sortino
+    return f"""SELECT {keys}, periods, round(a, 8)::FLOAT::DOUBLE AS ann_return, round(v, 8)::FLOAT::DOUBLE AS ann_vol, round(a / CASE WHEN v > 1e-12 THEN v END, 6)::FLOAT::DOUBLE AS sharpe, round(d, 8)::FLOAT::DOUBLE AS max_drawdown,
+  round(a / CASE WHEN d < -1e-12 THEN -d END, 6)::FLOAT::DOUBLE AS calmar, round(a / CASE WHEN s > 1e-12 THEN s END, 6)::FLOAT::DOUBLE AS sortino
 FROM (SELECT {keys}, count(ret) AS periods, CASE WHEN product(1 + ret) >= 0 THEN pow(product(1 + ret), 12.0 / count(ret)) - 1 END AS a, stddev_pop(ret) * sqrt(12.0) AS v,
   min(drawdown) AS d, stddev_pop(CASE WHEN ret < 0 THEN ret END) * sqrt(12.0) AS s FROM {source} GROUP BY {keys})"""
 
