@@ -59,10 +59,13 @@ def pair_corr(a: Column, b: Column) -> Column:
 
 
 def quantile_bucket(rank: Column, n: Column, q: int) -> Column:
-    """Bucket 1..q of a 1-based rank among n, with edges at linear quantiles of the ranks 1..n."""
+    """Bucket 1..q of a 1-based rank among n, with edges at linear quantiles of the ranks 1..n.
+
+    The share goes through percent, as quantile cuts do, since its last bit decides for ranks on an edge.
+    """
     out = F.lit(1)
     for k in range(1, q):
-        edge = 1 + (n - 1) * F.lit(k * (1.0 / q))
+        edge = 1 + (n - 1) * F.lit(k * (1.0 / q) * 100.0 / 100.0)
         out = out + F.when(rank > edge, 1).otherwise(0)
     return out
 

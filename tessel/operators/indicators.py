@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tessel.functions.windows import by, ratio, rolling, with_change
 
 
-
 def days():
     return by("symbol", order="date")
 
@@ -25,9 +24,9 @@ def moving_averages(df: DataFrame, short: int = 5, long: int = 20) -> DataFrame:
     return df.withColumns({"ma_5": rolling(F.avg, F.col("close"), days(), short), "ma_20": rolling(F.avg, F.col("close"), days(), long)})
 
 
-def volatility(df: DataFrame, n: int = 20, days: int = 252) -> DataFrame:
+def volatility(df: DataFrame, n: int = 20, year: int = 252) -> DataFrame:
     """vol_20: population deviation of ret over n rows, per year."""
-    return df.withColumn("vol_20", rolling(F.stddev_pop, F.col("ret"), days(), n) * F.sqrt(F.lit(float(days))))
+    return df.withColumn("vol_20", rolling(F.stddev_pop, F.col("ret"), days(), n) * F.sqrt(F.lit(float(year))))
 
 
 def rsi(df: DataFrame, n: int = 14) -> DataFrame:

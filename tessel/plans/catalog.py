@@ -213,7 +213,7 @@ c AS (SELECT {', '.join(f"{sql.CORR.format(a=f'CASE WHEN {b} IS NOT NULL THEN {a
 {' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, round({a}__{b}, 7) AS corr FROM c" for a in ('ret', 'ma_5', 'vol', 'amount') for b in ('ret', 'ma_5', 'vol', 'amount'))}"""
 )
 def q_indicator_corr(spark, sf_dir):
-    i = indicators.volatility(indicators.moving_averages(returns(spark, sf_dir)), days=1).withColumnRenamed("vol_20", "vol")
+    i = indicators.volatility(indicators.moving_averages(returns(spark, sf_dir)), year=1).withColumnRenamed("vol_20", "vol")
     return rounded(factors.correlation_matrix(i, ["ret", "ma_5", "vol", "amount"], 100), 7)
 
 
@@ -312,7 +312,7 @@ def q_ic_decay_summary(spark, sf_dir):
 
 
 GROUPS = f""", gr AS (SELECT *, row_number() OVER (PARTITION BY month_end, factor ORDER BY value, symbol) AS r, count(*) OVER (PARTITION BY month_end, factor) AS n FROM lz WHERE value IS NOT NULL),
-gq AS (SELECT *, CAST(1 + {' + '.join(f'CASE WHEN r > 1 + (n - 1) * CAST({k * (1.0 / 5)!r} AS DOUBLE) THEN 1 ELSE 0 END' for k in range(1, 5))} AS INTEGER) AS quantile FROM gr WHERE n >= 5),
+gq AS (SELECT *, CAST(1 + {' + '.join(f'CASE WHEN r > 1 + (n - 1) * CAST({k * (1.0 / 5) * 100.0 / 100.0!r} AS DOUBLE) THEN 1 ELSE 0 END' for k in range(1, 5))} AS INTEGER) AS quantile FROM gr WHERE n >= 5),
 gm AS (SELECT month_end, factor, quantile, avg(fwd_1m_ret) AS mean_return FROM gq GROUP BY ALL)"""
 
 
