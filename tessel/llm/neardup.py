@@ -4,12 +4,16 @@ Each document's set of word shingles is permuted once (the shingle hash times an
 second permutation, circularly shifted by k, gives the k-th signature coordinate. BANDS bands of ROWS coordinates make
 bucket keys; at a similarity of 0.8 a pair shares no bucket with a probability of (1 - 0.8^7)^50 < 1e-5.
 
-Documents with equal sets are one class from the start. Within a bucket each class is compared with the bucket's
-smallest class, its hub; only pairs that components don't connect yet are looked at again, against further hubs, until
-every bucket is within one component or all its classes have been hubs. So a large group costs a few comparisons per
-document, not all pairs, and no pair of a bucket goes unexamined. Links are confirmed on the full sets (hashed to 64
-bits). Components come from alternating large-star and small-star joins. Pairs, sets and components stay in
-distributed tables; joins on a hot hub or bucket can be split by Spark, and counts are pre-aggregated.
+Documents with equal sets are one class from the start. Within a bucket each class is compared with the bucket's hub,
+the class that shares most buckets. Links are confirmed on the full sets (hashed to 64 bits), and only pairs that
+components don't connect yet are looked at again. What is left are classes that a bucket holds beside its hub's
+component: two such sets x and y can only reach the threshold if they share enough of their differences from the hub,
+since |x & y| = |hub| - |dx| - |dy| + shared differences. So differences are joined by an exact prefix filter, the
+rarest of a hub first, and the survivors are verified. A large group costs a few comparisons per document, not all
+pairs, and no pair of a bucket goes unexamined.
+
+Components come from alternating large-star and small-star joins. Pairs, sets and components stay in distributed
+tables; joins on a hot hub or bucket can be split by Spark, and counts are pre-aggregated.
 
 Null texts and texts without a word have no shingle, are linked with nothing and are kept. Texts with fewer words than
 a shingle are one shingle of them all. Repeated rows are copies of each other: component_id is the smallest doc_id
@@ -34,8 +38,6 @@ THRESHOLD = 80
 BANDS, ROWS = 50, 7
 #: Positions of the second permutation.
 POSITIONS = 1 << 22
-#: Hubs of a bucket in one round.
-HUBS = 8
 #: Rows of a table that may be broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -141,9 +143,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 linked.append(shared * 100 >= threshold * (len(both) - shared))
             yield pa.record_batch([batch.column("hub"), batch.column("node"), pa.array(linked, pa.bool_())], names=["hub", "node", "linked"])
 
-    first = pairs.join(sets.withColumnRenamed("shingles", "b"), "node")
-    both = first.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("a")), "hub")
-    return both.select("hub", "node", "a", "b").mapInArrow(compare, "hub long, node long, linked boolean")
+    return _with_sets(pairs, sets).select("hub", "node", "a", "b").mapInArrow(compare, "hub long, node long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,71 +155,109 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark["n"]:
             break
         seen = mark
+        hint = F.broadcast if mark["n"] <= BROADCAST_ROWS else lambda d: d
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large")
+        large = both.join(hint(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(hint(lower), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = materialize(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "stars")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _differences(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """hub, node, need, cost, features: how a node's set differs from its hub's.
+
+    Sets x and y reach the threshold only if they share need(x) + cost(y) differences (or need(y) + cost(x)); need is
+    positive for a node that isn't linked to the hub.
+    """
+    r = threshold / (100 + threshold)
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need, cost, features = [], [], []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                hub, own = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                more = np.setdiff1d(own, hub, assume_unique=True)
+                less = np.setdiff1d(hub, own, assume_unique=True)
+                cost.append((1 - r) * len(less) + r * len(more))
+                need.append(cost[-1] + (2 * r - 1) * len(hub))
+                features.append(np.concatenate([more, ~less]).view(np.int64))
+            yield pa.record_batch([batch.column("hub"), batch.column("node"), pa.array(need, pa.float64()), pa.array(cost, pa.float64()), pa.array(features, pa.list_(pa.int64()))], names=["hub", "node", "need", "cost", "features"])
+
+    both = _with_sets(pairs, sets).select("hub", "node", "a", "b")
+    return both.mapInArrow(differ, "hub long, node long, need double, cost double, features array<long>")
+
+
+def _side_pairs(pairs: DataFrame, sets: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+    """(hub, node) pairs of different components that can be linked beside a common hub."""
+    named = _rooted(pairs.where("n > 2"), roots)
+    open_hubs = materialize(named.where("root <> hub_root").select("hub").distinct(), "open")
+    group = materialize(_differences(named.join(_small(open_hubs), "hub").select("hub", "node"), sets, threshold), "differences")
+    rooted = materialize(_rooted(group.drop("features"), roots), "sides")
+    single = group.select("hub", "node", F.explode("features").alias("f"))
+    often = single.groupBy("hub", "f").agg(F.count(F.lit(1)).alias("c")).where("c > 1")  # what one node has alone is never shared
+    ranked = single.join(often, ["hub", "f"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("c", "f"))).alias("by_rarity"))
+    sides = materialize(rooted.join(ranked, ["hub", "node"]), "ranked")
+    shared = F.size("by_rarity")
+    head = lambda least: F.slice("by_rarity", F.lit(1), F.greatest(F.lit(0), shared - F.greatest(F.lit(1), least.cast("int")) + 1))
+    own = sides.where("root <> hub_root").select("hub", F.col("node").alias("x"), F.col("root").alias("x_root"), "need", shared.alias("x_size"), F.posexplode(head(F.ceil(F.col("need") - 1e-9))).alias("x_at", "s"))
+    other = sides.select("hub", F.col("node").alias("y"), F.col("root").alias("y_root"), "cost", shared.alias("y_size"), F.posexplode(head(F.floor(F.col("cost") - 1e-9) + 1)).alias("y_at", "s"))
+    own, other = own.withColumn("f", F.col("s.f")).drop("s"), other.withColumn("f", F.col("s.f")).drop("s")
+    # of what a pair shares, nothing stands before its first common difference
+    left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+    met = own.join(other, ["hub", "f"]).where((F.col("x_root") != F.col("y_root")) & (F.col("need") + F.col("cost") - 1e-9 <= left))
+    return met.select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node")).distinct()
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (hub, node) with their sets, a and b."""
+    first = pairs.join(sets.withColumnRenamed("shingles", "b"), "node")
+    return first.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("a")), "hub")
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs with the components of both ends: hub_root, root."""
+    few = _small(roots)
+    out = pairs.join(few.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col("node") == F.col("__n"), "left").withColumn("root", F.coalesce("__r", "node")).drop("__n", "__r")
+    return out.join(few.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col("hub") == F.col("__n"), "left").withColumn("hub_root", F.coalesce("__r", "hub")).drop("__n", "__r")
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataFrame:
     """(node, root) for the classes (node, text_key, n_shingles, bands) that link to another class."""
     spark = classes.sparkSession
     banded = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(banded.join(hubs, "key").select("key", "node", "n_shingles", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("hub_n"), "n"), "buckets")
-    near = (F.least("n_shingles", "hub_n") * 100 >= F.greatest("n_shingles", "hub_n") * threshold) & (F.col("node") != F.col("hub"))
-    pairs = materialize(shared.where(near).select("hub", "node").distinct(), "pairs")
-    wanted = materialize(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "text_key"), "wanted")
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    multi = materialize(banded.join(sizes, "key"), "buckets")
+    score = materialize(multi.groupBy("node").agg(F.sum("n").alias("score")), "scores")
+    scored = multi.join(_small(score), "node")
+    hubs = scored.groupBy("key").agg(F.max(F.struct("score", "node", "n_shingles")).alias("hub"))
+    shared = scored.join(hubs, "key").where("node <> hub.node")
+    pairs = shared.groupBy(F.col("hub.node").alias("hub"), "node").agg(F.max("hub.score").alias("hub_score"), F.max("hub.n_shingles").alias("hub_n"), F.max("n_shingles").alias("n_shingles"), F.max("n").alias("n"))
+    pairs = materialize(pairs, "pairs")
+    wanted = materialize(classes.join(_small(score), "node", "left_semi").select("node", "text_key"), "wanted")
     sets = materialize(shingle_sets(docs, wanted, n), "sets")
 
-    roots = spark.createDataFrame([], "node long, root long")
-    done = None
-
-    def joined(part: DataFrame, roots: DataFrame) -> DataFrame:
-        """part (hub, node) whose ends are in different components."""
-        r = roots.select(F.col("node").alias("n1"), F.col("root").alias("r1"))
-        with_node = part.join(r, part["node"] == r["n1"], "left").select("hub", "node", F.coalesce("r1", "node").alias("rn"))
-        r = roots.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        return with_node.join(r, with_node["hub"] == r["n2"], "left").where(F.coalesce("r2", "hub") != F.col("rn")).select("hub", "node")
-
-    def examine(part: DataFrame, roots: DataFrame) -> DataFrame:
-        """Components after the pairs of part are verified."""
-        nonlocal done
+    def examine(part: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(verified pairs, components after them)."""
         checked = materialize(verify(part, sets, threshold), "checked")
-        done = checked.select("hub", "node") if done is None else done.unionByName(checked.select("hub", "node"))
         links = checked.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         if not links.take(1):
-            return roots
-        return materialize(components(links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))), "roots")
-
-    roots = examine(pairs.groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node"), roots)
-    rest = materialize(joined(pairs, roots).join(done, ["hub", "node"], "left_anti"), "rest")
+            return checked, roots
+        return checked, materialize(components(links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))), "roots")
+
+    roots = materialize(spark.createDataFrame([], "node long, root long"), "roots")
+    near = pairs.where(F.least("n_shingles", "hub_n") * 100 >= F.greatest("n_shingles", "hub_n") * threshold)
+    first = near.groupBy("node").agg(F.max(F.struct("hub_score", "hub")).alias("h")).select("h.hub", "node")
+    checked, roots = examine(first, roots)
+    apart = _rooted(near, roots).where("root <> hub_root").select("hub", "node")
+    rest = materialize(apart.join(_small(checked.select("hub", "node")), ["hub", "node"], "left_anti"), "rest")
     if rest.take(1):
-        roots = examine(rest, roots)
-
-    live = shared.where("n > 2 and node <> hub").select("key", "node", "n_shingles")
-    alone = shared.where("n > 2")  # every class of a bucket, hubs too
-    while True:
-        named = alone.join(roots, "node", "left").select("key", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
-        split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        named = materialize(named.join(split, "key", "left_semi"), "open")
-        live = live.join(split, "key", "left_semi")
-        heads = live.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot")).agg(F.min("node").alias("hub"))
-        heads = materialize(heads.select("key", "hub"), "heads")
-        if not heads.take(1):
-            return roots
-        own = heads.join(named.select("key", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n_shingles").alias("hub_n")), ["key", "hub"])
-        asked = named.join(own, "key").where((F.col("root") != F.col("hub_root")) & near).select(F.greatest("hub", "node").alias("node"), F.least("hub", "node").alias("hub")).distinct()
-        told = done.select(F.greatest("hub", "node").alias("node"), F.least("hub", "node").alias("hub"))
-        asked = materialize(asked.join(told, ["hub", "node"], "left_anti"), "asked")
-        if asked.take(1):
-            roots = examine(asked, roots)
-        live = materialize(live.join(heads.withColumnRenamed("hub", "node"), ["key", "node"], "left_anti"), "live")
-        alone = named.select("key", "node", "n_shingles")
+        _, roots = examine(rest, roots)
+    sides = materialize(_side_pairs(pairs, sets, roots, threshold), "beside")
+    if sides.take(1):
+        _, roots = examine(sides, roots)
+    return roots
 
 
 def _judged(docs: DataFrame, n: int, threshold: int, bands: int, rows: int) -> DataFrame:

@@ -112,13 +112,19 @@ def test_stages_end_to_end(spark, daily, tmp_path):
     assert (out / "registry.csv").exists() and (out / "stress_metrics.csv").exists()
 
 
-def stub(symbol, start, end):
-    if symbol == "000009":
-        raise ValueError("unknown symbol")
-    return pd.DataFrame({"date": ["2020-01-02"], "open": [1.0], "high": [1.0], "low": [1.0], "close": [2.0], "volume": [3.0], "amount": [6.0]})
+def make_stub():
+    """A fetcher that tasks can load without this module."""
+
+    def stub(symbol, start, end):
+        if symbol == "000009":
+            raise ValueError("unknown symbol")
+        return pd.DataFrame({"date": ["2020-01-02"], "open": [1.0], "high": [1.0], "low": [1.0], "close": [2.0], "volume": [3.0], "amount": [6.0]})
+
+    return stub
 
 
 def test_acquisition_resumes(spark, tmp_path):
+    stub = make_stub()
     universe = spark.createDataFrame([("000001",), ("000002",), ("000009",)], "symbol string")
     cache, point = f"{tmp_path}/cache", f"{tmp_path}/checkpoint"
     first = {r["symbol"]: r for r in acquire.fetch_symbols(spark, universe, stub, "2020-01-01", "2020-12-31", cache, point, 2, 0).collect()}
