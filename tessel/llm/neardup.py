@@ -40,6 +40,8 @@ BANDS, ROWS = 50, 7
 POSITIONS = 1 << 22
 #: Rows of a table that may be broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
+#: Buckets in which a hub's differences are counted; a power of two.
+SKETCH = 4096
 
 
 class Circulant:
@@ -189,21 +191,50 @@ def _differences(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     return both.mapInArrow(differ, "hub long, node long, need double, cost double, features array<long>")
 
 
+def _by_rarity(group: DataFrame) -> DataFrame:
+    """group with by_rarity for features: those that another component may have too, the rarest of the hub first.
+
+    Features are counted by hub in SKETCH buckets, so that a hub's counts are one small row. A bucket that a single
+    component fills holds no feature that links two of them; any order will do for a prefix filter, rare ones first.
+    """
+    single = group.select("hub", "root", F.explode("features").alias("f"))
+    counted = single.groupBy("hub", F.col("f").bitwiseAND(SKETCH - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    counted = counted.where("lo <> hi").groupBy("hub").agg(F.collect_list(F.struct("b", F.least(F.lit(255), F.floor(F.log2("c") * 8)).cast("int").alias("c"))).alias("counts"))
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for counts in batch.column("counts").to_pylist():
+                own = np.zeros(SKETCH, np.uint8)
+                own[[x["b"] for x in counts]] = [x["c"] for x in counts]
+                out.append(own.tobytes())
+            yield pa.record_batch([batch.column("hub"), pa.array(out, pa.binary())], names=["hub", "sketch"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for features, sketch in zip(batch.column("features"), batch.column("sketch").to_pylist()):
+                f = features.values.to_numpy()
+                c = np.frombuffer(sketch, np.uint8)[f & (SKETCH - 1)]
+                f, c = f[c > 0], c[c > 0]
+                out.append(f[np.lexsort((f, c))])
+            yield pa.record_batch([*(batch.column(k) for k in kept), pa.array(out, pa.list_(pa.int64()))], names=[*kept, "by_rarity"])
+
+    kept = ["hub", "node", "root", "hub_root", "need", "cost"]
+    sketches = materialize(counted.mapInArrow(dense, "hub long, sketch binary"), "sketches")
+    return group.join(sketches, "hub").select(*kept, "features", "sketch").mapInArrow(rank, "hub long, node long, root long, hub_root long, need double, cost double, by_rarity array<long>")
+
+
 def _side_pairs(pairs: DataFrame, sets: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
     """(hub, node) pairs of different components that can be linked beside a common hub."""
     named = _rooted(pairs.where("n > 2"), roots)
     open_hubs = materialize(named.where("root <> hub_root").select("hub").distinct(), "open")
-    group = materialize(_differences(named.join(_small(open_hubs), "hub").select("hub", "node"), sets, threshold), "differences")
-    rooted = materialize(_rooted(group.drop("features"), roots), "sides")
-    single = group.select("hub", "node", F.explode("features").alias("f"))
-    often = single.groupBy("hub", "f").agg(F.count(F.lit(1)).alias("c")).where("c > 1")  # what one node has alone is never shared
-    ranked = single.join(often, ["hub", "f"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("c", "f"))).alias("by_rarity"))
-    sides = materialize(rooted.join(ranked, ["hub", "node"]), "ranked")
+    group = materialize(_rooted(_differences(named.join(_small(open_hubs), "hub").select("hub", "node"), sets, threshold), roots), "differences")
+    sides = materialize(_by_rarity(group), "ranked")
     shared = F.size("by_rarity")
     head = lambda least: F.slice("by_rarity", F.lit(1), F.greatest(F.lit(0), shared - F.greatest(F.lit(1), least.cast("int")) + 1))
-    own = sides.where("root <> hub_root").select("hub", F.col("node").alias("x"), F.col("root").alias("x_root"), "need", shared.alias("x_size"), F.posexplode(head(F.ceil(F.col("need") - 1e-9))).alias("x_at", "s"))
-    other = sides.select("hub", F.col("node").alias("y"), F.col("root").alias("y_root"), "cost", shared.alias("y_size"), F.posexplode(head(F.floor(F.col("cost") - 1e-9) + 1)).alias("y_at", "s"))
-    own, other = own.withColumn("f", F.col("s.f")).drop("s"), other.withColumn("f", F.col("s.f")).drop("s")
+    own = sides.where("root <> hub_root").select("hub", F.col("node").alias("x"), F.col("root").alias("x_root"), "need", shared.alias("x_size"), F.posexplode(head(F.ceil(F.col("need") - 1e-9))).alias("x_at", "f"))
+    other = sides.select("hub", F.col("node").alias("y"), F.col("root").alias("y_root"), "cost", shared.alias("y_size"), F.posexplode(head(F.floor(F.col("cost") - 1e-9) + 1)).alias("y_at", "f"))
     # of what a pair shares, nothing stands before its first common difference
     left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     met = own.join(other, ["hub", "f"]).where((F.col("x_root") != F.col("y_root")) & (F.col("need") + F.col("cost") - 1e-9 <= left))
