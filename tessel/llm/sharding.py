@@ -1,10 +1,12 @@
 """Balanced label propagation: linked documents move to their neighbours' shards, under capacity quotas.
 
 Documents are linked when they share a link key (here: equal texts). Each round joins the documents with the shard
-counts of their keys, lets a document ask for the open shard that holds most of its neighbours, and grants each flow
-between two shards what the receiving shard has room for, plus what flows the other way. After the rounds, linked
-documents beyond a shard's exact share, and the documents without links, fill the shards that lack rows, so that row
-counts differ by one at most (law `rows`). A key that holds more than a shard's share is spread over as many shards
+counts of their keys, lets a document ask for the shard that holds most of its neighbours, and grants each flow
+between two shards what the receiving shard has room for, plus what flows the other way. Ties are broken by an order
+of the shards that is drawn for each key, so that the ends of a pair agree on one of their two shards. Rounds that ask
+for any shard, where full shards swap, take turns with rounds that ask for open shards alone. After the rounds, linked
+documents beyond a shard's exact share, key by key, and the documents without links fill the shards that lack rows, so
+that row counts differ by one at most (law `rows`). A key that holds more than a shard's share is spread over as many shards
 as it needs.
 
 Only DataFrame functions run. A key's rows never meet in one task: counts are pre-aggregated, joins on a hot key can
@@ -26,29 +28,31 @@ SHARDS = 16
 BUCKET_ROWS = 50_000
 
 
-def _best(votes: list[Column], now: Column, free: list[bool]) -> Column:
-    """The open shard with most votes; the present one wins ties, then the lowest."""
-    own = F.element_at(F.array(*votes), now + 1)
-    choices = [F.struct(v.alias("n"), F.lit(-t).alias("t")) for t, v in enumerate(votes) if free[t]]
-    if not choices:
-        return now
-    top = F.array_max(F.array(*choices))
-    return F.when(top["n"] > own, -top["t"]).otherwise(now)
+def _best(votes: list[Column], key: Column, now: Column, allowed: list[bool], free: list[bool] | None = None) -> Column:
+    """The allowed (or present) shard with most votes; ties go to free shards, then by an order of the shards that all of a key's rows share."""
+    choices = [
+        F.when(F.lit(allowed[t]) | (now == t), F.struct(v.alias("n"), F.lit(bool(free and free[t])).alias("free"), F.xxhash64(key, F.lit(t)).alias("o"), F.lit(t).alias("t")))
+        for t, v in enumerate(votes)
+    ]
+    return F.array_max(F.array(*choices))["t"]
 
 
 def propagate(members: DataFrame, shards: int, shares: list[int], rounds: int = 12) -> DataFrame:
     """members (uid, key; a row per document and key) to (uid, shard), with shards holding at most about their shares."""
     state = materialize(members.select("uid").distinct().withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")), "shards-0")
     held = {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}  # one row per shard
+    still = False
     for step in range(1, rounds + 1):
         free = [shares[t] > held.get(t, 0) for t in range(shards)]
+        swapping = step % 2 == 1
         placed = members.join(state, "uid")
         counts = placed.groupBy("key").agg(*[F.count(F.when(F.col("shard") == t, 1)).alias(f"c{t}") for t in range(shards)])
-        votes = members.join(counts, "key").groupBy("uid").agg(*[F.sum(f"c{t}").alias(f"v{t}") for t in range(shards)])
-        asked = state.join(votes, "uid").select("uid", "shard", _best([F.col(f"v{t}") for t in range(shards)], F.col("shard"), free).alias("to"))
+        votes = members.join(counts, "key").groupBy("uid").agg(F.min("key").alias("key"), *[F.sum(f"c{t}").alias(f"v{t}") for t in range(shards)])
+        best = _best([F.col(f"v{t}") for t in range(shards)], F.col("key"), F.col("shard"), [True] * shards if swapping else free, None if swapping else free)
+        asked = state.join(votes, "uid").select("uid", "shard", best.alias("to"))
         asked = materialize(asked, f"asked-{step}")
         flows = {(r["shard"], r["to"]): r["count"] for r in asked.where("shard <> to").groupBy("shard", "to").count().collect()}
-        if not flows:
+        if not flows and swapping:
             break
         granted = []
         for t in range(shards):
@@ -59,6 +63,12 @@ def propagate(members: DataFrame, shards: int, shares: list[int], rounds: int =
             for s, n in sorted(incoming.items()):
                 extra = (n - swaps[s]) * min(1.0, room / wanted) if wanted else 0
                 granted.append((s, t, (swaps[s] + extra) / n))
+        if not any(p for _, _, p in granted):
+            if still:
+                break
+            still = True
+            continue
+        still = False
         grant = F.coalesce(*[F.when((F.col("shard") == s) & (F.col("to") == t), p) for s, t, p in granted], F.lit(0.0))
         draw = F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         state = materialize(asked.select("uid", F.when(draw < grant, F.col("to")).otherwise(F.col("shard")).alias("shard")), f"shards-{step}")
@@ -100,8 +110,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 12) ->
     linked = materialize(_ranked(linked, ["shard"], ["b", "salt"], ["key", "uid"], "slot"), "linked")
     kept = linked.where(F.col("slot") < share).select("uid", "shard", "slot")
     held = {r["shard"]: r["count"] for r in kept.groupBy("shard").count().collect()}
-    loose = rows.select("uid").join(kept, "uid", "left_anti").withColumn("b", F.pmod(F.xxhash64("uid"), F.lit(blocks * shards)))
-    loose = _ranked(loose, [], ["b"], ["uid"], "rank") if blocks * shards > 1 else loose.withColumn("rank", F.row_number().over(Window.orderBy("uid")) - 1)
+    loose = rows.select("uid").join(kept, "uid", "left_anti").join(members.select("uid", "key", "n"), "uid", "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / BUCKET_ROWS)), F.lit(0))
+    loose = loose.select("uid", "key", F.pmod(F.when(F.col("key").isNull(), F.xxhash64("uid")).otherwise(F.xxhash64("key")), F.lit(blocks * shards)).alias("b"), salt.alias("salt"))
+    loose = _ranked(loose, [], ["b", "salt"], ["key", "uid"], "rank").drop("key") if blocks * shards > 1 else loose.withColumn("rank", F.row_number().over(Window.orderBy("key", "uid")) - 1)
     place, begin = F.lit(None), 0
     for t in range(shards):
         lack = shares[t] - held.get(t, 0)

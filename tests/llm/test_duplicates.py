@@ -156,3 +156,16 @@ def test_sharding(spark, rows, hot):
             if (texts[r["doc_id"]] or "").startswith("g"):
                 groups.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
         assert sum(map(len, groups.values())) < 3 * len(groups)
+
+
+@pytest.mark.parametrize("loose", [800, 0])
+def test_sharding_gathers_small_groups(spark, loose):
+    """Pairs and triples end in one shard; without loose rows, those beyond a shard's exact share may be cut."""
+    texts = [f"p{i}" for i in range(200) for _ in range(2)] + [f"t{i}" for i in range(200) for _ in range(3)] + [f"u{i}" for i in range(loose)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    shards, rows = {}, [0] * 16
+    for r in sharding.shard_documents(docs).collect():
+        shards.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        rows[r["shard"]] += 1
+    cut = sum(len(s) > 1 for s in shards.values())
+    assert max(rows) - min(rows) <= 1 and cut <= (4 if loose else 80), cut
