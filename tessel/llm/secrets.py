@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns and dictionary-primed compression novelty.
 
-Base kinds are found leftmost and non-overlapping: `assign`, `access`, `hex`. Further, each long string of letters and
+Base kinds are found leftmost and non-overlapping: `assign`, `access`, `hex`. Further, each long string of letters or
 digits that follows a sensitive word is a candidate: zstandard, primed with a dictionary of common identifiers,
 compresses the text around it with and without it, and the candidate is reported (`novel`) where its marginal bytes
-are at least NOVELTY of its length, since a random secret hardly compresses and a known identifier does.
+are at least NOVELTY of its length, since a random secret hardly compresses and a known identifier does. A candidate
+of letters alone (or digits alone) may be joined words, so its marginal bytes after fixed prose must be at least
+WORDLESS of its length too; random letters of one case often stay below that.
 
 Each document is judged alone: no shuffle, and memory for one batch. Null texts are empty and have no span; repeated
 rows are scanned each; an empty table gives no row; extra columns are ignored by scan_secrets and kept by
@@ -25,6 +27,8 @@ from tessel.llm._shared import pieces_of
 KINDS = ("assign", "access", "hex", "novel")
 #: Marginal compressed bytes per character from which a candidate is reported.
 NOVELTY = 0.6
+#: The same, after PROSE, for a candidate without a letter or without a digit: words stay below, random strings don't.
+WORDLESS = 0.85
 #: Characters of context before and after a candidate.
 BEFORE, AFTER = 256, 128
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -43,6 +47,14 @@ IDENTIFIERS = (
     "application/json content-type utf-8 function return import class const static void string integer boolean "
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000000000000000000000000000"
 )
+#: Prose whose letter frequencies a word fits and a random string doesn't.
+PROSE = (
+    "The service reads its settings from a file and connects to the network before it starts. Each request carries a header "
+    "with the name of the client, and the answer holds the status, the content and a short message for the user. When a session "
+    "ends, the manager removes what is no longer needed and writes a line to the log. Administrators can change the permissions of "
+    "every account, review recent activity and restore a previous version. Please keep this information private, do not share it "
+    "with anyone outside the department, and contact support if something looks wrong with your registration or your payment. "
+)
 
 
 def assign_spans(text: str) -> list[tuple[int, int]]:
@@ -87,6 +99,7 @@ class Novelty:
 
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False)
+        self.prose = len(self.compressor.compress(PROSE.encode()))
 
     def marginal(self, text: str, start: int, end: int) -> float:
         """Bytes that text[start:end] adds to its context, per character."""
@@ -95,15 +108,18 @@ class Novelty:
         with_it = len(self.compressor.compress(before + after + own))
         return (with_it - len(self.compressor.compress(before + after))) / len(own)
 
+    def wordless(self, own: str) -> float:
+        """Bytes that a string adds to PROSE, per character."""
+        return (len(self.compressor.compress((PROSE + own).encode())) - self.prose) / len(own)
+
     def spans(self, text: str, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
-        if not DIGIT.search(text):
-            return []
         out = []
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
             own = m[0]
-            if DIGIT.search(own) and re.search("[A-Za-z]", own) and SENSITIVE.search(text[max(0, a - 48) : a]) and self.marginal(text, a, b) >= threshold:
-                out.append((a, 3, b))
+            if SENSITIVE.search(text[max(0, a - 48) : a]) and self.marginal(text, a, b) >= threshold:
+                if DIGIT.search(own) and re.search("[A-Za-z]", own) or self.wordless(own) >= WORDLESS:
+                    out.append((a, 3, b))
         return out
 
 

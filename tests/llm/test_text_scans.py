@@ -163,3 +163,13 @@ def test_em_finds_the_reliable_labeler(seed):
     assert table[1, 0, 2] > table[1, 1, 2] > table[1, 3, 2]
     named = {tuple(p): x for p, x in zip(patterns.tolist(), post)}
     assert np.mean([(named[tuple(v)] > 0.5) == t for v, t in zip(votes.tolist(), truth)]) > 0.96
+
+
+def test_secrets_without_digits():
+    """Random letters are measured and found, joined words are not, in texts without any digit."""
+    rng, novelty = random.Random(0), secrets.Novelty()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    say = lambda own: f"As agreed in the morning, the bearer is {own} and nothing else has to be sent to the office."
+    found = lambda own: [say(own)[a:b] for a, _, b in novelty.spans(say(own))] == [own]
+    assert sum(found("".join(rng.choice(letters) for _ in range(20))) for _ in range(50)) >= 48
+    assert not any(map(found, ("authentication_provider", "AdministratorRepresentative", "network/application/security", "responsibilities", "================", "internationalization")))
