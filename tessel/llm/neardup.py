@@ -84,7 +84,10 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, row, text_key, n_shingles, digest (of the set), bands; digest and bands are null without a shingle."""
+    """doc_id, row, text_key, n_shingles, digest (of the set), bands; digest and bands are null without a shingle.
+
+    row is the one of docs (doc_id, text, row), or else numbered over its scan.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Circulant.get(bands, rows)
@@ -105,7 +108,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     }
                 )
 
-    rows_in = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.md5(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
+    rows_in = docs.select("doc_id", row, F.md5(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows_in.mapInArrow(sign, f"doc_id {kind}, row long, text_key string, n_shingles long, digest binary, bands array<long>")
 
@@ -316,12 +320,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = THRESHOLD, ban
 def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with one row of each component, all columns as they are.
 
-    docs must read the same rows in the same order each time, as a scan of files does.
+    docs is written once with its row ids, and judged and filtered from there, so its own scan may change.
     """
-    kept_docs = docs.withColumn("__row", F.monotonically_increasing_id())
-    judged = _judged(docs.select("doc_id", "text"), n, threshold, bands, rows)
+    written = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
+    judged = _judged(written.select("doc_id", "text", F.col("__row").alias("row")), n, threshold, bands, rows)
     dropped = judged.where("not kept").select(F.col("row").alias("__row"))
-    return kept_docs.join(_small(materialize(dropped, "dropped")), "__row", "left_anti").drop("__row")
+    return written.join(_small(materialize(dropped, "dropped")), "__row", "left_anti").drop("__row")
 
 
 ORACLE_SQL = r"""

@@ -169,3 +169,20 @@ def test_sharding_gathers_small_groups(spark, loose):
         rows[r["shard"]] += 1
     cut = sum(len(s) > 1 for s in shards.values())
     assert max(rows) - min(rows) <= 1 and cut <= (4 if loose else 80), cut
+
+
+def test_drop_near_duplicates_when_the_scan_changes(spark, tmp_path):
+    """Other file splits at the end than while judging leave the same rows."""
+    for i in range(16):
+        rows = [(10 * i + j, "the same words in each of these many files" if j == i % 3 else f"only {i} and {j} stand in this row w{i} v{j}") for j in range(3 + i % 4)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    copies = docs.where("text like 'the same words%'").count()
+    out = neardup.drop_near_duplicates(docs)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        kept = [r["text"] for r in out.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert copies == 16 and len(kept) == docs.count() - 15 and sum(t.startswith("the same") for t in kept) == 1
