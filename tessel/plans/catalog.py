@@ -643,8 +643,8 @@ def q_walkforward_splits(spark, sf_dir):
 
 
 def predicted(spark, sf_dir, *models: str, method: str = "expanding") -> DataFrame:
-    """Predictions of a few late splits: one fit per model and split."""
-    return ml.walk_forward_predictions(panel(spark, sf_dir), FEATURES, models, 24, 12, method)[0]
+    """Predictions of all splits, with 18 training months at least and 6 test months: one fit per model and split."""
+    return ml.walk_forward_predictions(panel(spark, sf_dir), FEATURES, models, 18, 6, method)[0]
 
 
 @query()
@@ -664,10 +664,7 @@ def q_ml_logistic(spark, sf_dir):
 
 @query()
 def q_ml_trees(spark, sf_dir):
-    data = ml.dataset(panel(spark, sf_dir), FEATURES)
-    split = validation.walk_forward(validation.panel_months(data), 24, 36, "purged", 1)[0]
-    forest = ml.fit_predict(data, split, "random_forest", FEATURES, trees=20)[0]
-    return ml.evaluate(forest.unionByName(ml.fit_predict(data, split, "gradient_boosting", FEATURES)[0]))
+    return ml.evaluate(predicted(spark, sf_dir, "random_forest", "gradient_boosting", method="purged"))
 
 
 @query()

@@ -221,3 +221,16 @@ def test_group_returns(spark):
     p = spark.createDataFrame(rows, "symbol string, month_end date, z_A double, fwd_1m_ret double")
     got = {(r["month_end"], r["quantile"]): r["mean_return"] for r in research.group_returns(p, ["z_A"]).collect()}
     assert got == pytest.approx({(MONTHS[0], k + 1): (4 * k + 1) / 20 for k in range(5)})
+
+
+def test_model_queries_cover_all_splits(monkeypatch):
+    """The model queries walk over all splits with the reference's 18 and 6 months, and forests have 120 trees."""
+    from tessel.plans import catalog
+
+    asked = []
+    monkeypatch.setattr(catalog, "panel", lambda *a: None)
+    monkeypatch.setattr(ml, "evaluate", lambda d: d)
+    monkeypatch.setattr(ml, "walk_forward_predictions", lambda panel, features, models, *a, **b: (asked.append((models, a, b)) or "rows", None))
+    assert catalog.q_ml_linear(None, "") == catalog.q_ml_trees(None, "") == "rows"
+    assert asked == [(("linear",), (18, 6, "expanding"), {}), (("random_forest", "gradient_boosting"), (18, 6, "purged"), {})]
+    assert ml.estimator.__defaults__[-2] == 120
