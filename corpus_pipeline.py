@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-#: Compression and tokenizers are not SQL; tests hold the pipeline against a plain version.
+#: Compression and tokenizers are not SQL; no test runs the stages as a chain.
 ORACLE_SQL = None
 
 
