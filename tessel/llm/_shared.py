@@ -10,21 +10,29 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Distinct words that one Python worker remembers; later words are encoded anew each batch.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 50_000
 
 
 _LOCAL_ROOTS: dict[str, str] = {}
+#: Bytes of a written table up to which it may be broadcast; beyond, the join is shuffled.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of an Arrow batch between Spark and Python while a table is written; the session's own value holds again after.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local folder where that is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir; where that is unset, a local folder in local mode alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # tests and single machines
-        root = _LOCAL_ROOTS.setdefault(spark.sparkContext.applicationId, "")
-        if not root:
-            root = _LOCAL_ROOTS[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessel-")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="tessel-")
+        root = _LOCAL_ROOTS[app]
     return root.rstrip("/")
 
 
@@ -36,19 +44,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables of materialize() that nothing reads any more: what follows from them has to be written already."""
+    for table in tables:
+        if path := getattr(table, "_scratch", None):
+            spark = table.sparkSession
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 12 << 20):
-    """Slices of a batch whose text holds about `limit` bytes at most (one longer text stays whole)."""
+def small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its files hold few bytes (by Spark's own statistics, without a job)."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+    """Parts of a batch whose text holds about `limit` bytes at most (one longer text stays whole).
+
+    A part is a copy with arrays of its own, since some of pyarrow's string functions go wrong on slices.
+    """
     col = batch.column(column)
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -56,7 +82,7 @@ def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 12 << 20):
     while lo < len(sizes):
         base = ends[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(lo, hi - lo)
+        yield batch.take(pa.array(np.arange(lo, hi))) if lo or hi < len(sizes) or col.offset else batch
         lo = hi
 
 

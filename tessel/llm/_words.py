@@ -22,12 +22,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def blank_words(texts: pa.Array) -> pa.Array:
     """Words [^\\x20\\x09-\\x0D]+ of texts with A-Z in lower case; null texts have none."""
-    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    return pc.ascii_split_whitespace(pc.ascii_lower(whole(texts)))
+
+
+def whole(texts: pa.Array) -> pa.Array:
+    """Large strings without nulls in buffers of their own: ascii_lower gives wrong bytes for an array with an offset."""
+    texts = texts.take(pa.array(np.arange(len(texts)))) if texts.offset else texts
+    return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
 def letter_words(texts: pa.Array) -> pa.Array:
     """Maximal runs of letters and digits of the lower-cased texts; null texts have none."""
-    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lower = pc.utf8_lower(whole(texts))
     return pc.split_pattern(pc.replace_substring_regex(lower, r"[^\p{L}\p{N}]+", " "), " ")
 
 

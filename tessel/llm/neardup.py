@@ -13,7 +13,8 @@ rarest of a hub first, and the survivors are verified. A large group costs a few
 pairs, and no pair of a bucket goes unexamined.
 
 Components come from alternating large-star and small-star joins. Pairs, sets and components stay in distributed
-tables; joins on a hot hub or bucket can be split by Spark, and counts are pre-aggregated.
+tables, which go once what follows from them is written; joins on a hot hub, bucket or component can be split by Spark,
+and counts are pre-aggregated.
 
 Null texts and texts without a word have no shingle, are linked with nothing and are kept. Texts with fewer words than
 a shingle are one shingle of them all. Repeated rows are copies of each other: component_id is the smallest doc_id
@@ -31,15 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm._shared import materialize, pieces_of
+from tessel.llm._shared import BROADCAST_BYTES, discard, materialize, pieces_of, small
 from tessel.llm._words import blank_words, mix, shingle_hashes, word_hashes
 
 THRESHOLD = 80
 BANDS, ROWS = 50, 7
 #: Positions of the second permutation.
 POSITIONS = 1 << 22
-#: Rows of a table that may be broadcast; beyond, the join is shuffled.
-BROADCAST_ROWS = 500_000
 #: Buckets in which a hub's differences are counted; a power of two.
 SKETCH = 4096
 
@@ -114,21 +113,16 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return rows_in.mapInArrow(sign, f"doc_id {kind}, row long, text_key string, n_shingles long, digest binary, bands array<long>")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """node, its whole set as sorted 64-bit hashes; wanted has (node, text_key)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of(whole, "text", 4 << 20):
+            for batch in pieces_of(whole, "text"):
                 yield pa.record_batch([batch.column("node"), pa.array([s.tobytes() for s in _sets(batch.column("text"), n)], pa.binary())], names=["node", "shingles"])
 
     texts = docs.select(F.col("text").cast("string").alias("text"), F.md5(F.col("text").cast("string")).alias("text_key"))
-    found = texts.join(_small(wanted), "text_key").groupBy("node").agg(F.first("text").alias("text"))  # copies meet here
+    found = texts.join(small(wanted), "text_key").groupBy("node").agg(F.first("text").alias("text"))  # copies meet here
     return found.mapInArrow(gather, "node long, shingles binary")
 
 
@@ -161,13 +155,14 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark["n"]:
             break
         seen = mark
-        hint = F.broadcast if mark["n"] <= BROADCAST_ROWS else lambda d: d
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hint = F.broadcast if mark["n"] * 16 <= BROADCAST_BYTES else lambda d: d  # two long columns at most
+        last, both = stars, stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(hint(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(hint(lower), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = materialize(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        small_stars = large.join(hint(lower), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = materialize(small_stars.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(last)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -233,8 +228,9 @@ def _side_pairs(pairs: DataFrame, sets: DataFrame, roots: DataFrame, threshold:
     """(hub, node) pairs of different components that can be linked beside a common hub."""
     named = _rooted(pairs.where("n > 2"), roots)
     open_hubs = materialize(named.where("root <> hub_root").select("hub").distinct(), "open")
-    group = materialize(_rooted(_differences(named.join(_small(open_hubs), "hub").select("hub", "node"), sets, threshold), roots), "differences")
+    group = materialize(_rooted(_differences(named.join(small(open_hubs), "hub").select("hub", "node"), sets, threshold), roots), "differences")
     sides = materialize(_by_rarity(group), "ranked")
+    discard(open_hubs, group)
     shared = F.size("by_rarity")
     head = lambda least: F.slice("by_rarity", F.lit(1), F.greatest(F.lit(0), shared - F.greatest(F.lit(1), least.cast("int")) + 1))
     own = sides.where("root <> hub_root").select("hub", F.col("node").alias("x"), F.col("root").alias("x_root"), "need", shared.alias("x_size"), F.posexplode(head(F.ceil(F.col("need") - 1e-9))).alias("x_at", "f"))
@@ -242,7 +238,9 @@ def _side_pairs(pairs: DataFrame, sets: DataFrame, roots: DataFrame, threshold:
     # of what a pair shares, nothing stands before its first common difference
     left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     met = own.join(other, ["hub", "f"]).where((F.col("x_root") != F.col("y_root")) & (F.col("need") + F.col("cost") - 1e-9 <= left))
-    return met.select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node")).distinct()
+    beside = materialize(met.select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node")).distinct(), "beside")
+    discard(sides)
+    return beside
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -253,7 +251,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """pairs with the components of both ends: hub_root, root."""
-    few = _small(roots)
+    few = small(roots)
     out = pairs.join(few.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col("node") == F.col("__n"), "left").withColumn("root", F.coalesce("__r", "node")).drop("__n", "__r")
     return out.join(few.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col("hub") == F.col("__n"), "left").withColumn("hub_root", F.coalesce("__r", "hub")).drop("__n", "__r")
 
@@ -262,15 +260,16 @@ def link_classes(classes: DataFrame, docs: DataFrame, n: int, threshold: int) ->
     """(node, root) for the classes (node, text_key, n_shingles, bands) that link to another class."""
     spark = classes.sparkSession
     banded = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    multi = materialize(banded.join(sizes, "key"), "buckets")
+    # aggregates are written before they are joined, so that Spark can split a hot bucket
+    sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    multi = materialize(banded.join(small(sizes), "key"), "buckets")
     score = materialize(multi.groupBy("node").agg(F.sum("n").alias("score")), "scores")
-    scored = multi.join(_small(score), "node")
-    hubs = scored.groupBy("key").agg(F.max(F.struct("score", "node", "n_shingles")).alias("hub"))
-    shared = scored.join(hubs, "key").where("node <> hub.node")
+    scored = multi.join(small(score), "node")
+    hubs = materialize(scored.groupBy("key").agg(F.max(F.struct("score", "node", "n_shingles")).alias("hub")), "hubs")
+    shared = scored.join(small(hubs), "key").where("node <> hub.node")
     pairs = shared.groupBy(F.col("hub.node").alias("hub"), "node").agg(F.max("hub.score").alias("hub_score"), F.max("hub.n_shingles").alias("hub_n"), F.max("n_shingles").alias("n_shingles"), F.max("n").alias("n"))
     pairs = materialize(pairs, "pairs")
-    wanted = materialize(classes.join(_small(score), "node", "left_semi").select("node", "text_key"), "wanted")
+    wanted = materialize(classes.join(small(score), "node", "left_semi").select("node", "text_key"), "wanted")
     sets = materialize(shingle_sets(docs, wanted, n), "sets")
 
     def examine(part: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -286,30 +285,35 @@ def link_classes(classes: DataFrame, docs: DataFrame, n: int, threshold: int) ->
     first = near.groupBy("node").agg(F.max(F.struct("hub_score", "hub")).alias("h")).select("h.hub", "node")
     checked, roots = examine(first, roots)
     apart = _rooted(near, roots).where("root <> hub_root").select("hub", "node")
-    rest = materialize(apart.join(_small(checked.select("hub", "node")), ["hub", "node"], "left_anti"), "rest")
+    rest = materialize(apart.join(small(checked.select("hub", "node")), ["hub", "node"], "left_anti"), "rest")
     if rest.take(1):
         _, roots = examine(rest, roots)
-    sides = materialize(_side_pairs(pairs, sets, roots, threshold), "beside")
+    sides = _side_pairs(pairs, sets, roots, threshold)
     if sides.take(1):
         _, roots = examine(sides, roots)
+    discard(sizes, multi, score, hubs, pairs, wanted, sets, checked, rest, sides)
     return roots
 
 
 def _judged(docs: DataFrame, n: int, threshold: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, row, text_key, n_shingles, component_id, kept of every row of docs."""
+    """doc_id, row, n_shingles, component_id, kept of every row of docs, written."""
     signed = materialize(signatures(docs, n, bands, rows), "signatures")
     classes = signed.where("digest is not null").groupBy("digest").agg(F.first("n_shingles").alias("n_shingles"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     roots = link_classes(classes, docs, n, threshold)
-    named = classes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    members = materialize(signed.drop("bands").join(named, "digest", "left"), "members")
-    best = members.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("first"))
-    out = members.join(best, "root", "left")
-    return out.select(
-        "doc_id", "row", "text_key", "n_shingles",
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
-        (F.col("root").isNull() | (F.col("row") == F.col("first.row"))).alias("kept"),
+    named = materialize(classes.select("digest", "node").join(small(roots), "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "named")
+    members = materialize(signed.drop("bands", "text_key").join(named, "digest", "left"), "members")
+    discard(signed, classes, roots, named)
+    best = members.where("root is not null").groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("first"))
+    best = materialize(best.where("rows > 1").select("root", "first"), "first")  # written, so that Spark can split a hot root in the join
+    out = members.join(small(best), "root", "left").select(
+        "doc_id", "row", "n_shingles",
+        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        (F.col("first").isNull() | (F.col("row") == F.col("first.row"))).alias("kept"),
     )
+    out = materialize(out, "judged")
+    discard(members, best)
+    return out
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -322,10 +326,14 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: int = THRESHOLD
 
     docs is written once with its row ids, and judged and filtered from there, so its own scan may change.
     """
-    written = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    judged = _judged(written.select("doc_id", "text", F.col("__row").alias("row")), n, threshold, bands, rows)
-    dropped = judged.where("not kept").select(F.col("row").alias("__row"))
-    return written.join(_small(materialize(dropped, "dropped")), "__row", "left_anti").drop("__row")
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    written = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
+    judged = _judged(written.select("doc_id", "text", F.col(row).alias("row")), n, threshold, bands, rows)
+    dropped = materialize(judged.where("not kept").select(F.col("row").alias(row)), "dropped")
+    discard(judged)
+    return written.join(small(dropped), row, "left_anti").drop(row)
 
 
 ORACLE_SQL = r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessel.llm import decontam, neardup, quality
 from tessel.llm.langid import identify
@@ -41,7 +42,8 @@ def op5_bit_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_docs(spark, sf_dir), n=2)
+    rows = neardup.near_duplicates(_docs(spark, sf_dir), n=2)
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,3 +186,19 @@ def test_drop_near_duplicates_when_the_scan_changes(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert copies == 16 and len(kept) == docs.count() - 15 and sum(t.startswith("the same") for t in kept) == 1
+
+
+def test_batches_beyond_a_slice(spark):
+    """More text in one partition than a task takes at once, with capitals throughout."""
+    rng = random.Random(9)
+    vocab = [f"Word{i}" for i in range(3000)]
+    texts = []
+    for _ in range(6):
+        base = [rng.choice(vocab) for _ in range(14_000)]
+        texts += [" ".join(base), " ".join(base).upper(), " ".join(rng.choice(vocab) if rng.random() < 0.03 else w for w in base), " ".join(rng.choice(vocab) if rng.random() < 0.2 else w for w in base)]
+    rng.shuffle(texts)
+    assert 2 * sum(map(len, texts)) > 4 << 20
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, n=2).collect()}
+    want = plain_components(texts, 2)
+    assert got == {i: want[i % len(texts)] for i in range(2 * len(texts))}
