@@ -8,7 +8,8 @@ Layout (little-endian): magic, then eight unsigned 64-bit numbers (bits, ids per
 document has no doc_id ...), doc_id, validity, document starts, block offsets, blocks.
 
 Null texts are empty documents (the end id alone). Null doc_ids sort first, repeated doc_ids are separate documents
-ordered by their ids, and an empty table writes no file and reads back as no row. Extra columns are ignored.
+ordered by a hash of their texts, and an empty table writes no file and reads back as no row. Very long texts are
+encoded one at a time. Extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from tessel.llm._shared import default_tokenizer, encoder, materialize, pieces_o
 MAGIC = b"TSLIDS01"
 BLOCK_IDS = 65536
 FILE_IDS = 8_000_000
+#: Bounds of the sample that cuts doc_id into ranges.
+SAMPLES_PER_RANGE, MAX_RANGES = 20, 20_000
+#: Bytes of text or ids that a task turns into Python objects at once; ids that it decodes at once.
+PIECE_BYTES, READ_IDS = 2 << 20, 1 << 20
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
@@ -60,8 +65,9 @@ def build_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, b
 class TokenFile:
     """Random access to the documents of one file's bytes."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, data: bytes | pa.Buffer):
+        data = memoryview(data)
+        if bytes(data[:8]) != MAGIC:
             raise ValueError("not a token-id file")
         self.bits, self.block, n, self.n_ids, n_blocks = (int(x) for x in np.frombuffer(data, "<u8", 8, 8)[:5])
         at = 72
@@ -98,36 +104,45 @@ def _store(path: str, name: str, data: bytes) -> None:
     store.move(part, f"{root}/{name}")
 
 
+def _splitters(rows: DataFrame, n: int, ranges: int) -> list[tuple[bool, int, int]]:
+    """Keys (known, doc_id, hash) that cut a hash sample of the rows into about equal ranges."""
+    share = min(1.0, SAMPLES_PER_RANGE * ranges / n)
+    drawn = rows.select("doc_id", "h").where(F.pmod(F.xxhash64("doc_id", "h", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    keys = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["h"]) for r in drawn.collect())
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, file_ids: int = FILE_IDS, bytes_per_file: int = 32 << 20) -> DataFrame:
     """Encode documents (doc_id, text) into files under path in ascending doc_id order; returns the files' manifest.
 
-    Ranges of doc_id come from quantiles over the doc_id column alone, so the texts are read and encoded once and only
-    their ids are shuffled. A range larger than file_ids is continued in further files, so a writer's memory is
-    bounded by file_ids plus one document.
+    Ranges come from a bounded sample (about SAMPLES_PER_RANGE rows for each of at most MAX_RANGES ranges) of doc_id and
+    a hash of the text, so the texts are encoded once and only their ids are shuffled, and rows that repeat a doc_id
+    are spread as well. A range larger than file_ids is continued in further files, so a writer's memory is bounded by
+    file_ids plus one document.
     """
     from tokenizers import Tokenizer
 
     tokenizer = tokenizer or default_tokenizer()
     bits = max(1, int(Tokenizer.from_file(tokenizer).get_vocab_size() - 1).bit_length())
     narrow = "<u2" if bits <= 16 else "<u4"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    n = max(1, -(-total // bytes_per_file))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    cuts = [int(c) for c in cuts]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    ranges = min(MAX_RANGES, max(1, -(-total["b"] // bytes_per_file)))
+    cuts = _splitters(rows, total["n"], ranges) if ranges > 1 else []
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for whole in batches:
-            for batch in pieces_of(whole, "text"):
+            for batch in pieces_of(whole, "text", PIECE_BYTES):
                 ids, counts = enc.encode(batch.column("text"))
                 ends, small = np.cumsum(counts), ids.astype(narrow)
                 last = np.array([end_id], dtype=narrow).tobytes()
                 keys = batch.column("doc_id").to_pylist()
                 yield pa.record_batch(
                     {
-                        "bucket": pa.array([0 if k is None else bisect.bisect_left(cuts, k) for k in keys], pa.int32()),
+                        "bucket": pa.array([bisect.bisect_right(cuts, (k is not None, k or 0, h)) for k, h in zip(keys, batch.column("h").to_pylist())], pa.int32()),
                         "doc_id": pa.array(keys, pa.int64()),
+                        "h": batch.column("h"),
                         "n": pa.array(counts + 1, pa.int64()),
                         "ids": pa.array([small[a:b].tobytes() + last for a, b in zip(ends - counts, ends)], pa.binary()),
                     }
@@ -144,26 +159,29 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             nonlocal part, held_ids
             if keys:
                 name = f"part-{now:08d}-{part:05d}.ids"
-                _store(path, name, build_file(keys, sizes, np.frombuffer(b"".join(held), narrow), bits))
+                ids = np.frombuffer(b"".join(held), narrow)
+                held.clear()
+                _store(path, name, build_file(keys, sizes, ids, bits))
                 made.append((name, now, part, len(keys), held_ids))
-                keys.clear(), held.clear(), sizes.clear()
+                keys.clear(), sizes.clear()
                 part, held_ids = part + 1, 0
 
-        for batch in batches:
-            for b, k, c, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if b != now:
-                    flush()
-                    now, part = b, 0
-                elif held_ids + c > file_ids:
-                    flush()
-                keys.append(k), held.append(x), sizes.append(c)
-                held_ids += c
+        for whole in batches:
+            for batch in pieces_of(whole, "ids", PIECE_BYTES):
+                for b, k, c, x in zip(*(batch.column(i).to_pylist() for i in ("bucket", "doc_id", "n", "ids"))):
+                    if b != now:
+                        flush()
+                        now, part = b, 0
+                    elif held_ids + c > file_ids:
+                        flush()
+                    keys.append(k), held.append(x), sizes.append(c)
+                    held_ids += c
         flush()
         cols = list(zip(*made)) or [()] * 5
         yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["file", "bucket", "part", "n_docs", "n_ids"])
 
-    encoded = rows.mapInArrow(encode, "bucket int, doc_id long, n long, ids binary")
-    ordered = encoded.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "n", "ids")
+    encoded = rows.mapInArrow(encode, "bucket int, doc_id long, h long, n long, ids binary")
+    ordered = encoded.repartitionById(ranges, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "h", "n")
     return materialize(ordered.mapInArrow(write, "file string, bucket int, part int, n_docs long, n_ids long"), "manifest")
 
 
@@ -172,11 +190,11 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                file = TokenFile(data)
+            for i in range(batch.num_rows):
+                name, file = batch.column(0)[i].as_py(), TokenFile(batch.column(1)[i].as_buffer())
                 n, lo = len(file.docs), 0
-                while lo < n:  # about 16 MB of ids at once
-                    hi = max(lo + 1, int(np.searchsorted(file.starts, file.starts[lo] + (4 << 20), side="right")) - 1)
+                while lo < n:
+                    hi = max(lo + 1, int(np.searchsorted(file.starts, file.starts[lo] + READ_IDS, side="right")) - 1)
                     hi = min(hi, n)
                     ids, at = file.span(int(file.starts[lo]), int(file.starts[hi])), file.starts[lo : hi + 1]
                     raw, off = ids.astype("<u4").tobytes(), ((at - at[0]) * 4).tolist()
