@@ -13,30 +13,28 @@ passage can only repeat if its anchor's token is found twice. Consecutive suffix
    its suffixes are dealt out by their own hashes and compared by a count.
 3. Repeated suffixes become spans of bytes, which are cut out of each text.
 
-Hashes of 128 bits stand for the bytes. No group is held whole beyond LOCAL_BLOCKS blocks; copies of a text are
-handled as one. Null texts are empty; texts shorter than LENGTH keep all; repeated rows are copies of each other; an
+Blocks, and the suffixes of very frequent tokens, are told apart by xxh3 hashes of their bytes; neighbours in a bucket
+are compared byte by byte. No group is held whole beyond LOCAL_BLOCKS blocks. Copies of a text are handled as one: a
+task passes on two of them at most, since a third says nothing new. Null texts are empty; texts shorter than LENGTH keep all; repeated rows are copies of each other; an
 empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm._rolling import SEGMENT, Rolling, window_minima
-from tessel.llm._shared import materialize, pieces_of
-from tessel.llm._words import mix
+from tessel.llm._shared import discard, materialize, pieces_of, small
 
 LENGTH = 400
 TOKEN = 100
-LOCAL_BLOCKS = 20_000
-#: Rows of a table that may be broadcast; beyond, the join is shuffled.
-BROADCAST_ROWS = 500_000
+LOCAL_BLOCKS = 4_000
 _LOW = np.uint64(0xFFFFFF)
 
 
@@ -51,8 +49,8 @@ def blocks_of(data: np.ndarray, length: int, token: int) -> tuple[np.ndarray, np
         anchor = (window_minima(order, length - token + 1) & _LOW).astype(np.int64)
         cut = np.flatnonzero(np.diff(anchor)) + 1
         first, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(anchor)]])
-        content = roll.spans(first, end - 1 + length)
-        block = mix(content ^ mix(((anchor[first] - first) << 20 | (end - first)).astype(np.uint64)))
+        own = memoryview(part)
+        block = np.fromiter((xxhash.xxh3_64_intdigest(own[a:b]) for a, b in zip(first.tolist(), (end - 1 + length).tolist())), np.uint64, len(first))
         out.append((tokens[anchor[first]], block, first + lo, end + lo))
     if not out:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
@@ -81,6 +79,25 @@ def multikey_equal(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(start) - 1
 
 
+def confirmed(data: np.ndarray, at: np.ndarray, order: np.ndarray, run: np.ndarray, length: int, rows: int = 20_000) -> np.ndarray:
+    """run, split wherever neighbours of a run differ in their bytes data[at : at + length]."""
+    same = np.flatnonzero(run[1:] == run[:-1])
+    if not len(same):
+        return run
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    split = np.zeros(len(run), np.int64)
+    for lo in range(0, len(same), rows):
+        i = same[lo : lo + rows]
+        split[i + 1] = (windows[at[order[i]]] != windows[at[order[i + 1]]]).any(axis=1)
+    return run + np.cumsum(split)
+
+
+def begins_of(data: list[bytes]) -> np.ndarray:
+    """Where each piece begins in the joined pieces."""
+    sizes = np.array([len(d) for d in data])
+    return np.cumsum(sizes) - sizes
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true flags."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
@@ -106,32 +123,41 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, lo
     texts = docs.select(F.xxhash64("text").alias("tk"), F.octet_length("text").alias("n"), "text").where(F.col("n") >= length)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: set[tuple[int, int]] = set()
+        twice: set[tuple[int, int]] = set()
         for whole in batches:
             for batch in pieces_of(whole, "text", 2 << 20):
-                cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+                cols: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)]
                 for tk, n, text in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column("text").cast(pa.binary()).to_pylist()):
+                    if (tk, n) in twice:  # two copies of a text say all that more would
+                        continue
+                    (twice if (tk, n) in once else once).add((tk, n))
                     found = blocks_of(np.frombuffer(text, np.uint8), length, token)
                     for c, v in zip(cols, (*found, np.full(len(found[0]), tk), np.full(len(found[0]), n))):
                         c.append(v)
                 k, b, p0, p1, tk, n = (np.concatenate(c) for c in cols)
                 yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(b.view(np.int64)), pa.array(tk), pa.array(n.astype(np.int32)), pa.array(p0.astype(np.int32)), pa.array(p1.astype(np.int32))], names=["token", "block", "tk", "n", "p0", "p1"])
 
-    found = texts.mapInArrow(anchors, "token long, block long, tk long, n int, p0 int, p1 int")
+    # aggregates are written before they are joined, so that Spark can split a hot token in the join
+    found = materialize(texts.mapInArrow(anchors, "token long, block long, tk long, n int, p0 int, p1 int"), "anchors")
     again = found.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("c > 1")
-    again = again.select("token", (F.col("lo") != F.col("hi")).alias("differs"))
-    flagged = materialize(found.join(again, "token"), "flagged")
+    again = materialize(again.select("token", (F.col("lo") != F.col("hi")).alias("differs")), "tokens")
+    flagged = materialize(found.join(small(again), "token"), "flagged")
+    discard(found, again)
 
     blocks = flagged.groupBy("token", "block").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("tk", "n", "p0", "p1")).alias("at"), F.first("differs").alias("differs"))
     blocks = materialize(blocks, "blocks")
-    whole = flagged.join(blocks.where("c > 1").select("token", "block"), ["token", "block"]).select("tk", "n", F.col("p0").alias("a"), (F.col("p1") + (length - 1)).alias("b"))
+    twice = materialize(blocks.where("c > 1").select("token", "block"), "twice")
+    whole = materialize(flagged.join(small(twice), ["token", "block"]).select("tk", "n", F.col("p0").alias("a"), (F.col("p1") + (length - 1)).alias("b")), "whole")
+    discard(flagged, twice)
 
     unsure = blocks.where("differs")
     sizes = unsure.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least")).where("least = 1")  # else all repeat whole
-    unsure = unsure.join(sizes.select("token", (F.col("m") > local_blocks).alias("hot")), "token").select("token", "block", F.least("c", F.lit(2)).cast("int").alias("w"), "at.*", "hot")
-    unsure = materialize(unsure, "unsure")
+    sizes = materialize(sizes.select("token", (F.col("m") > local_blocks).alias("hot")), "sizes")
+    unsure = unsure.join(small(sizes), "token").select("token", "block", F.least("c", F.lit(2)).cast("int").alias("w"), "at.*", "hot")
     lists = materialize(unsure.groupBy("tk", "n").agg(F.collect_list(F.struct("token", "block", "w", "p0", "p1", "hot")).alias("found")), "lists")
-    few = unsure.count() <= BROADCAST_ROWS
-    own = texts.join(F.broadcast(lists) if few else lists, ["tk", "n"])
+    discard(blocks, sizes)
+    own = texts.join(lists.hint("merge"), ["tk", "n"])  # texts are shuffled at every size
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -147,6 +173,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, lo
     pieces = own.select("tk", "n", "text", "found").mapInArrow(cut, "token long, block long, w int, tk long, n int, p0 int, hot boolean, bytes binary")
     pieces = pieces.groupBy("token", "block", "w", "tk", "n", "p0", "hot").agg(F.first("bytes").alias("bytes"))  # copies of a text
     pieces = materialize(pieces, "pieces")
+    discard(lists)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by token; the groups of whole tokens are compared some thousand blocks at a time."""
@@ -160,6 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, lo
             block, place, offset, h1, h2 = _suffixes(data, anchor, length)
             group = np.unique(np.array(token), return_inverse=True)[1].astype(np.int64)
             order, run = multikey_equal([h1, h2, group[block] << 12 | offset])
+            run = confirmed(np.frombuffer(b"".join(data), np.uint8), begins_of(data)[block] + place, order, run, length)
             weight = np.bincount(run, weights=np.array(w)[block[order]])
             repeat = np.zeros(len(block), bool)
             repeat[order] = weight[run] > 1
@@ -184,12 +212,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, lo
 
     token_size = token
     sorted_pieces = pieces.where("not hot").select("token", "block", "w", "tk", "n", "p0", "bytes").repartitionByRange("token").sortWithinPartitions("token", "block")
-    ends = sorted_pieces.mapInArrow(compare, "tk long, n int, a int, b int")
-    spans = whole.unionByName(ends)
+    spans = whole.unionByName(sorted_pieces.mapInArrow(compare, "tk long, n int, a int, b int"))
     hot = pieces.where("hot")
     if hot.take(1):
         spans = spans.unionByName(_hot_spans(hot, length))
-    return spans.groupBy("tk", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    found = materialize(spans.groupBy("tk", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    discard(whole, pieces)
+    return found
 
 
 def _hot_spans(pieces: DataFrame, length: int) -> DataFrame:
@@ -197,10 +226,12 @@ def _hot_spans(pieces: DataFrame, length: int) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for lo in range(0, whole.num_rows, 200):
+                batch = whole.take(pa.array(np.arange(lo, min(lo + 200, whole.num_rows))))
                 data = batch.column("bytes").to_pylist()
-                block, place, _, h1, h2 = _suffixes(data, [0] * len(data), length)
+                at = [(i, p) for i, d in enumerate(data) for p in range(len(d) - length + 1)]
+                block, place = (np.array(c, np.int64) for c in zip(*at))
+                h1, h2 = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i][p : p + length]) for i, p in at), "<u8").reshape(-1, 2).T.copy()
                 take = pa.array(block)
                 yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(batch.column(c).take(take) for c in ("w", "tk", "n", "p0")), pa.array(place.astype(np.int32))], names=["h1", "h2", "w", "tk", "n", "p0", "place"])
 
@@ -217,7 +248,8 @@ def _hot_spans(pieces: DataFrame, length: int) -> DataFrame:
     rows = pieces.select("bytes", "w", "tk", "n", "p0").mapInArrow(explode, "h1 long, h2 long, w int, tk long, n int, p0 int, place int")
     rows = materialize(rows, "suffixes")
     twice = rows.groupBy("h1", "h2").agg(F.sum("w").alias("s")).where("s > 1").select("h1", "h2")
-    places = rows.where("w = 1").join(twice, ["h1", "h2"]).groupBy("tk", "n", "p0").agg(F.collect_set("place").alias("places"))
+    twice = materialize(twice, "suffixes-twice")
+    places = rows.where("w = 1").join(small(twice), ["h1", "h2"]).groupBy("tk", "n", "p0").agg(F.collect_set("place").alias("places"))
     return places.mapInArrow(shrink, "tk long, n int, a int, b int")
 
 
@@ -248,9 +280,16 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
                 yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     keyed = docs.withColumn("tk", F.xxhash64("text")).withColumn("n", F.octet_length("text"))
-    joined = keyed.join(materialize(spans, "spans"), ["tk", "n"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans.hint("merge"), ["tk", "n"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
-    return cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """cut_repeats with the remaining bytes digested, and as text (a character cut in two becomes a replacement mark)."""
+    rows = cut_repeats(docs)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), _decoded("kept").alias("text"))
+
+
+def _decoded(column: str):
+    """Bytes as text, without an error for a cut character."""
+    return F.expr(f"CASE WHEN is_valid_utf8(string({column})) THEN string({column}) ELSE make_valid_utf8(string({column})) END")
