@@ -11,8 +11,9 @@ Items go to the tasks in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES byt
 further passes. No shuffle.
 
 Null texts, and texts without a word, hold nothing and are held by nothing. Items with fewer than five words are one
-shingle of all their words, searched for as such. Repeated documents and items are reported each; empty tables give no
-row; extra columns are ignored by contained_items and kept by drop_contaminated.
+shingle of all their words, searched for as such. Repeated documents and items are reported each (an item that repeats
+is held once, with its count); very long texts are searched whole; ids may be of any type; empty tables give no row;
+extra columns are ignored by contained_items and kept by drop_contaminated.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessel.llm._shared import pieces_of
 from tessel.llm._words import letter_words, mix, shingle_hashes, word_hashes
@@ -113,8 +116,14 @@ class Index:
                 yield text, self.items[i], len(mine), shared
 
 
+def _distinct(items: DataFrame) -> DataFrame:
+    """item_id, text and how many times they stand in the table, without null texts."""
+    rows = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    return rows.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
+
+
 def _blocks(items: DataFrame, block_items: int, block_bytes: int) -> Iterator[list]:
-    """Items (item_id, text) in blocks of a bounded size."""
+    """Distinct items (item_id, text, times) in blocks of a bounded size."""
     total = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-total["n"] // block_items), -(-total["b"] // block_bytes))
     for b in range(blocks):
@@ -135,21 +144,21 @@ def _indexes(block: list, n: int, threshold: int) -> list[Index]:
 def contained_items(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD, n: int = WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs (doc_id, item_id, n_shingles, n_shared) where docs (doc_id, text) hold `threshold` percent of an item's shingles."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    items = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, n_shingles long, n_shared long"
+    items = _distinct(items)
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("item_id", items.schema["item_id"].dataType), StructField("n_shingles", LongType()), StructField("n_shared", LongType())])
+    item_kind = to_arrow_type(items.schema["item_id"].dataType)
     out = None
     for block in _blocks(items, block_items, block_bytes):
-        indexes, ids = _indexes(block, n, threshold), [r["item_id"] for r in block]
+        indexes, ids, times = _indexes(block, n, threshold), [r["item_id"] for r in block], [r["times"] for r in block]
 
-        def search(batches: Iterator[pa.RecordBatch], indexes=indexes, ids=ids) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], indexes=indexes, ids=ids, times=times) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in pieces_of(whole, "text"):
                     hashed = word_hashes(letter_words(batch.column("text")))
-                    rows = [r for index in indexes for r in index.search(*hashed, threshold)]
+                    rows = [r for index in indexes for r in index.search(*hashed, threshold) for _ in range(times[r[1]])]
                     cols = list(zip(*rows)) or [()] * 4
                     yield pa.record_batch(
-                        [batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array([ids[i] for i in cols[1]], _arrow(item_kind)), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
+                        [batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array([ids[i] for i in cols[1]], item_kind), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
                         names=["doc_id", "item_id", "n_shingles", "n_shared"],
                     )
 
@@ -158,14 +167,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: int = THRESHOL
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD, n: int = WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without those that hold an item; all columns stay, and nothing is shuffled."""
-    items = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    for block in _blocks(items, block_items, block_bytes):
+    for block in _blocks(_distinct(items), block_items, block_bytes):
         indexes = _indexes(block, n, threshold)
 
         def clean(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:

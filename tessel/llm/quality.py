@@ -1,12 +1,13 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Base counts come from each whole text. Further rules reject a document each; their cost and selectivity are measured
-on a sample of at most SAMPLE_ROWS rows, and the cascade runs them by rejections per second, the best first, so that a
-rejected document costs no later rule. The order changes the cost alone, never a verdict. All work stays within a
-row: no shuffle, no Python.
+Base counts come from each whole text, however long. Further rules reject a document each; their cost and selectivity
+are measured on a drawn sample of about SAMPLE_ROWS rows, and the cascade runs them by rejections per second, the best
+first (ties by name), so that a rejected document costs no later rule. The order changes the cost alone, never a
+verdict. All work stays within a row: no shuffle, no Python.
 
 Null and empty texts have no word and fail the base. Repeated rows are judged each, an empty table gives no row, and
-extra columns pass through unless they bear the name of an output column, which replaces them.
+extra columns pass through unless they bear the name of an output column, which replaces them; keep_good passes all
+columns through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm._shared import materialize
+from tessel.llm._shared import discard, materialize
 
-#: Rows of the sample on which costs and selectivities are measured.
+#: Rows, on average, of the sample on which costs and selectivities are measured.
 SAMPLE_ROWS = 2000
 MIN_WORDS = 50
 BLANK = r"[\x20\x09-\x0D]+"
@@ -92,41 +93,56 @@ def default_rules() -> list[Rule]:
 
 def measure(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds over the sample, share rejected), the best rejections per second first."""
-    sample = materialize(docs.select("text").where(F.length("text") > 0).limit(sample_rows), "sample")
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = materialize(docs.select("text").sample(share, seed=2), "sample")
     sample.agg(F.sum(F.length("text"))).collect()  # code and files are warm for all rules alike
     found = []
     for rule in rules:
         began = time.perf_counter()
         share = sample.agg(F.avg(rule.rejects.cast("int"))).first()[0] or 0.0
         found.append((rule, time.perf_counter() - began, float(share)))
+    discard(sample)
     return sorted(found, key=lambda x: (-x[2] / max(x[1], 1e-6), x[0].name))
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """name, lengthened until no column bears it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def quality_features(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = docs.select(*[f"`{c}`" for c in docs.columns if c not in out], words_of(text).alias("__w"), lines_of(text).alias("__l"))
+    passed = [c for c in docs.columns if c not in out]
+    w, lines = unused("w", passed), unused("lines", passed)
+    rows = docs.select(*[f"`{c}`" for c in passed], words_of(text).alias(w), lines_of(text).alias(lines))
     rows = rows.select(
-        *[f"`{c}`" for c in rows.columns if c not in ("__w", "__l")],
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("__w")).cast("long").alias("n_repeat_words"),
+        *[f"`{c}`" for c in passed],
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col(w)).cast("long").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return rows.withColumn("base_failed", failed)
 
 
 def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """quality_features with rejected_by (the first rule of the cascade that rejects, 'base', or null) and kept."""
-    order = measure(docs, rules or default_rules(), sample_rows)
-    verdict = F.when(F.col("base_failed"), "base")
-    for rule, _, _ in order:
-        verdict = verdict.when(rule.rejects, rule.name)
-    rows = quality_features(docs.drop("rejected_by", "kept"))
-    return rows.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+    """quality_features with kept: neither the base nor a rule rejects."""
+    kept = F.when(F.col("base_failed"), False)
+    for rule, _, _ in measure(docs, rules or default_rules(), sample_rows):
+        kept = kept.when(rule.rejects, False)
+    return quality_features(docs.drop("kept")).withColumn("kept", kept.otherwise(True))
+
+
+def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that the cascade keeps, with all columns as they are."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return quality_cascade(packed, rules, sample_rows).where("kept").select("row.*")
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
