@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessel.artifacts import Manifest, publish
 from tessel.config import Config, ConfigError, as_plain, load
 from tessel.operators import cleaning, decision, factors, indicators, ml, portfolio, registry, research, stress, tuning
-from tessel.sources import sinks
+from tessel.sources import acquire, sinks
 from tessel.sources.files import first_existing, read_csv
 
 
@@ -43,10 +43,25 @@ class Run:
         return self.path(name)
 
 
+def fetch(r: Run) -> list[str]:
+    """Daily bars of the universe from the configured source; nothing where none is configured."""
+    c, d = r.config.fetch, r.config.data.input_dir
+    if c.source is None:
+        return []
+    listing = first_existing(r.spark, [f"{d}/universe.parquet", f"{d}/universe.csv"])
+    raw = r.spark.read.parquet(listing) if listing.endswith(".parquet") else r.spark.read.option("header", True).csv(listing)
+    universe = r.save(acquire.universe_of(raw, c.probe_n or c.final_n), "universe", report=True)
+    source = acquire.with_retries(acquire.load_fetch(c.source), tuple(map(acquire.load_fetch, c.fallbacks)), c.max_retries, c.base_delay)
+    wanted = r.spark.read.parquet(universe)
+    state = acquire.fetch_symbols(r.spark, wanted, source, c.start_date, acquire.last_day(c.end_date), c.cache_dir, f"{c.cache_dir}-checkpoint", c.max_workers, c.rate_limit_per_second, c.resume, c.use_cache, c.checkpoint_every)
+    out = [universe, r.save(acquire.summary(state.join(wanted.select("symbol"), "symbol", "left_semi"), wanted), "fetch_summary", report=True)]
+    return [*out, r.save(acquire.read_cache(r.spark, c.cache_dir).join(wanted.select("symbol"), "symbol", "left_semi"), "fetched")]
+
+
 def clean(r: Run) -> list[str]:
     d, c = r.config.data.input_dir, r.config.cleaning
-    source = first_existing(r.spark, [f"{d}/daily_price.parquet", f"{d}/daily_price.csv", f"{d}/processed/daily_price*.csv", f"{d}/daily_price*.csv"])
-    raw = r.spark.read.parquet(source) if source.endswith(".parquet") else read_csv(r.spark, source)
+    source = first_existing(r.spark, [r.path("fetched"), f"{d}/daily_price.parquet", f"{d}/daily_price.csv", f"{d}/processed/daily_price*.csv", f"{d}/daily_price*.csv"])
+    raw = r.spark.read.parquet(source) if source.endswith((".parquet", "/fetched")) else read_csv(r.spark, source)
     profile = r.save(cleaning.quality_profile(cleaning.coerce(cleaning.add_missing(cleaning.rename_aliases(raw)))), "quality_profile", report=True)
     bars = r.save(cleaning.clean_daily(raw), "daily_price")
     daily = r.read("daily_price")
@@ -157,6 +172,7 @@ def benchmarks(r: Run) -> list[str]:
 
 
 STAGES: dict[str, Callable[[Run], list[str]]] = {
+    "fetch": fetch,
     "clean": clean,
     "factors": build_factors,
     "backtest": backtest,

@@ -1,11 +1,14 @@
 """Long-only mean-variance weights, month after month.
 
 A month's weights depend on the month before, so a score source is a sequence: its months go through one grouped
-function in order. Sources (and candidates) run side by side; a source's panel is months times names.
+function in order. Sources (and candidates) run side by side; a source's panel is months times names, and its memory is
+linear in them: covariances stay in the form of the few months that they come from.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,22 +34,89 @@ def _prox(v: np.ndarray, before: np.ndarray, penalty: float, cap: float) -> np.n
     return at((lo + hi) / 2)
 
 
-def optimal_weights(expected: np.ndarray, covariance: np.ndarray, before: np.ndarray, risk_aversion: float = 5.0, turnover_penalty: float = 0.05, concentration_penalty: float = 0.01, max_weight: float = 0.25, steps: int = 3000) -> np.ndarray:
-    """Minimise -mu'w + ra w'Cw + tp |w - before| + cp |w|^2 with sum 1 and 0 <= w <= min(max_weight, 1).
+@dataclass(frozen=True)
+class LowRank:
+    """A covariance rows' rows + ridge I, never made as a matrix: a dozen months say no more about any number of names."""
+
+    rows: np.ndarray
+    ridge: float
+
+    @staticmethod
+    def of(covariance: np.ndarray) -> LowRank:
+        values, vectors = np.linalg.eigh(covariance)
+        keep = values > 0
+        return LowRank(np.sqrt(values[keep])[:, None] * vectors[:, keep].T, 0.0)
+
+    def dense(self) -> np.ndarray:
+        return self.rows.T @ self.rows + self.ridge * np.eye(self.rows.shape[1])
+
+    def times(self, y: np.ndarray) -> np.ndarray:
+        return self.rows.T @ (self.rows @ y) + self.ridge * y
 
-    Equal weights where the cap can't hold or the input isn't finite. Accelerated proximal gradient steps: the
-    objective is convex, and strictly so with any risk aversion or concentration penalty.
+    def top(self) -> float:
+        return self.ridge + (float(np.linalg.eigvalsh(self.rows @ self.rows.T)[-1]) if len(self.rows) else 0.0)
+
+
+def _dual_weights(expected: np.ndarray, risk: LowRank, before: np.ndarray, ra: float, tp: float, cp: float, cap: float, steps: int = 200) -> np.ndarray | None:
+    """The minimiser by Newton steps on the dual, with one price for each of the covariance's rows.
+
+    Given these prices the price of the sum follows from sorted break points, and each weight in closed form; the dual
+    is strongly concave and of a dozen dimensions. None where the steps don't settle.
     """
-    n, cap = len(expected), min(max_weight, 1.0)
-    if n * cap < 1.0 or not (np.isfinite(expected).all() and np.isfinite(covariance).all()):
-        return np.full(n, 1.0 / n)
-    top = float(np.linalg.eigvalsh(covariance)[-1]) if n else 0.0
-    step = 1.0 / max(2 * risk_aversion * top + 2 * concentration_penalty, 1e-3)
-    w = y = np.full(n, 1.0 / n)
+    curve = 2 * (cp + ra * risk.ridge)
+    if curve <= 0:
+        return None
+    rows = risk.rows if ra > 0 else risk.rows[:0]
+    own, k = 1 / (2 * ra) if ra > 0 else 0.0, tp / curve
+    before = np.clip(before, 0.0, cap)
+    ends = np.concatenate([np.full(len(before), -k), before - k, before + k, np.full(len(before), cap + k)]) * curve
+    turns = np.repeat([1.0, -1.0, 1.0, -1.0], len(before))  # weights rise between the first two ends and the last two
+
+    def at(price: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        pull = expected - price @ rows
+        t = ends - np.tile(pull, 4)
+        order = np.argsort(t)
+        t, rise = t[order], np.cumsum(turns[order])
+        total = np.concatenate([[0.0], np.cumsum(np.diff(t) * rise[:-1])]) / curve
+        j = min(max(1, int(np.searchsorted(total, 1.0))), len(t) - 1)
+        level = t[j - 1] + (1.0 - total[j - 1]) * curve / max(rise[j - 1], 1.0)
+        v = (pull + level) / curve
+        d = v - before
+        moved = before + np.sign(d) * np.maximum(np.abs(d) - k, 0.0)
+        w = np.clip(moved, 0.0, cap)
+        free = (np.abs(d) > k) & (moved > 0) & (moved < cap)
+        value = float((curve / 2 * w * w - pull * w + tp * np.abs(w - before)).sum() - own * (price @ price) / 2)
+        return w, free, rows @ w - own * price, value
+
+    price = np.zeros(len(rows))
+    w, free, slope, value = at(price)
+    for _ in range(steps):
+        if not len(rows) or np.abs(slope).max() < 1e-11 * (1 + np.abs(rows).max()):
+            return w
+        a = rows[:, free]
+        mean = a.sum(axis=1)
+        bend = (a @ a.T - np.outer(mean, mean) / max(1, a.shape[1])) / curve + own * np.eye(len(rows))
+        step, size = np.linalg.solve(bend, slope), 1.0
+        gain = float(step @ slope)
+        found = at(price + step)
+        while found[3] < value + 1e-4 * size * gain and size > 1e-10:
+            size /= 2
+            found = at(price + size * step)
+        if size <= 1e-10:
+            break
+        price = price + size * step
+        w, free, slope, value = found
+    return w if np.abs(slope).max() < 1e-7 * (1 + np.abs(rows).max()) else None
+
+
+def _proximal_weights(expected: np.ndarray, risk: LowRank, before: np.ndarray, ra: float, tp: float, cp: float, cap: float, steps: int) -> np.ndarray:
+    """The same by accelerated proximal gradient steps."""
+    step = 1.0 / max(2 * ra * risk.top() + 2 * cp, 1e-3)
+    w = y = np.full(len(expected), 1.0 / len(expected))
     t = 1.0
     for _ in range(steps):
-        grad = -expected + 2 * risk_aversion * covariance @ y + 2 * concentration_penalty * y
-        new = _prox(y - step * grad, before, step * turnover_penalty, cap)
+        grad = -expected + 2 * ra * risk.times(y) + 2 * cp * y
+        new = _prox(y - step * grad, before, step * tp, cap)
         if (y - new) @ (new - w) > 0:
             t = 1.0  # restart where momentum points uphill
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -55,16 +125,34 @@ def optimal_weights(expected: np.ndarray, covariance: np.ndarray, before: np.nda
         w, t = new, nt
         if done:
             break
+    return w
+
+
+def optimal_weights(expected: np.ndarray, covariance: np.ndarray | LowRank, before: np.ndarray, risk_aversion: float = 5.0, turnover_penalty: float = 0.05, concentration_penalty: float = 0.01, max_weight: float = 0.25, steps: int = 3000) -> np.ndarray:
+    """Minimise -mu'w + ra w'Cw + tp |w - before| + cp |w|^2 with sum 1 and 0 <= w <= min(max_weight, 1).
+
+    Equal weights where the cap can't hold or the input isn't finite.
+    """
+    n, cap = len(expected), min(max_weight, 1.0)
+    held = covariance.rows if isinstance(covariance, LowRank) else covariance
+    if n * cap < 1.0 or not (np.isfinite(expected).all() and np.isfinite(held).all()):
+        return np.full(n, 1.0 / n)
+    risk = covariance if isinstance(covariance, LowRank) else LowRank.of(covariance)
+    given = (risk_aversion, turnover_penalty, concentration_penalty, cap)
+    w = _dual_weights(expected, risk, before, *given)
+    if w is None:
+        w = _proximal_weights(expected, risk, before, *given, steps)
     w = np.clip(w, 0.0, None)
     return w / w.sum()
 
 
-def trailing_covariance(history: np.ndarray, lookback: int) -> np.ndarray:
+def trailing_covariance(history: np.ndarray, lookback: int) -> LowRank:
     """Covariance (ddof 1) of the last `lookback` rows, missing values as 0, plus 1e-6 on the diagonal; 0.05 I for under two rows."""
     past = history[-lookback:]
     if len(past) < 2:
-        return np.eye(history.shape[1]) * 0.05
-    return np.atleast_2d(np.cov(np.nan_to_num(past), rowvar=False, ddof=1)) + 1e-6 * np.eye(history.shape[1])
+        return LowRank(np.zeros((0, history.shape[1])), 0.05)
+    past = np.nan_to_num(past)
+    return LowRank((past - past.mean(axis=0)) / np.sqrt(len(past) - 1), 1e-6)
 
 
 def optimize_panel(scores: DataFrame, lookback: int = 12, cost_bps: float = 15.0, **options) -> DataFrame:
@@ -74,20 +162,22 @@ def optimize_panel(scores: DataFrame, lookback: int = 12, cost_bps: float = 15.0
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ret = group.pivot(index="month_end", columns="symbol", values="fwd_1m_ret").sort_index()
-        score = group.pivot(index="month_end", columns="symbol", values="score").reindex_like(ret)
-        out, held = [], pd.Series(dtype=float)
-        for at, month in enumerate(ret.index):
-            names = sorted(score.columns[score.loc[month].notna() & ret.loc[month].notna()])
-            if not names:
+        table = group.pivot(index="month_end", columns="symbol", values=["fwd_1m_ret", "score"]).sort_index()
+        ret, score = (table[c].to_numpy(float) for c in ("fwd_1m_ret", "score"))
+        symbols, months, source = table["score"].columns.to_numpy(), table.index, group["source"].iloc[0]
+        out, held = [], np.zeros(len(symbols))
+        for at, month in enumerate(months):
+            own = np.flatnonzero(~np.isnan(score[at]) & ~np.isnan(ret[at]))
+            if not len(own):
                 continue
-            before = held.reindex(names).fillna(0.0).to_numpy()
-            cov = trailing_covariance(ret[names].to_numpy()[:at], lookback)
-            w = optimal_weights(score.loc[month, names].to_numpy(float), cov, before, **options)
-            gained, moved = float(w @ ret.loc[month, names].to_numpy(float)), float(np.abs(w - before).sum() / 2)
-            out += [(group["source"].iloc[0], month, s, float(x), gained, moved, gained - moved * cost_bps / 1e4) for s, x in zip(names, w)]
-            held = pd.Series(w, index=names)
-        return pd.DataFrame(out, columns=["source", "month_end", "symbol", "weight", "month_return", "month_turnover", "net_return"])
+            before = held[own]
+            cov = trailing_covariance(ret[max(0, at - lookback) : at, own], lookback)
+            w = optimal_weights(score[at, own], cov, before, **options)
+            gained, moved = float(w @ ret[at, own]), float(np.abs(w - before).sum() / 2)
+            out.append(pd.DataFrame({"source": source, "month_end": month, "symbol": symbols[own], "weight": w, "month_return": gained, "month_turnover": moved, "net_return": gained - moved * cost_bps / 1e4}))
+            held = np.zeros(len(symbols))
+            held[own] = w
+        return pd.concat(out) if out else pd.DataFrame(columns=["source", "month_end", "symbol", "weight", "month_return", "month_turnover", "net_return"])
 
     return scores.select("source", "month_end", "symbol", "score", "fwd_1m_ret").groupBy("source").applyInPandas(run, "source string, month_end date, symbol string, weight double, month_return double, month_turnover double, net_return double")
 
@@ -116,19 +206,19 @@ def score_panels(panel: DataFrame, predictions: DataFrame | None = None, model:
     return out
 
 
-def covariance_pairs(panel: DataFrame, symbols: list[str], lookback: int = 12) -> DataFrame:
-    """month_end, a, b, cov (ddof 1) of the listed symbols' returns over the `lookback` panel months before, missing as 0.
+def trailing_risk(panel: DataFrame, lookback: int = 12) -> DataFrame:
+    """month_end, symbol, var, cov_all of every panel row over the `lookback` panel months before (two at least), missing returns as 0.
 
-    The long form of trailing_covariance for a stated, small set of symbols.
+    var is the symbol's variance and cov_all the sum of its covariances with all symbols, itself included: a row sum of
+    the trailing covariance, without the matrix. Covariances with a sum need that sum's deviations alone.
     """
-    spark = panel.sparkSession
-    own = panel.where(F.col("symbol").isin(symbols))
-    months = panel.select("month_end").distinct()
-    names = spark.createDataFrame([(s,) for s in symbols], "symbol string")
-    grid = months.crossJoin(F.broadcast(names)).join(own.select("month_end", "symbol", "fwd_1m_ret"), ["month_end", "symbol"], "left").na.fill(0.0, ["fwd_1m_ret"])
-    wide = grid.groupBy("month_end").pivot("symbol", symbols).agg(F.first("fwd_1m_ret"))
-    before = Window.orderBy("month_end").rowsBetween(-lookback, -1)
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.covar_samp(F.col(f"`{a}`"), F.col(f"`{b}`")).over(before).alias("cov")) for a in symbols for b in symbols]
-    names = [f"c{i}" for i in range(len(cells))]
-    rows = wide.select("month_end", *[c.alias(n) for c, n in zip(cells, names)])
-    return rows.select("month_end", F.explode(F.array(*names)).alias("c")).select("month_end", "c.*").where("cov is not null")
+    steps = panel.select("month_end").distinct().withColumn("m", F.row_number().over(Window.orderBy("month_end")))
+    rows = panel.join(F.broadcast(steps), "month_end").select("m", "month_end", "symbol", F.coalesce("fwd_1m_ret", F.lit(0.0)).alias("r"))
+    total = rows.groupBy("m").agg(F.sum("r").alias("total"))
+    past = total.withColumnRenamed("m", "at")
+    frame = steps.select("m").join(past, (F.col("at") < F.col("m")) & (F.col("at") >= F.col("m") - lookback))
+    whole = Window.partitionBy("m")
+    frame = frame.select("m", "at", (F.col("total") - F.avg("total").over(whole)).alias("d"), F.count(F.lit(1)).over(whole).alias("n")).where("n > 1")
+    seen = rows.select(F.col("m").alias("at"), "symbol", "r")
+    met = rows.select("m", "month_end", "symbol").join(F.broadcast(frame), "m").join(seen, ["symbol", "at"], "left").na.fill(0.0, ["r"])
+    return met.groupBy("month_end", "symbol").agg(F.var_samp("r").alias("var"), (F.sum(F.col("r") * F.col("d")) / (F.first("n") - 1)).alias("cov_all"))

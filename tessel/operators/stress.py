@@ -41,8 +41,8 @@ def delayed(scores: DataFrame) -> DataFrame:
     return moved.join(scores.select("month_end", "symbol", "fwd_1m_ret"), ["month_end", "symbol"], "left")
 
 
-def regimes(panel: DataFrame, scores: DataFrame, bars: DataFrame, q: float = 0.2, cost: float = 15.0, high_cost: float = 75.0, cut: float = 0.2, limit: float = 9.5) -> DataFrame:
-    """month_end, regime, ret of the six variants."""
+def regimes(panel: DataFrame, scores: DataFrame, bars: DataFrame, q: float = 0.2, cost: float = 15.0, high_cost: float = 75.0, cut: float = 0.2, limit: float = 9.5, only: tuple[str, ...] = ()) -> DataFrame:
+    """month_end, regime, ret of the six variants, or of those named."""
     w = portfolio.weights(scores, q)
     gross = portfolio.portfolio_returns(w, scores).where("strategy = 'long_short'")
     turn = portfolio.turnover(w, scores).where("strategy = 'long_short'")
@@ -56,7 +56,7 @@ def regimes(panel: DataFrame, scores: DataFrame, bars: DataFrame, q: float = 0.2
         "price_limit_filtered_return": _long_short(price_limit_filtered(scores, bars, limit), scores, q),
         "t_plus_one_delay_return": _long_short(delayed(scores), scores, q),
     }
-    return reduce(DataFrame.unionByName, [d.withColumn("regime", F.lit(k)) for k, d in parts.items()])
+    return reduce(DataFrame.unionByName, [d.withColumn("regime", F.lit(k)) for k, d in parts.items() if not only or k in only])
 
 
 def regime_summary(returns: DataFrame) -> DataFrame:

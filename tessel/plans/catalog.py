@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.functions.tables import written
 from tessel.functions.windows import average_rank, by, forward_fill
 from tessel.operators import cleaning, decision, factors, indicators, ml, portfolio, registry, research, stress, tuning, validation
 from tessel.plans import sql
@@ -58,7 +59,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.scored_panel(panel(spark, sf_dir))
+    """Scores, written: weights, returns and turnover all read them."""
+    return written(portfolio.scored_panel(written(panel(spark, sf_dir), "panel")), "scores")
 
 
 # Bars and cleaning
@@ -69,13 +71,12 @@ def q_bars(spark, sf_dir):
     return bars(spark, sf_dir)
 
 
-DIRTY = """, dirty AS (SELECT *, day(date) % 7 = 0 AS crossed FROM bars)"""
-
-
-@query(DIRTY + " SELECT symbol, date, high, low FROM dirty WHERE crossed")
+@query("SELECT symbol, date, high, low FROM bars")
 def q_clean_swap(spark, sf_dir):
-    b = bars(spark, sf_dir).where(F.dayofmonth("date") % 7 == 0)
-    return cleaning.swap_high_low(b.select("symbol", "date", F.col("low").alias("high"), F.col("high").alias("low")))
+    """All bars, with high and low crossed on some days before the repair."""
+    crossed = F.dayofmonth("date") % 7 == 0
+    high, low = F.when(crossed, F.col("low")).otherwise(F.col("high")), F.when(crossed, F.col("high")).otherwise(F.col("low"))
+    return cleaning.swap_high_low(bars(spark, sf_dir).select("symbol", "date", high.alias("high"), low.alias("low")))
 
 
 @query(
@@ -129,8 +130,8 @@ def q_log_returns(spark, sf_dir):
 
 
 @query(
-    """, g AS (SELECT avg(ret) AS m, stddev_pop(ret) AS s, quantile_cont(ret, 0.25) AS q1, quantile_cont(ret, 0.75) AS q3 FROM ret)
-SELECT symbol, date, coalesce(abs((ret - m) / s) > 3, false) AS flag_z, coalesce(ret < q1 - 1.5 * (q3 - q1) OR ret > q3 + 1.5 * (q3 - q1), false) AS flag_iqr FROM ret, g"""
+    """, mr AS MATERIALIZED (SELECT symbol, date, ret FROM ret), g AS MATERIALIZED (SELECT avg(ret) AS m, stddev_pop(ret) AS s, quantile_cont(ret, 0.25) AS q1, quantile_cont(ret, 0.75) AS q3 FROM mr)
+SELECT symbol, date, coalesce(abs((ret - m) / s) > 3, false) AS flag_z, coalesce(ret < q1 - 1.5 * (q3 - q1) OR ret > q3 + 1.5 * (q3 - q1), false) AS flag_iqr FROM mr, g"""
 )
 def q_outlier_flags(spark, sf_dir):
     return cleaning.outlier_flags(returns(spark, sf_dir), "ret").select("symbol", "date", "flag_z", "flag_iqr")
@@ -493,10 +494,10 @@ def q_extreme_months(spark, sf_dir):
 # Stress and tuning
 
 
-def stressed(spark, sf_dir):
-    b = cleaning.clean_daily(bars(spark, sf_dir))
-    p = factors.factor_panel(b)
-    return stress.regimes(p, portfolio.scored_panel(p), b, limit=40.0)
+def stressed(spark, sf_dir, *only):
+    b = written(cleaning.clean_daily(bars(spark, sf_dir)), "daily")
+    p = written(factors.factor_panel(b), "panel")
+    return stress.regimes(p, written(portfolio.scored_panel(p), "scores"), b, limit=40.0, only=only)
 
 
 STRESS = f""", liq AS (SELECT month_end, symbol, CASE WHEN (rank() OVER (PARTITION BY month_end ORDER BY SIZE) + (count(*) OVER (PARTITION BY month_end, SIZE) - 1) / 2.0) / count(SIZE) OVER (PARTITION BY month_end) <= 0.2 THEN NULL ELSE score END AS score, fwd_1m_ret FROM sc),
@@ -519,7 +520,7 @@ def _one_regime(*names: str):
     wanted = ", ".join(f"'{n}'" for n in names)
 
     def run(spark, sf_dir):
-        return rounded(stressed(spark, sf_dir).where(F.col("regime").isin(*names)).select("month_end", "regime", "ret"))
+        return rounded(stressed(spark, sf_dir, *names).select("month_end", "regime", "ret"))
 
     return query(STRESS + f" SELECT month_end, regime, round(ret, 8) AS ret FROM reg WHERE regime IN ({wanted})"), run
 
@@ -550,7 +551,7 @@ GRID = {
 
 
 def tuned(spark, sf_dir):
-    return tuning.evaluate(panel(spark, sf_dir), tuning.grid(spark, **GRID), sql.SPLITS)
+    return tuning.evaluate(written(panel(spark, sf_dir), "panel"), tuning.grid(spark, **GRID), sql.SPLITS)
 
 
 def _grid_values() -> str:
@@ -633,8 +634,8 @@ FEATURES = ["z_VALUE", "z_MOM_12_1", "z_QUALITY", "z_SIZE"]
 
 @query(
     """, mo AS (SELECT month_end, row_number() OVER (ORDER BY month_end) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT month_end FROM z)),
-st AS (SELECT unnest(range(24, CAST(max(n) AS BIGINT), 6)) AS at FROM mo), sp AS (SELECT at, CAST(row_number() OVER (ORDER BY at) - 1 AS INTEGER) AS split_id FROM st)
-SELECT split_id, CASE WHEN i < at THEN 'train' ELSE 'test' END AS role, month_end, 'purged' AS method, 1::INTEGER AS embargo_months FROM sp JOIN mo ON i < at - 1 OR (i >= at AND i < at + 6)"""
+st AS (SELECT unnest(range(24, CAST(max(n) AS BIGINT), 6)) AS first_i FROM mo), sp AS (SELECT first_i, CAST(row_number() OVER (ORDER BY first_i) - 1 AS INTEGER) AS split_id FROM st)
+SELECT split_id, CASE WHEN i < first_i THEN 'train' ELSE 'test' END AS role, month_end, 'purged' AS method, 1::INTEGER AS embargo_months FROM sp JOIN mo ON i < first_i - 1 OR (i >= first_i AND i < first_i + 6)"""
 )
 def q_walkforward_splits(spark, sf_dir):
     splits = validation.walk_forward(validation.panel_months(panel(spark, sf_dir)), 24, 6, "purged", 1)
@@ -724,20 +725,28 @@ def q_decision_returns(spark, sf_dir):
 
 
 @query(
-    """, cs AS (SELECT unnest(['000001', '000002', '000003']) AS symbol), cg AS (SELECT n.month_end, cs.symbol, coalesce(z.fwd_1m_ret, 0) AS r FROM (SELECT DISTINCT month_end FROM z) n CROSS JOIN cs LEFT JOIN z ON z.month_end = n.month_end AND z.symbol = cs.symbol),
-cp AS (SELECT a.month_end, a.symbol AS a, b.symbol AS b, covar_samp(a.r, b.r) OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.month_end ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS cov FROM cg a JOIN cg b ON a.month_end = b.month_end)
-SELECT month_end, a, b, round(cov, 6)::FLOAT::DOUBLE AS cov FROM cp WHERE cov IS NOT NULL AND NOT isnan(cov)"""
+    """, nm AS MATERIALIZED (SELECT symbol, month_end, fwd_1m_ret FROM z), cg AS MATERIALIZED (SELECT m.month_end, s.symbol, coalesce(n.fwd_1m_ret, 0) AS r, n.symbol IS NOT NULL AS here FROM (SELECT DISTINCT month_end FROM nm) m CROSS JOIN (SELECT DISTINCT symbol FROM nm) s LEFT JOIN nm n ON n.month_end = m.month_end AND n.symbol = s.symbol),
+ct AS (SELECT *, sum(r) OVER (PARTITION BY month_end) AS total FROM cg),
+cp AS (SELECT month_end, symbol, here, count(*) OVER w AS k, var_samp(r) OVER w AS var, covar_samp(r, total) OVER w AS cov_all FROM ct WINDOW w AS (PARTITION BY symbol ORDER BY month_end ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
+SELECT month_end, symbol, round(var, 6)::FLOAT::DOUBLE AS var, round(cov_all, 4)::FLOAT::DOUBLE AS cov_all FROM cp WHERE here AND k > 1"""
 )
 def q_trailing_cov(spark, sf_dir):
-    return single(rounded(decision.covariance_pairs(panel(spark, sf_dir), ["000001", "000002", "000003"]), 6), "cov")
+    """Each symbol's trailing variance and its covariances' sum; all pairs would be symbols squared for each month."""
+    return single(rounded(decision.trailing_risk(written(panel(spark, sf_dir), "panel")), 6, cov_all=4), "var", "cov_all")
 
 
 # Sources
 
 
-@query()
+@query(
+    """WITH d AS (SELECT CAST(range AS DATE) AS date, row_number() OVER (ORDER BY range) - 1 AS t FROM range(DATE '2019-01-01', DATE '2024-01-01', INTERVAL 1 DAY) WHERE isodow(range) < 6),
+c AS (SELECT i, t, date, (10 + i) * pow(1 + (1 + 0.00015::DOUBLE * i) * 0.0005::DOUBLE, t) * (1 + 0.02::DOUBLE * sin(t / 19.0::DOUBLE + i)) AS close FROM d CROSS JOIN (SELECT range AS i FROM range(8)))
+SELECT lpad(CAST(i + 1 AS VARCHAR), 6, '0') AS symbol, date, round(close * 0.999::DOUBLE, 6) AS open, round(close * 1.01::DOUBLE, 6) AS high, round(close * 0.99::DOUBLE, 6) AS low, round(close, 6) AS close, CAST(100000 + 1000 * i + 10 * t AS DOUBLE) AS volume,
+  round(close * (100000 + 1000 * i + 10 * t), 2) AS amount, round((close / lag(close) OVER (PARTITION BY i ORDER BY t) - 1) * 100, 6) AS pct_chg FROM c""",
+    chain=False,
+)
 def q_sample_panel(spark, sf_dir):
-    return sources.sample_panel(spark)
+    return rounded(sources.sample_panel(spark), 6, amount=2)
 
 
 @query(

@@ -7,6 +7,8 @@ result, never a failed job. Results are Parquet partitions by symbol, written be
 
 from __future__ import annotations
 
+import datetime as dt
+import importlib
 import time
 from collections.abc import Callable, Iterator
 
@@ -14,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.functions.tables import written
 from tessel.sources.files import exists
 
 Fetch = Callable[[str, str, str], pd.DataFrame]
@@ -67,14 +70,58 @@ def load_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return last.withColumn("status", F.when(F.col("status") == "running", "pending").otherwise(F.col("status")))
 
 
-def to_fetch(universe: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    return universe.select("symbol").distinct().join(checkpoint.where("status = 'succeeded'"), "symbol", "left_anti")
+def universe_of(raw: DataFrame, first: int | None = None) -> DataFrame:
+    """symbol (six digits), name and the time of reading, from a listing with code and name; the first ones by symbol if a number is given."""
+    names = {c.lower(): c for c in raw.columns}
+    code = next((names[c] for c in ("symbol", "code", "代码") if c in names), None)
+    if code is None:
+        raise KeyError("a universe needs a column symbol or code")
+    name = F.col(names["name"]).cast("string") if "name" in names else F.lit(None).cast("string")
+    digits = F.trim(F.col(code).cast("string"))
+    rows = raw.select(F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits).alias("symbol"), name.alias("name")).where("symbol is not null and symbol <> ''")
+    rows = rows.groupBy("symbol").agg(F.min("name").alias("name")).withColumn("read_at", F.current_timestamp())
+    return rows if first is None else rows.orderBy("symbol").limit(first)
 
 
-def fetch_symbols(spark: SparkSession, universe: DataFrame, fetch: Fetch, start: str, end: str, cache: str, checkpoint: str, tasks: int = 4, per_second: float = 2.0) -> DataFrame:
-    """Fetch what the checkpoint lacks into `cache`; returns the checkpoint's rows after the run."""
+def last_day(end: str | None) -> str:
+    """The given end date, or today in UTC+8."""
+    return end or (dt.datetime.now(dt.UTC) + dt.timedelta(hours=8)).strftime("%Y%m%d")
+
+
+def load_fetch(name: str) -> Fetch:
+    """The function that 'package.module:function' names."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def cached_symbols(spark: SparkSession, cache: str) -> DataFrame:
+    """Symbols with bars in the cache; files that can't be read count as missing."""
+    if not exists(spark, f"{cache}/part=*"):
+        return spark.createDataFrame([], "symbol string")
+    return spark.read.option("ignoreCorruptFiles", True).schema(BARS).parquet(cache).where("symbol is not null").select("symbol").distinct()
+
+
+def to_fetch(universe: DataFrame, checkpoint: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+    """Symbols without a success in the checkpoint; with a cache, also those whose bars it lacks."""
+    done = checkpoint.where("status = 'succeeded'").select("symbol")
+    done = done if cached is None else done.join(cached, "symbol", "left_semi")
+    return universe.select("symbol").distinct().join(done, "symbol", "left_anti")
+
+
+def _status(rows: DataFrame, status, error, count, path) -> DataFrame:
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return rows.select("symbol", status.alias("status"), error.alias("error"), count.alias("rows"), path.alias("cache_path"), stamp.alias("updated_at"))
+
+
+def fetch_symbols(spark: SparkSession, universe: DataFrame, fetch: Fetch, start: str, end: str, cache: str, checkpoint: str, tasks: int = 4, per_second: float | None = 2.0, resume: bool = True, use_cache: bool = True, every: int = 200) -> DataFrame:
+    """Fetch into `cache` what the checkpoint or the cache lacks; returns the checkpoint's rows after the run.
+
+    Symbols go in rounds of about `every`, each marked as running before it and with its outcome after it. Without
+    resume everything is fetched anew; without use_cache a success in the checkpoint is enough.
+    """
     known = load_checkpoint(spark, checkpoint)
-    work = to_fetch(universe, known).repartition(tasks)
+    work = to_fetch(universe, known, cached_symbols(spark, cache) if use_cache else None) if resume else universe.select("symbol").distinct()
+    columns = ["symbol", "date", "open", "high", "low", "close", "volume", "amount", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pause, due = tasks / per_second if per_second else 0.0, 0.0
@@ -86,28 +133,30 @@ def fetch_symbols(spark: SparkSession, universe: DataFrame, fetch: Fetch, start:
                     rows = fetch(symbol, start, end)
                     if not len(rows):
                         raise ValueError("no rows")
-                    out = rows.assign(symbol=symbol, date=pd.to_datetime(rows["date"]).dt.date, error=None)
-                except Exception as e:
-                    out = pd.DataFrame({"symbol": [symbol], "error": [f"{type(e).__name__}: {e}"]})
-                yield out.reindex(columns=["symbol", "date", "open", "high", "low", "close", "volume", "amount", "error"])
-
-    staged = f"{checkpoint.rstrip('/')}-staged-{int(time.time() * 1000)}"
-    work.mapInPandas(run, BARS + ", error string").write.parquet(staged)
-    got = spark.read.schema(BARS + ", error string").parquet(staged)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    got.where("error is null").drop("error").withColumn("part", F.col("symbol")).write.mode("overwrite").partitionBy("part").parquet(cache)
-    status = got.groupBy("symbol").agg(F.max("error").alias("error"), F.count("date").cast("string").alias("rows")).select(
-        "symbol", F.when(F.col("error").isNull(), "succeeded").otherwise("failed").alias("status"), F.coalesce("error", F.lit("")).alias("error"), "rows",
-        F.concat(F.lit(f"{cache}/part="), "symbol").alias("cache_path"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("updated_at"),
-    )
-    status.write.mode("append").parquet(checkpoint)
+                    out = rows.assign(symbol=symbol, date=pd.to_datetime(rows["date"]).dt.date, error=None).reindex(columns=columns)
+                except Exception as e:  # one row of empty objects: no column is a float that Arrow can't take for a date
+                    out = pd.DataFrame([dict.fromkeys(columns) | {"symbol": symbol, "error": f"{type(e).__name__}: {e}"}], columns=columns, dtype=object)
+                yield out
+
+    work = written(work, "work")
+    rounds = max(1, -(-work.count() // max(1, every)))
+    for i in range(rounds):
+        part = work.where(F.pmod(F.xxhash64("symbol"), F.lit(rounds)) == i)
+        blank = F.lit("")
+        _status(part, F.lit("running"), blank, blank, blank).write.mode("append").parquet(checkpoint)
+        got = written(part.repartition(tasks).mapInPandas(run, BARS + ", error string"), "fetched")
+        bars = got.where("error is null").drop("error").withColumn("part", F.col("symbol"))
+        bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(cache)
+        ended = got.groupBy("symbol").agg(F.max("error").alias("error"), F.count("date").cast("string").alias("n"))
+        status = F.when(F.col("error").isNull(), "succeeded").otherwise("failed")
+        _status(ended, status, F.coalesce("error", blank), F.col("n"), F.concat(F.lit(f"{cache}/part="), "symbol")).write.mode("append").parquet(checkpoint)
     return load_checkpoint(spark, checkpoint)
 
 
 def read_cache(spark: SparkSession, cache: str, symbols: list[str] | None = None) -> DataFrame:
     """Cached bars; a list of symbols prunes partitions."""
-    rows = spark.read.parquet(cache)
-    return (rows if symbols is None else rows.where(F.col("part").cast("string").isin(symbols))).drop("part")
+    rows = spark.read.schema(BARS + ", part string").parquet(cache)
+    return (rows if symbols is None else rows.where(F.col("part").isin(symbols))).drop("part")
 
 
 def summary(checkpoint: DataFrame, universe: DataFrame) -> DataFrame:

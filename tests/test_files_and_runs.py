@@ -137,6 +137,49 @@ def test_acquisition_resumes(spark, tmp_path):
     assert {r["status"]: r["share"] for r in acquire.summary(acquire.load_checkpoint(spark, point), universe).collect()} == {"succeeded": 1.0}
 
 
+def test_acquisition_by_rounds_and_cache(spark, tmp_path):
+    universe = acquire.universe_of(spark.createDataFrame([("1", "a"), (" 2", "b"), ("000002", "c"), ("300000", "d"), (None, "e")], "code string, name string"))
+    assert [(r["symbol"], r["name"]) for r in universe.orderBy("symbol").collect()] == [("000001", "a"), ("000002", "b"), ("300000", "d")]
+    assert [r["symbol"] for r in acquire.universe_of(universe, 2).collect()] == ["000001", "000002"]
+    cache, point = f"{tmp_path}/cache", f"{tmp_path}/checkpoint"
+    stub = make_stub()
+    fixed = lambda s, a, b: stub("000001", a, b)
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    done = acquire.fetch_symbols(spark, universe, fixed, "2020-01-01", "2020-12-31", cache, point, 2, None, every=1)
+    assert {r["status"] for r in done.collect()} == {"succeeded"} and spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+    assert spark.read.parquet(point).where("status = 'running'").count() == 3
+    for part in (tmp_path / "cache" / "part=000002").glob("*.parquet"):
+        part.write_bytes(b"not parquet")
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    left = acquire.to_fetch(universe, acquire.load_checkpoint(spark, point), acquire.cached_symbols(spark, cache))
+    assert [r["symbol"] for r in left.collect()] == ["000002"]
+    assert acquire.last_day("20200101") == "20200101" and len(acquire.last_day(None)) == 8
+
+
+def test_settings_that_nothing_reads():
+    with pytest.warns(UserWarning, match="backtest.nonsense"):
+        c = config.from_mapping({"backtest": {"nonsense": 1, "factor_weights": {"z_SIZE": 2.0}}})
+    assert c.backtest.factor_weights["z_SIZE"] == 2.0 and c.backtest.factor_weights["z_VALUE"] == 1.0
+    with pytest.raises(config.ConfigError):
+        config.from_mapping({"data": 3})
+
+
+def test_pooled_ranks_and_narrow_bands(spark):
+    import random
+
+    from tessel.functions.windows import global_quantiles, pooled_rank
+
+    rng = random.Random(1)
+    values = [rng.choice([0.0, 1.0, rng.random() * 100]) for _ in range(3000)] + [None, None]
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], "k int, v double")
+    for k in (0, 1):
+        want = pd.Series([v for i, v in enumerate(values) if i % 2 == k]).rank()
+        got = sorted((r["v"], r["rank"]) for r in pooled_rank(df, "v", "rank", "k", buckets=7).where(f"k = {k} and v is not null").collect())
+        assert got == sorted((v, r) for v, r in zip([v for i, v in enumerate(values) if i % 2 == k], want) if v is not None)
+    qs = [0.0, 0.005, 0.25, 0.5, 0.995, 1.0]
+    assert global_quantiles(df, "v", qs, small=50) == pytest.approx(list(pd.Series(values).quantile(qs)))
+
+
 def test_retries_and_fallback():
     calls, pauses = [], []
 

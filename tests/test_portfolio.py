@@ -200,7 +200,31 @@ def test_decisions(spark, bars):
     assert sums and all(abs(r["s"] - 1) < 1e-8 for r in sums)
     months = decision.month_returns(found)
     assert months.where("net > gross").count() == 0 and decision.performance(found).count() == 2
-    assert np.allclose(decision.trailing_covariance(np.zeros((1, 2)), 5), 0.05 * np.eye(2))
+    assert np.allclose(decision.trailing_covariance(np.zeros((1, 2)), 5).dense(), 0.05 * np.eye(2))
+
+
+def test_covariance_in_few_rows():
+    rng = np.random.default_rng(3)
+    past = rng.normal(0, 0.1, (9, 5))
+    past[2, 3] = np.nan
+    want = np.cov(np.nan_to_num(past)[-6:], rowvar=False, ddof=1) + 1e-6 * np.eye(5)
+    assert np.allclose(decision.trailing_covariance(past, 6).dense(), want)
+
+
+@pytest.mark.parametrize("scale,penalty,risk", [(0.05, 0.05, 5.0), (0.5, 0.05, 5.0), (3.0, 0.2, 1.0), (0.5, 0.0, 5.0), (0.5, 0.05, 0.0)])
+def test_optimality(scale, penalty, risk):
+    """The dual's weights meet the optimality conditions: marginal gains agree but where a bound or a kink explains it."""
+    rng = np.random.default_rng(5)
+    n, cap, conc = 200, 0.25, 0.01
+    cov = decision.trailing_covariance(rng.normal(0, scale, (12, n)), 12)
+    mu, before = rng.normal(0, 1, n), np.zeros(n)
+    before[:8] = 1 / 8
+    w = decision.optimal_weights(mu, cov, before, risk, penalty, conc, cap)
+    assert abs(w.sum() - 1) < 1e-9 and w.min() >= 0 and w.max() <= cap + 1e-9
+    gain = mu - 2 * risk * cov.times(w) - 2 * conc * w
+    up = np.where(w < cap - 1e-7, gain - penalty * np.where(w >= before - 1e-9, 1, -1), -np.inf)  # of a little more
+    down = np.where(w > 1e-7, gain - penalty * np.where(w > before + 1e-9, 1, -1), np.inf)  # lost by a little less
+    assert up.max() <= down.min() + 1e-5 * (1 + np.abs(gain).max())
 
 
 def test_registry(spark, bars):
