@@ -12,7 +12,7 @@ as it needs.
 Only DataFrame functions run. A key's rows never meet in one task: counts are pre-aggregated, joins on a hot key can
 be split by Spark, and ranks are counted in buckets of bounded size.
 
-Null texts are linked to nothing and have size 1; equal non-null texts are linked, the empty one included. Repeated
+Null texts are linked to nothing and have size 1; very long texts count by their bytes and are keyed by a digest; equal non-null texts are linked, the empty one included. Repeated
 rows are placed each, an empty table gives no row, and extra columns are ignored.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm._shared import materialize
+from tessel.llm._shared import discard, materialize, small
 
 SHARDS = 16
 #: Rows of a ranking bucket.
@@ -47,10 +47,12 @@ def propagate(members: DataFrame, shards: int, shares: list[int], rounds: int =
         swapping = step % 2 == 1
         placed = members.join(state, "uid")
         counts = placed.groupBy("key").agg(*[F.count(F.when(F.col("shard") == t, 1)).alias(f"c{t}") for t in range(shards)])
-        votes = members.join(counts, "key").groupBy("uid").agg(F.min("key").alias("key"), *[F.sum(f"c{t}").alias(f"v{t}") for t in range(shards)])
+        counts = materialize(counts, f"counts-{step}")  # written, so that Spark can split a hot key in the join
+        votes = members.join(small(counts), "key").groupBy("uid").agg(F.min("key").alias("key"), *[F.sum(f"c{t}").alias(f"v{t}") for t in range(shards)])
         best = _best([F.col(f"v{t}") for t in range(shards)], F.col("key"), F.col("shard"), [True] * shards if swapping else free, None if swapping else free)
         asked = state.join(votes, "uid").select("uid", "shard", best.alias("to"))
         asked = materialize(asked, f"asked-{step}")
+        discard(counts)
         flows = {(r["shard"], r["to"]): r["count"] for r in asked.where("shard <> to").groupBy("shard", "to").count().collect()}
         if not flows and swapping:
             break
@@ -71,7 +73,8 @@ def propagate(members: DataFrame, shards: int, shares: list[int], rounds: int =
         still = False
         grant = F.coalesce(*[F.when((F.col("shard") == s) & (F.col("to") == t), p) for s, t, p in granted], F.lit(0.0))
         draw = F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        state = materialize(asked.select("uid", F.when(draw < grant, F.col("to")).otherwise(F.col("shard")).alias("shard")), f"shards-{step}")
+        last, state = state, materialize(asked.select("uid", F.when(draw < grant, F.col("to")).otherwise(F.col("shard")).alias("shard")), f"shards-{step}")
+        discard(last, asked)
         held = {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}
     return state
 
@@ -101,7 +104,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 12) ->
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     shares = [total // shards + (t < total % shards) for t in range(shards)]
     keys = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(rows.select("uid", "key").join(keys, "key"), "members")
+    keys = materialize(keys, "keys")
+    members = materialize(rows.select("uid", "key").join(small(keys), "key"), "members")
     state = propagate(members.select("uid", "key"), shards, shares, rounds)
 
     blocks = max(1, -(-total // (BUCKET_ROWS * shards)))
