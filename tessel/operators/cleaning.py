@@ -136,3 +136,8 @@ def describe(df: DataFrame, value: str) -> DataFrame:
         F.when(n > 2, F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
         F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(v) + 6)).alias("kurt"),
     )
+
+
+def seeded_sample(df: DataFrame, keys: tuple[str, ...] = ("symbol", "date"), rows: int = 5000, seed: int = 42) -> DataFrame:
+    """`rows` rows drawn by a hash of their keys and the seed: the same rows however the table is partitioned."""
+    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(rows)

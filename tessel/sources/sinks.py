@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table that a report may hold.
@@ -73,6 +73,12 @@ def write_table(df: DataFrame, name: str, path: str | None = None) -> None:
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
+def stored_tables(spark: SparkSession, rows: int = 5) -> dict[str, tuple[int, list]]:
+    """Row count and first rows of every catalogue table, by SQL."""
+    names = [t.name for t in spark.catalog.listTables() if not t.isTemporary]
+    return {n: (spark.sql(f"SELECT count(*) FROM `{n}`").first()[0], spark.sql(f"SELECT * FROM `{n}` LIMIT {rows}").collect()) for n in names}
+
+
 def strategies_wide(returns: DataFrame, value: str, strategies: tuple[str, ...]) -> DataFrame:
     """month_end and one column per (known) strategy."""
     return returns.groupBy("month_end").pivot("strategy", list(strategies)).agg(F.first(value))

@@ -156,6 +156,20 @@ def test_acquisition_by_rounds_and_cache(spark, tmp_path):
     assert acquire.last_day("20200101") == "20200101" and len(acquire.last_day(None)) == 8
 
 
+def test_sample_and_stored_tables(spark):
+    from tessel.operators.cleaning import seeded_sample
+
+    df = spark.range(500).selectExpr("cast(id as string) symbol", "current_date() date")
+    a, b = (sorted(r["symbol"] for r in seeded_sample(d, rows=20).collect()) for d in (df, df.repartition(7)))
+    assert a == b and len(set(a)) == 20 and a != sorted(r["symbol"] for r in seeded_sample(df, rows=20, seed=1).collect())
+    sinks.write_table(spark.range(9), "stored_numbers")
+    try:
+        count, first = sinks.stored_tables(spark)["stored_numbers"]
+        assert count == 9 and len(first) == 5
+    finally:
+        spark.sql("DROP TABLE stored_numbers")
+
+
 def test_settings_that_nothing_reads():
     with pytest.warns(UserWarning, match="backtest.nonsense"):
         c = config.from_mapping({"backtest": {"nonsense": 1, "factor_weights": {"z_SIZE": 2.0}}})
