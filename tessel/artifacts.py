@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 import os
 import shutil
 import uuid
+import zipfile
 from pathlib import Path
 from typing import Any
 
-from tessel.sources.sinks import write_json
+from tessel.sources.sinks import atomic_write, write_json
 
 
 def now() -> str:
@@ -21,11 +23,21 @@ def run_id() -> str:
 
 
 def file_record(path: Path) -> dict[str, Any]:
-    """Path, size and time of a file; a table's directory counts its files."""
-    files = [p for p in path.rglob("*") if p.is_file()] if path.is_dir() else [path] if path.exists() else []
+    """Path and size of a file; a table's directory, or a pattern, counts its files."""
+    found = path.parent.glob(path.name) if "*" in path.name else [path]
+    files = [f for p in found for f in (p.rglob("*") if p.is_dir() else [p]) if f.is_file()]
     return {"path": str(path), "exists": bool(files), "bytes": sum(p.stat().st_size for p in files), "files": len(files)}
 
 
+def report_shape(path: Path) -> dict[str, Any] | None:
+    """Columns and number of rows of a report's CSV; None where there is none."""
+    if not path.is_file():
+        return None
+    with path.open(newline="", encoding="utf-8-sig") as f:
+        rows = csv.reader(f)
+        return {"columns": next(rows, []), "rows": sum(1 for _ in rows)}
+
+
 class Manifest:
     """The record of a run, written after each change: settings, stages with status, times, inputs and outputs."""
 
@@ -41,9 +53,13 @@ class Manifest:
         self.value["stages"][stage] = {"status": "running", "started_at": now(), "inputs": [file_record(Path(p)) for p in dict.fromkeys(inputs)]}
         self.write()
 
-    def finished(self, stage: str, outputs: list[str] | tuple[str, ...] = (), error: str = "") -> None:
+    def finished(self, stage: str, outputs: list[str] | tuple[str, ...] = (), error: str = "", inputs: list[str] | tuple[str, ...] = ()) -> None:
+        """The stage's end: `inputs` are those it turned out to read, beside those known at its start."""
         s = self.value["stages"][stage]
         s |= {"status": "failed" if error else "succeeded", "finished_at": now(), "outputs": [file_record(Path(p)) for p in dict.fromkeys(outputs)]}
+        known = {r["path"] for r in s["inputs"]}
+        s["inputs"] += [file_record(Path(p)) for p in dict.fromkeys(inputs) if p not in known]
+        s["metrics"] = {Path(p).name: found for p in dict.fromkeys(outputs) if (found := report_shape(Path(f"{p}.csv")))}
         s["elapsed_seconds"] = (dt.datetime.fromisoformat(s["finished_at"]) - dt.datetime.fromisoformat(s["started_at"])).total_seconds()
         if error:
             s["error"] = error
@@ -58,6 +74,18 @@ class Manifest:
         self.write()
 
 
+def bundle(run_dir: Path, name: str = "reports.zip") -> Path:
+    """One ZIP of a run's reports (CSV, Markdown, JSON), without its tables."""
+
+    def write(target: Path) -> None:
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(run_dir.iterdir()):
+                if p.is_file() and not p.name.startswith(".") and p.suffix in (".csv", ".md", ".json"):
+                    z.write(p, p.name)
+
+    return atomic_write(run_dir / name, write)
+
+
 def publish(run_dir: Path, latest: Path) -> None:
     """Lay a finished run over `latest`: built beside it, then swapped by renames, so that a reader sees all or nothing."""
     fresh, old = latest.with_name(f".{latest.name}-{uuid.uuid4().hex[:8]}"), latest.with_name(f".{latest.name}-old")

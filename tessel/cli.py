@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.artifacts import Manifest, publish
+from tessel.artifacts import Manifest, bundle, publish
 from tessel.config import Config, ConfigError, as_plain, load
 from tessel.operators import cleaning, decision, factors, indicators, ml, portfolio, registry, research, stress, tuning
 from tessel.sources import acquire, sinks
@@ -26,12 +26,19 @@ class Run:
 
     def __init__(self, spark: SparkSession, config: Config, out: str):
         self.spark, self.config, self.out = spark, config, out
+        self.inputs: list[str] = []  # what the present stage has read
 
     def path(self, name: str) -> str:
         return f"{self.out}/{name}"
 
+    def find(self, candidates: list[str]) -> str:
+        """The first path that exists, noted as an input."""
+        found = first_existing(self.spark, candidates)
+        self.inputs.append(found)
+        return found
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(first_existing(self.spark, [self.path(name), f"{self.config.data.output_dir}/{name}"]))
+        return self.spark.read.parquet(self.find([self.path(name), f"{self.config.data.output_dir}/{name}"]))
 
     def save(self, df: DataFrame, name: str, report: bool = False) -> str:
         """A table, and where it is a report also a CSV and Markdown."""
@@ -48,7 +55,7 @@ def fetch(r: Run) -> list[str]:
     c, d = r.config.fetch, r.config.data.input_dir
     if c.source is None:
         return []
-    listing = first_existing(r.spark, [f"{d}/universe.parquet", f"{d}/universe.csv"])
+    listing = r.find([f"{d}/universe.parquet", f"{d}/universe.csv"])
     raw = r.spark.read.parquet(listing) if listing.endswith(".parquet") else r.spark.read.option("header", True).csv(listing)
     universe = r.save(acquire.universe_of(raw, c.probe_n or c.final_n), "universe", report=True)
     source = acquire.with_retries(acquire.load_fetch(c.source), tuple(map(acquire.load_fetch, c.fallbacks)), c.max_retries, c.base_delay)
@@ -60,7 +67,7 @@ def fetch(r: Run) -> list[str]:
 
 def clean(r: Run) -> list[str]:
     d, c = r.config.data.input_dir, r.config.cleaning
-    source = first_existing(r.spark, [r.path("fetched"), f"{d}/daily_price.parquet", f"{d}/daily_price.csv", f"{d}/processed/daily_price*.csv", f"{d}/daily_price*.csv"])
+    source = r.find([r.path("fetched"), f"{d}/daily_price.parquet", f"{d}/daily_price.csv", f"{d}/processed/daily_price*.csv", f"{d}/daily_price*.csv"])
     raw = r.spark.read.parquet(source) if source.endswith((".parquet", "/fetched")) else read_csv(r.spark, source)
     profile = r.save(cleaning.quality_profile(cleaning.coerce(cleaning.add_missing(cleaning.rename_aliases(raw)))), "quality_profile", report=True)
     bars = r.save(cleaning.clean_daily(raw), "daily_price")
@@ -203,14 +210,19 @@ def run_stages(spark: SparkSession, config: Config, names: list[str], command: s
     run = Run(spark, config, str(run_dir))
     for name in names:
         manifest.started(name)
+        run.inputs = []
         try:
             outputs = STAGES[name](run)
         except Exception as e:
-            manifest.finished(name, error=f"{type(e).__name__}: {e}")
+            manifest.finished(name, error=f"{type(e).__name__}: {e}", inputs=run.inputs)
             manifest.close("failed")
             raise
-        manifest.finished(name, outputs)
+        if outputs:
+            manifest.finished(name, outputs, inputs=[p for p in run.inputs if p not in outputs])
+        else:
+            manifest.skipped(name, "nothing configured")
     manifest.close("succeeded")
+    bundle(run_dir)
     publish(run_dir, latest)
     return run_dir
 

@@ -93,11 +93,19 @@ def long_weights(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return w.select(*keys, "month_end", "symbol", F.explode(cells).alias("c")).select(*keys, "month_end", "symbol", "c.strategy", "c.weight")
 
 
-def portfolio_returns(w: DataFrame, months: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, month_end, strategy, ret for every month of `months`; a missing return adds nothing, an empty month is 0."""
+def portfolio_returns(w: DataFrame, months: DataFrame, keys: tuple[str, ...] = (), benchmark: str = "scores") -> DataFrame:
+    """keys, month_end, strategy, ret for every month of `months`; a missing return adds nothing, an empty month is 0.
+
+    The benchmark holds all names with a score, or with benchmark="returns" all rows of `months` with a return.
+    """
+    if benchmark not in ("scores", "returns"):
+        raise ValueError(f"benchmark {benchmark!r} is neither scores nor returns")
     r = F.coalesce("fwd_1m_ret", F.lit(0.0))
     sums = w.groupBy(*keys, "month_end").agg(F.sum(F.col("w_long") * r).alias("long_only"), F.sum(F.col("w_short") * r).alias("short_only"), F.sum(F.col("w_ew") * r).alias("benchmark_ew"))
-    all_months = months.select(*keys, "month_end").distinct().join(sums, [*keys, "month_end"], "left").na.fill(0.0)
+    if benchmark == "returns":
+        all_months = months.groupBy(*keys, "month_end").agg(F.avg("fwd_1m_ret").alias("benchmark_ew")).join(sums.drop("benchmark_ew"), [*keys, "month_end"], "left").na.fill(0.0)
+    else:
+        all_months = months.select(*keys, "month_end").distinct().join(sums, [*keys, "month_end"], "left").na.fill(0.0)
     wide = all_months.withColumn("long_short", F.col("long_only") - F.col("short_only"))
     return wide.unpivot([*keys, "month_end"], list(STRATEGIES), "strategy", "ret")
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import zipfile
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -105,6 +107,12 @@ def test_stages_end_to_end(spark, daily, tmp_path):
     assert cli.main(["run-all", "--config", str(c), "--input-dir", str(src), "--output-dir", str(out)], spark) == 0
     m = json.loads((out / "manifest.json").read_text())
     assert m["status"] == "succeeded" and list(m["stages"]) == list(cli.STAGES)
+    assert m["stages"]["fetch"]["status"] == "skipped"
+    assert [(Path(i["path"]).name, i["files"]) for i in m["stages"]["clean"]["inputs"]] == [("daily_price*.csv", 1)]
+    assert {Path(i["path"]).name for i in m["stages"]["stress"]["inputs"]} == {"factor_panel", "daily_price"}
+    assert m["stages"]["benchmarks"]["metrics"]["registry"]["rows"] > 0 and "category" in m["stages"]["benchmarks"]["metrics"]["registry"]["columns"]
+    with zipfile.ZipFile(out / "reports.zip") as z:
+        assert {"registry.csv", "registry.md", "manifest.json"} <= set(z.namelist())
     assert (out / "registry.csv").exists() and "| benchmark |" in (out / "registry.md").read_text()
     reg = pd.read_csv(out / "registry.csv", encoding="utf-8-sig")
     assert {"factor_strategy", "ml_model", "decision_optimizer", "tuned_candidate"} == set(reg["category"])

@@ -28,6 +28,16 @@ def test_long_short_return(spark):
     assert got[MONTHS[0], "long_short"] == pytest.approx(0.15) and got[MONTHS[0], "short_only"] == pytest.approx(-0.05)
 
 
+def test_benchmark_of_names_with_a_return(spark):
+    rows = [(D(2020, 1, 31), "a", 1.0, 0.1), (D(2020, 1, 31), "b", None, 0.3), (D(2020, 1, 31), "c", 2.0, None), (D(2020, 2, 29), "a", 1.0, None)]
+    s = spark.createDataFrame(rows, "month_end date, symbol string, score double, fwd_1m_ret double")
+    w = portfolio.weights(s, 0.5)
+    of = lambda kind: {r["month_end"].month: r["ret"] for r in portfolio.portfolio_returns(w, s, benchmark=kind).where("strategy = 'benchmark_ew'").collect()}
+    assert of("scores") == pytest.approx({1: 0.05, 2: 0.0}) and of("returns") == pytest.approx({1: 0.2, 2: 0.0})
+    with pytest.raises(ValueError, match="neither"):
+        portfolio.portfolio_returns(w, s, benchmark="names")
+
+
 def test_ties_and_rounded_baskets(spark):
     w = portfolio.weights(scores(spark, [{"a": 1.0, "b": 1.0, "c": 2.0, "d": None, "e": 0.0, "f": 0.0}], [{}]), 0.5).orderBy("symbol").toPandas()
     assert w["symbol"].tolist() == ["a", "b", "c", "e", "f"]
