@@ -172,9 +172,9 @@ def q_describe(spark, sf_dir):
 # Indicators
 
 
-@query(f"SELECT symbol, date, round({sql.least_frame('avg(close)', 5, 5)}, 4) AS ma_5, round({sql.least_frame('avg(close)', 20, 20)}, 4) AS ma_20 FROM bars")
+@query(f"SELECT symbol, date, round({sql.least_frame('avg(close)', 5, 5)}, 6) AS ma_5, round({sql.least_frame('avg(close)', 20, 20)}, 6) AS ma_20 FROM bars")
 def q_ma(spark, sf_dir):
-    return rounded(indicators.moving_averages(bars(spark, sf_dir)).select("symbol", "date", "ma_5", "ma_20"), 4)
+    return rounded(indicators.moving_averages(bars(spark, sf_dir)).select("symbol", "date", "ma_5", "ma_20"), 6)
 
 
 @query(f"SELECT symbol, date, round({sql.least_frame('stddev_pop(ret)', 20, 20)} * sqrt(252.0), 7) AS vol_20 FROM ret")
