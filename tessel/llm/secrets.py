@@ -1,21 +1,26 @@
 """Secret scans: fixed patterns and dictionary-primed compression novelty.
 
 Base kinds are found leftmost and non-overlapping: `assign`, `access`, `hex`. Further, each long string of letters or
-digits that follows a sensitive word is a candidate: zstandard, primed with a dictionary of common identifiers,
-compresses the text around it with and without it, and the candidate is reported (`novel`) where its marginal bytes
-are at least NOVELTY of its length, since a random secret hardly compresses and a known identifier does. A candidate
-of letters alone (or digits alone) may be joined words, so its marginal bytes after fixed prose must be at least
-WORDLESS of its length too; random letters of one case often stay below that.
-
-Each document is judged alone: no shuffle, and memory for one batch. Null texts are empty and have no span; repeated
-rows are scanned each; an empty table gives no row; extra columns are ignored by scan_secrets and kept by
-redact_secrets.
+digits that follows a sensitive word is a candidate: zstandard, primed with a dictionary of identifiers, compresses
+the text around it with and without it, and the candidate is reported (`novel`) where its marginal bytes are at least
+NOVELTY of its length, since a random secret hardly compresses and a known identifier does. A candidate of letters
+alone (or digits alone) may be joined words, so its marginal bytes after fixed prose must be at least WORDLESS of its
+length too; random letters of one case often stay below that.
+
+The dictionary is learnt from the documents: the IDENTIFIER_PARTS word parts that stand in most of them (ties by
+name), counted over all whole texts, after a few fixed identifiers. Candidates in a sensitive context are left out of
+the counts, so that a secret with many copies never primes the dictionary that it is judged by.
+
+Then each document is judged alone: memory for one slice of a batch; only counts are shuffled. Null texts are empty and
+have no span; very long texts are scanned whole; repeated rows are scanned each; an empty table gives no row; extra
+columns are ignored by scan_secrets and kept by redact_secrets.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +30,9 @@ from pyspark.sql import functions as F
 from tessel.llm._shared import pieces_of
 
 KINDS = ("assign", "access", "hex", "novel")
-#: Marginal compressed bytes per character from which a candidate is reported.
-NOVELTY = 0.6
+#: Marginal compressed bytes per character from which a candidate is reported, and the compression level: a high one
+#: also finds the short matches that identifiers are made of, so that random strings stand apart.
+NOVELTY, LEVEL = 0.68, 15
 #: The same, after PROSE, for a candidate without a letter or without a digit: words stay below, random strings don't.
 WORDLESS = 0.85
 #: Characters of context before and after a candidate.
@@ -39,6 +45,10 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 DIGIT = re.compile(r"[0-9]")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"(?:secret|token|passw|pwd|credential|private|bearer|auth|api.?key|access.?key|signature)[^\n]{0,24}\Z", re.I | re.A)
+#: A part of an identifier or a word; a longer run of letters is none.
+PART = re.compile(r"(?<![a-z])[A-Z]?[a-z]{3,14}(?![a-z])")
+#: Word parts in the dictionary, and those that a task counts before it passes them on.
+IDENTIFIER_PARTS, HELD_PARTS = 3_000, 100_000
 #: Identifiers that often stand in code and settings.
 IDENTIFIERS = (
     "access_token refresh_token id_token token_type bearer authorization authentication client_id client_secret api_key "
@@ -91,15 +101,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def sensitive_candidates(text: str) -> list[tuple[int, int]]:
+    """Candidates that follow a sensitive word."""
+    spans = (m.span() for m in CANDIDATE.finditer(text))
+    return [(a, b) for a, b in spans if SENSITIVE.search(text[max(0, a - 48) : a])]
+
+
+def parts_of(text: str) -> set[str]:
+    """Word parts of a text, its candidates in a sensitive context left out."""
+    found, end = set(), 0
+    for a, b in sensitive_candidates(text):
+        found.update(PART.findall(text[end:a]))
+        end = b
+    found.update(PART.findall(text[end:] if end else text))
+    return found
+
+
+def learn_identifiers(docs: DataFrame, parts: int = IDENTIFIER_PARTS) -> str:
+    """The dictionary's content: fixed identifiers, then the word parts found in most documents, the commonest last."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        for whole in batches:
+            for batch in pieces_of(whole, "text"):
+                for text in batch.column("text").to_pylist():
+                    held.update(parts_of(text or ""))
+                if len(held) > HELD_PARTS:
+                    yield pa.record_batch([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], names=["part", "n"])
+                    held.clear()
+        if held:
+            yield pa.record_batch([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], names=["part", "n"])
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part string, n long")
+    best = counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(parts).collect()
+    return " ".join([IDENTIFIERS, *(r["part"] for r in reversed(best))])
+
+
 class Novelty:
     """Marginal compressed size of strings in their context."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3):
+    def __init__(self, identifiers: str = IDENTIFIERS, level: int = LEVEL):
         import zstandard
 
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compressor = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False)
-        self.prose = len(self.compressor.compress(PROSE.encode()))
+        def primed(content: str, level: int) -> zstandard.ZstdCompressor:
+            dictionary = zstandard.ZstdCompressionDict(content.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            dictionary.precompute_compress(level=level)
+            return zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=False)
+
+        self.compressor = primed(identifiers, level)
+        self.plain = primed(IDENTIFIERS, 3)  # PROSE stands for words here: its letters must not come from the dictionary
+        self.prose = len(self.plain.compress(PROSE.encode()))
 
     def marginal(self, text: str, start: int, end: int) -> float:
         """Bytes that text[start:end] adds to its context, per character."""
@@ -110,14 +161,13 @@ class Novelty:
 
     def wordless(self, own: str) -> float:
         """Bytes that a string adds to PROSE, per character."""
-        return (len(self.compressor.compress((PROSE + own).encode())) - self.prose) / len(own)
+        return (len(self.plain.compress((PROSE + own).encode())) - self.prose) / len(own)
 
     def spans(self, text: str, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
         out = []
-        for m in CANDIDATE.finditer(text):
-            a, b = m.span()
-            own = m[0]
-            if SENSITIVE.search(text[max(0, a - 48) : a]) and self.marginal(text, a, b) >= threshold:
+        for a, b in sensitive_candidates(text):
+            own = text[a:b]
+            if self.marginal(text, a, b) >= threshold:
                 if DIGIT.search(own) and re.search("[A-Za-z]", own) or self.wordless(own) >= WORDLESS:
                     out.append((a, 3, b))
         return out
@@ -127,11 +177,15 @@ def _shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan_secrets(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for documents (doc_id, text)."""
+def scan_secrets(docs: DataFrame, threshold: float = NOVELTY, identifiers: str | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for documents (doc_id, text).
+
+    identifiers is the dictionary's content; without it, it is learnt from these documents.
+    """
+    known = learn_identifiers(docs) if identifiers is None else identifiers
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(known)
         for whole in batches:
             for batch in pieces_of(whole, "text"):
                 rows = []
@@ -149,13 +203,14 @@ def scan_secrets(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
     return rows.mapInArrow(scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", threshold: float = NOVELTY) -> DataFrame:
+def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", threshold: float = NOVELTY, identifiers: str | None = None) -> DataFrame:
     """docs with every span of `text` replaced by a mark (overlapping spans by one); other columns stay as they are."""
     schema = docs.schema
     at = docs.columns.index("text")
+    known = learn_identifiers(docs) if identifiers is None else identifiers
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(known)
         for whole in batches:
             for batch in pieces_of(whole, "text"):
                 out = []

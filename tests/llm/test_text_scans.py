@@ -173,3 +173,41 @@ def test_secrets_without_digits():
     found = lambda own: [say(own)[a:b] for a, _, b in novelty.spans(say(own))] == [own]
     assert sum(found("".join(rng.choice(letters) for _ in range(20))) for _ in range(50)) >= 48
     assert not any(map(found, ("authentication_provider", "AdministratorRepresentative", "network/application/security", "responsibilities", "================", "internationalization")))
+
+
+def test_learnt_identifiers(spark):
+    """The dictionary holds the parts of most documents; a secret with many copies isn't among them and stays reported."""
+    copied = "the bearer is Zqlwvxtn_Rkypbsmd9Hgfdkjt for the billing gateway"
+    texts = [copied] * 40 + ["the bearer is shipment_gateway_billing_address1 of the shipment", None, "", "shipment shipment address " * 3000] + [f"billing shipment {i}" for i in range(60)]
+    docs = frame(spark, texts)
+    counts = {}
+    for text in texts:
+        for part in set(re.findall(r"(?<![a-z])[A-Z]?[a-z]{3,14}(?![a-z])", re.sub(r"(?<=bearer is )\S+", "", text or ""))):
+            counts[part] = counts.get(part, 0) + 1
+    best = sorted(counts, key=lambda p: (-counts[p], p))
+    learnt = secrets.learn_identifiers(docs)
+    assert learnt == " ".join([secrets.IDENTIFIERS, *reversed(best)]) and "Zqlwvxtn" not in learnt
+    assert secrets.learn_identifiers(docs, 2).endswith("shipment billing")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs).collect()}
+    assert got[0] == got[39] == f"novel:14:{14 + 25}" and not any(got[i] for i in range(40, len(texts)))
+    assert secrets.learn_identifiers(docs.limit(0)) == secrets.IDENTIFIERS
+
+
+def test_novelty_tells_random_strings_from_identifiers():
+    """Random strings and joined corpus words in contexts of different lengths."""
+    rng = random.Random(2)
+    words = "address gateway shipment billing service handler request account payment customer order product invoice session config server manager update message queue".split()
+    novelty = secrets.Novelty(" ".join([secrets.IDENTIFIERS, *words]))
+
+    def found(own):
+        before, after = (" ".join(rng.choices(secrets.PROSE.split() + words, k=rng.choice(n))) for n in ((3, 20, 60), (0, 5, 30)))
+        before += " the bearer is "
+        return bool(novelty.spans(f"{before}{own} {after}"))
+
+    kinds = {
+        "mixed": lambda: random_text(rng, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 22) + "7a",
+        "hex": lambda: random_text(rng, "0123456789abcdef", 24),
+        "joined": lambda: "_".join(rng.choices(words, k=3)) + str(rng.randrange(10)),
+    }
+    rate = {k: sum(found(make()) for _ in range(200)) / 200 for k, make in kinds.items()}
+    assert rate["mixed"] >= 0.98 and rate["hex"] >= 0.95 and rate["joined"] <= 0.2, rate
