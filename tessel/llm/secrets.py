@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm._shared import pieces_of
+from tessel.llm._shared import discard, materialize, pieces_of
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Marginal compressed bytes per character from which a candidate is reported, and the compression level: a high one
@@ -133,7 +133,15 @@ def learn_identifiers(docs: DataFrame, parts: int = IDENTIFIER_PARTS) -> str:
             yield pa.record_batch([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], names=["part", "n"])
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part string, n long")
-    best = counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(parts).collect()
+    counts = materialize(counts.groupBy("part").agg(F.sum("n").alias("n")), "parts")
+    level = F.floor(F.log2("n") * 16)  # counts within a few per cent of each other
+    least, found = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # about a thousand rows at most
+        least, found = r["level"], found + r["count"]
+        if found >= parts:
+            break
+    best = counts.where(level >= least).orderBy(F.desc("n"), "part").limit(parts).collect()
+    discard(counts)
     return " ".join([IDENTIFIERS, *(r["part"] for r in reversed(best))])
 
 
