@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.config import ML, Factors, Tuning, Validation
 from tessel.functions.tables import written
 from tessel.functions.windows import average_rank, by, forward_fill
 from tessel.operators import cleaning, decision, factors, indicators, ml, portfolio, registry, research, stress, tuning, validation
@@ -18,6 +19,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 ALL_Z = [f"z_{f}" for f in factors.FACTORS]
+#: The default settings, for the queries and their SQL alike.
+HORIZONS = list(Factors().ic_decay_horizons)
+FEATURES = list(ML().feature_cols)
+GRID = {"risk": Tuning().risk_aversion, "penalty": Tuning().turnover_penalty, "quantile": Tuning().top_quantile, "factor_weights": Tuning().factor_weight_sets}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,8 +135,10 @@ def q_log_returns(spark, sf_dir):
 
 
 @query(
-    """, mr AS MATERIALIZED (SELECT symbol, date, ret FROM ret), g AS MATERIALIZED (SELECT avg(ret) AS m, stddev_pop(ret) AS s, quantile_cont(ret, 0.25) AS q1, quantile_cont(ret, 0.75) AS q3 FROM mr)
-SELECT symbol, date, coalesce(abs((ret - m) / s) > 3, false) AS flag_z, coalesce(ret < q1 - 1.5 * (q3 - q1) OR ret > q3 + 1.5 * (q3 - q1), false) AS flag_iqr FROM mr, g"""
+    f"""WITH {sql.RETURNS}, g AS (SELECT avg(ret) AS m, stddev_pop(ret) AS s FROM ret), q AS (SELECT quantile_cont(ret, [0.25, 0.75]) AS q FROM ret),
+e AS (SELECT (SELECT m FROM g) AS m, (SELECT s FROM g) AS s, (SELECT q[1] - 1.5 * (q[2] - q[1]) FROM q) AS lo, (SELECT q[2] + 1.5 * (q[2] - q[1]) FROM q) AS hi)
+SELECT symbol, date, coalesce(abs((ret - (SELECT m FROM e)) / (SELECT s FROM e)) > 3, false) AS flag_z, coalesce(ret < (SELECT lo FROM e) OR ret > (SELECT hi FROM e), false) AS flag_iqr FROM ret""",
+    chain=False,
 )
 def q_outlier_flags(spark, sf_dir):
     return cleaning.outlier_flags(returns(spark, sf_dir), "ret").select("symbol", "date", "flag_z", "flag_iqr")
@@ -299,17 +306,17 @@ def _decay(h: int) -> str:
 d{h} AS (SELECT month_end, {h} AS horizon, factor, {sql.CORR.format(a='rv', b='rr')} AS ic FROM rk{h} GROUP BY month_end, factor HAVING count(*) >= 3)"""
 
 
-DECAY = f", {', '.join(_decay(h) for h in (1, 2, 3))}, dc AS ({' UNION ALL '.join(f'SELECT * FROM d{h}' for h in (1, 2, 3))})"
+DECAY = f", {', '.join(_decay(h) for h in HORIZONS)}, dc AS ({' UNION ALL '.join(f'SELECT * FROM d{h}' for h in HORIZONS)})"
 
 
 @query(DECAY + " SELECT month_end, horizon, factor, round(ic, 7) AS ic FROM dc")
 def q_ic_decay(spark, sf_dir):
-    return rounded(research.ic_decay(panel(spark, sf_dir), ALL_Z, [1, 2, 3]), 7)
+    return rounded(research.ic_decay(panel(spark, sf_dir), ALL_Z, HORIZONS), 7)
 
 
 @query(DECAY + " SELECT factor, horizon, round(avg(ic), 7) AS ic_mean, round(stddev_samp(ic), 7) AS ic_std, count(ic) AS ic_count, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir FROM dc GROUP BY factor, horizon")
 def q_ic_decay_summary(spark, sf_dir):
-    return rounded(research.ic_decay_summary(research.ic_decay(panel(spark, sf_dir), ALL_Z, [1, 2, 3])), 7, icir=6)
+    return rounded(research.ic_decay_summary(research.ic_decay(panel(spark, sf_dir), ALL_Z, HORIZONS)), 7, icir=6)
 
 
 GROUPS = f""", gr AS (SELECT *, row_number() OVER (PARTITION BY month_end, factor ORDER BY value, symbol) AS r, count(*) OVER (PARTITION BY month_end, factor) AS n FROM lz WHERE value IS NOT NULL),
@@ -329,7 +336,7 @@ def q_group_summary(spark, sf_dir):
 
 @query()
 def q_fama_macbeth(spark, sf_dir):
-    return rounded(research.fama_macbeth(panel(spark, sf_dir), [f"z_{f}" for f in factors.BASE]), 6)
+    return rounded(research.fama_macbeth(panel(spark, sf_dir), ALL_Z), 6)
 
 
 @query(
@@ -342,11 +349,11 @@ def q_fama_macbeth_single(spark, sf_dir):
 
 
 @query(
-    f""", c AS (SELECT {', '.join(f"{sql.CORR.format(a=f'z_{a}', b=f'z_{b}')} AS {a}__{b}" for a in sql.BASE for b in sql.BASE)} FROM z)
-{' UNION ALL '.join(f"SELECT 'z_{a}' AS a, 'z_{b}' AS b, round({a}__{b}, 7) AS corr FROM c" for a in sql.BASE for b in sql.BASE)}"""
+    f""", c AS (SELECT {', '.join(f"{sql.CORR.format(a=f'CASE WHEN z_{b} IS NOT NULL THEN z_{a} END', b=f'CASE WHEN z_{a} IS NOT NULL THEN z_{b} END')} AS {a}__{b}" for a in sql.FACTORS for b in sql.FACTORS)} FROM z)
+{' UNION ALL '.join(f"SELECT 'z_{a}' AS a, 'z_{b}' AS b, round({a}__{b}, 7) AS corr FROM c" for a in sql.FACTORS for b in sql.FACTORS)}"""
 )
 def q_factor_corr(spark, sf_dir):
-    return rounded(factors.correlation_matrix(panel(spark, sf_dir), [f"z_{f}" for f in factors.BASE]), 7)
+    return rounded(factors.correlation_matrix(panel(spark, sf_dir), ALL_Z), 7)
 
 
 @query("SELECT month_end, factor, symbol, value_rank FROM (SELECT *, rank() OVER (PARTITION BY month_end, factor ORDER BY round(value, 6)) + (count(*) OVER (PARTITION BY month_end, factor, round(value, 6)) - 1) / 2.0 AS value_rank FROM lz WHERE value IS NOT NULL)")
@@ -541,15 +548,6 @@ def q_stress_summary(spark, sf_dir):
     return _performance(stress.regime_summary(stressed(spark, sf_dir)))
 
 
-#: The default search grid.
-GRID = {
-    "risk": [1.0, 5.0, 10.0],
-    "penalty": [0.0, 0.05, 0.1],
-    "quantile": [0.1, 0.2, 0.3],
-    "factor_weights": [{"z_VALUE": 1.0, "z_SIZE": 1.0}, {"z_VALUE": 1.0, "z_MOM_12_1": 1.0, "z_QUALITY": 1.0, "z_SIZE": 1.0}, {"z_VALUE": 1.0, "z_REVERSAL_1M": 1.0, "z_VOL_1M": 1.0}],
-}
-
-
 def tuned(spark, sf_dir):
     return tuning.evaluate(written(panel(spark, sf_dir), "panel"), tuning.grid(spark, **GRID), sql.SPLITS)
 
@@ -629,9 +627,6 @@ def rounded_drag(df: DataFrame) -> DataFrame:
 
 # Validation and models
 
-FEATURES = ["z_VALUE", "z_MOM_12_1", "z_QUALITY", "z_SIZE"]
-
-
 @query(
     """, mo AS (SELECT month_end, row_number() OVER (ORDER BY month_end) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT month_end FROM z)),
 st AS (SELECT unnest(range(24, CAST(max(n) AS BIGINT), 6)) AS first_i FROM mo), sp AS (SELECT first_i, CAST(row_number() OVER (ORDER BY first_i) - 1 AS INTEGER) AS split_id FROM st)
@@ -644,8 +639,9 @@ def q_walkforward_splits(spark, sf_dir):
 
 
 def predicted(spark, sf_dir, *models: str, method: str = "expanding") -> DataFrame:
-    """Predictions of all splits, with 18 training months at least and 6 test months: one fit per model and split."""
-    return ml.walk_forward_predictions(panel(spark, sf_dir), FEATURES, models, 18, 6, method)[0]
+    """Predictions of all splits, with the default features, least training months and test months."""
+    v = Validation()
+    return ml.walk_forward_predictions(panel(spark, sf_dir), FEATURES, models, v.min_train_months, v.test_window_months, method)[0]
 
 
 @query()

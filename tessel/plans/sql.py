@@ -77,10 +77,12 @@ FROM (SELECT {keys}, count(ret) AS periods, CASE WHEN product(1 + ret) >= 0 THEN
   min(drawdown) AS d, stddev_pop(CASE WHEN ret < 0 THEN ret END) * sqrt(12.0) AS s FROM {source} GROUP BY {keys})"""
 
 
-CHAIN = f"""px AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS px,
+RETURNS = """px AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS px,
   (l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS ord, l_quantity, l_extendedprice FROM lineitem),
 bars AS (SELECT symbol, date, min_by(px, ord) AS open, max(px) AS high, min(px) AS low, max_by(px, ord) AS close, sum(l_quantity) AS volume, round(sum(l_extendedprice), 2) AS amount FROM px GROUP BY symbol, date),
-ret AS (SELECT *, lag(close) OVER d AS prev, close / lag(close) OVER d - 1 AS ret FROM bars WINDOW d AS (PARTITION BY symbol ORDER BY date)),
+ret AS (SELECT *, lag(close) OVER d AS prev, close / lag(close) OVER d - 1 AS ret FROM bars WINDOW d AS (PARTITION BY symbol ORDER BY date))"""
+
+CHAIN = f"""{RETURNS},
 illiq AS (SELECT *, abs(ret) / nullif(amount, 0) AS il FROM ret),
 daily AS (SELECT *, {least_frame('avg(amount)', 21, 10)} AS avg_dv_21, {least_frame('avg(close)', 252, 126)} AS ma_252,
   {least_frame('avg(ret)', 63, 40)} / nullif({least_frame('stddev_pop(ret)', 63, 40)}, 0) AS sharpe_3m, {least_frame('stddev_pop(ret)', 21, 15)} AS vol_21, {least_frame('avg(il)', 21, 15)} AS illiq_21 FROM illiq),
