@@ -12,7 +12,6 @@ rows are judged each; an empty table gives no row; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,6 @@ CHUNK = 96
 TRAIN_DOCUMENTS, TRAIN_CHUNKS = 400, 6
 STEPS, BATCH = 350, 256
 PAD = 256
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def _init(languages: int, hidden: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -137,7 +135,7 @@ def train(texts: list[bytes], labels: np.ndarray, languages: int, hidden: int =
     m, v = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
     by_label = [np.flatnonzero(labels == c) for c in range(languages)]
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(by_label[c], batch // languages) for c in range(languages)])
+        pick = np.concatenate([rng.choice(by_label[c], 1 + (batch - 1) // languages) for c in (range(languages) if languages <= batch else rng.choice(languages, batch, replace=False))])
         x = np.full((chunk, len(pick)), PAD, np.int64)
         for i, k in enumerate(pick.tolist()):
             start = int(rng.integers(0, max(1, len(texts[k]) - chunk + 1)))
@@ -208,7 +206,7 @@ def identify(docs: DataFrame, hidden: int = HIDDEN, steps: int = STEPS) -> DataF
         for whole in batches:
             for batch in pieces_of(whole, "text", 4 << 20):
                 found = batch.column("text").to_pylist()
-                able = [i for i, t in enumerate(found) if t and LETTER.search(t)] if w else []
+                able = [i for i, t in enumerate(found) if t and any(map(str.isalpha, t))] if w else []
                 langs, scores = ["und"] * len(found), [0.0] * len(found)
                 if able:
                     p = document_probabilities(w, [found[i].encode() for i in able])
