@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import decontam, neardup, quality
+from tessel.llm import audit, decontam, divergence, neardup, quality
 from tessel.llm.langid import identify
 from tessel.llm.packing import packing_digest
 from tessel.llm.pii import find_pii
@@ -15,6 +15,7 @@ from tessel.llm.secrets import scan_secrets
 from tessel.llm.sharding import sharding_digest
 from tessel.llm.substring import repeats_digest
 from tessel.llm.tokenfile import token_file_digest
+from tessel.llm.wrappers import extract_pages
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,18 @@ def op10_recurrent_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir))
 
 
+def op11_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_lattice_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_tiled_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_containment_decontamination,
         op9_suffix_array_dedup,
         op10_recurrent_language_id,
+        op11_wrapper_induction,
+        op12_lattice_filter_audit,
+        op13_tiled_source_divergence,
     )
 }
 
@@ -82,4 +98,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_cascade": quality.ORACLE_SQL,
     "op6_circulant_minhash": neardup.ORACLE_SQL,
     "op8_containment_decontamination": decontam.ORACLE_SQL,
+    "op12_lattice_filter_audit": audit.ORACLE_SQL,
+    "op13_tiled_source_divergence": divergence.ORACLE_SQL,
 }
