@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessel.config import ML, Factors, Tuning, Validation
 from tessel.functions.tables import written
 from tessel.functions.windows import average_rank, by, forward_fill
-from tessel.operators import cleaning, decision, factors, indicators, ml, portfolio, registry, research, stress, tuning, validation
+from tessel.operators import cleaning, decision, factors, indicators, linear, ml, portfolio, registry, research, stress, tuning, validation
 from tessel.plans import sql
 from tessel.sources import bars as sources
 from tessel.sources import sinks
@@ -638,7 +638,7 @@ def q_walkforward_splits(spark, sf_dir):
     return validation.split_table(spark, splits)
 
 
-def predicted(spark, sf_dir, *models: str, method: str = "expanding") -> DataFrame:
+def predicted(spark, sf_dir, *models: str, method: str | tuple[str, ...] = "expanding") -> DataFrame:
     """Predictions of all splits, with the default features, least training months and test months."""
     v = Validation()
     return ml.walk_forward_predictions(panel(spark, sf_dir), FEATURES, models, v.min_train_months, v.test_window_months, method)[0]
@@ -649,6 +649,24 @@ def q_ml_linear(spark, sf_dir):
     return ml.evaluate(predicted(spark, sf_dir, "linear"))
 
 
+COEFFICIENTS = f""", mo AS (SELECT month_end, row_number() OVER (ORDER BY month_end) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT month_end FROM z)),
+st AS (SELECT unnest(range({Validation().min_train_months}, CAST(max(n) AS BIGINT), {Validation().test_window_months})) AS first_i FROM mo), sp AS (SELECT first_i, CAST(row_number() OVER (ORDER BY first_i) - 1 AS INTEGER) AS split_id FROM st),
+cut AS (SELECT 'expanding' AS method, split_id, first_i AS least FROM sp UNION ALL SELECT 'purged', split_id, first_i - {Validation().embargo_months} FROM sp),
+tr AS (SELECT method, split_id, count(*) AS n, avg(z_VALUE) AS mx, CASE WHEN stddev_pop(z_VALUE) > 0 THEN stddev_pop(z_VALUE) ELSE 1 END AS sx, avg(fwd_1m_ret) AS my, covar_pop(z_VALUE, fwd_1m_ret) * count(*) AS xy, var_pop(z_VALUE) * count(*) AS xx
+  FROM cut JOIN mo ON mo.i < cut.least JOIN z ON z.month_end = mo.month_end GROUP BY ALL),
+fit AS (SELECT 'linear' AS model, *, (xy / sx) / (xx / sx / sx) AS w FROM tr UNION ALL SELECT 'ridge', *, (xy / sx) / (xx / sx / sx + 1) FROM tr
+  UNION ALL SELECT 'lasso', *, sign(xy) * greatest(abs(xy / sx) - 0.001 * n, 0) / (xx / sx / sx) FROM tr)
+SELECT method, model, split_id, 'z_VALUE' AS feature, round(w, 8) AS coefficient, round(w / sx, 8) AS raw, round(my - w / sx * mx, 8) AS intercept FROM fit"""
+
+
+@query(COEFFICIENTS)
+def q_ml_coefficients(spark, sf_dir):
+    """Coefficients of the least-squares models of one feature, all splits of both methods: they have a closed form."""
+    v = Validation()
+    _, _, fits = ml.split_fits(panel(spark, sf_dir), ["z_VALUE"], ("linear", "ridge", "lasso"), v.min_train_months, v.test_window_months, validation.METHODS, v.embargo_months)
+    return rounded(linear.coefficient_table(spark, fits, ["z_VALUE"]))
+
+
 @query()
 def q_ml_ridge(spark, sf_dir):
     return ml.evaluate(predicted(spark, sf_dir, "ridge", "lasso"))
@@ -671,8 +689,7 @@ def q_ml_portfolios(spark, sf_dir):
 
 @query()
 def q_validation_cmp(spark, sf_dir):
-    both = predicted(spark, sf_dir, "ridge").unionByName(predicted(spark, sf_dir, "ridge", method="purged"))
-    return ml.compare_methods(ml.evaluate(both))
+    return ml.compare_methods(ml.evaluate(predicted(spark, sf_dir, "ridge", method=validation.METHODS)))
 
 
 def fixed_predictions(spark, sf_dir) -> DataFrame:

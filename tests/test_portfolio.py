@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.operators import decision, factors, ml, portfolio, registry, research, stress, tuning, validation
+from tessel.operators import decision, factors, linear, ml, portfolio, registry, research, stress, tuning, validation
 
 D = dt.date
 MONTHS = [D(2020, 1, 31), D(2020, 2, 29), D(2020, 3, 31)]
@@ -143,7 +143,9 @@ def standard(train, test):
 def test_linear_family(spark, ml_panel, model):
     split = validation.walk_forward(months(12), 8, 4)[0]
     data = ml.dataset(spark.createDataFrame(ml_panel), ["x1", "x2"])
-    got = ml.fit_predict(data, split, model, ["x1", "x2"])[0].toPandas().sort_values(["month_end", "symbol"])["score"].to_numpy()
+    others = validation.walk_forward(months(12), 5, 3) + validation.walk_forward(months(12), 5, 3, "purged", 1)
+    fits = linear.fit_all(data, [*others, split], (model,), ["x1", "x2"])  # the others are solved beside it
+    got = linear.predict(data, fits[-1:], ["x1", "x2"]).toPandas().sort_values(["month_end", "symbol"])["score"].to_numpy()
     tr, te = (ml_panel[ml_panel["month_end"].isin(m)].sort_values(["month_end", "symbol"]) for m in (split.train_months, split.test_months))
     x, xt = standard(tr[["x1", "x2"]], te[["x1", "x2"]])
     y = tr["fwd_1m_ret"].to_numpy()
@@ -165,7 +167,7 @@ def test_linear_family(spark, ml_panel, model):
             p = 1 / (1 + np.exp(-z @ w))
             w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - t) + ridge @ w)
         want = 1 / (1 + np.exp(-np.column_stack([np.ones(len(xt)), xt]) @ w))
-    assert np.allclose(got, want, atol=1e-6)
+    assert np.allclose(got, want, atol=1e-8)
 
 
 def test_walk_forward_models(spark, ml_panel):
@@ -268,3 +270,27 @@ def test_model_queries_cover_all_splits(monkeypatch):
     assert catalog.q_ml_linear(None, "") == catalog.q_ml_trees(None, "") == "rows"
     assert asked == [(("linear",), (18, 6, "expanding"), {}), (("random_forest", "gradient_boosting"), (18, 6, "purged"), {})]
     assert ml.estimator.__defaults__[-2] == 120
+
+
+def test_queries_take_the_default_settings(monkeypatch):
+    """Features, factors, horizons and grid of the queries are those of the settings, in the query and in its SQL."""
+    from tessel.config import ML, Factors, Tuning
+    from tessel.plans import catalog
+
+    assert catalog.FEATURES == list(ML().feature_cols) == catalog.ALL_Z and catalog.HORIZONS == list(Factors().ic_decay_horizons)
+    assert catalog.GRID == {"risk": Tuning().risk_aversion, "penalty": Tuning().turnover_penalty, "quantile": Tuning().top_quantile, "factor_weights": Tuning().factor_weight_sets}
+    assert max(catalog.GRID["penalty"]) == 0.15 and "6 AS horizon" in catalog.ORACLE_SQL["q_ic_decay"] and "0.15::DOUBLE" in catalog.ORACLE_SQL["q_tuning_grid"]
+    assert all(f"z_{f}" in catalog.ORACLE_SQL["q_factor_corr"] for f in factors.FACTORS)
+
+
+def test_logistic_splits_and_constant_features(spark):
+    """A split whose training rows are one class has no logistic model; a constant feature has no weight."""
+    rows = [(m, f"s{i}", 1.0, float(i), 0.1 if k < 3 or i % 2 else -0.1) for k, m in enumerate(months(8)) for i in range(4)]
+    data = ml.dataset(spark.createDataFrame(rows, "month_end date, symbol string, one double, x double, fwd_1m_ret double"), ["one", "x"])
+    splits = validation.walk_forward(months(8), 2, 2)
+    fits = linear.fit_all(data, splits, linear.MODELS, ["one", "x"])
+    assert [f.split.split_id for f in fits if f.model == "logistic"] == [1, 2]
+    assert all(abs(f.scaled[0]) < 1e-9 for f in fits)
+    broken = validation.Split(0, tuple(months(8)[2:4]), tuple(months(8)[4:6]), "expanding", 0)
+    with pytest.raises(ValueError, match="all months"):
+        linear.fit_all(data, [broken], ("linear",), ["x"])
