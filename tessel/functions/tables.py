@@ -27,9 +27,20 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder."""
+    return f"{scratch_root(spark)}/tessel-{uuid.uuid4().hex[:12]}-{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tessel-{uuid.uuid4().hex[:12]}-{name}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more, on whatever file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

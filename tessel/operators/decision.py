@@ -1,21 +1,37 @@
 """Long-only mean-variance weights, month after month.
 
-A month's weights depend on the month before, so a score source is a sequence: its months go through one grouped
-function in order. Sources (and candidates) run side by side; a source's panel is months times names, and its memory is
-linear in them: covariances stay in the form of the few months that they come from.
+A month's weights depend on the month before, so a score source is a sequence of months; sources run side by side. Within
+a month the work is spread over its names: the covariance comes from a few past months, so the optimum is described by
+one price for each of them and one for the sum of weights. Those dozen prices live on the driver, each Newton step on the
+dual is one aggregate over the month's names, and given the prices each name's weight is a formula of its own row. The
+weights are written and joined to the next month's names. No task holds a month, let alone a panel. Where the steps start
+is found on a sample of START_NAMES names at most, each standing for its share of them; it decides how many passes follow,
+not what they end at.
+
+optimal_weights solves one month whose names are at hand as arrays, as a function of its own and as a check of the rest.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessel.functions.tables import remove, scratch_path
+from tessel.functions.windows import nan_to_null
 from tessel.operators import portfolio
 
+#: Names of a month that one task takes, about.
+TASK_NAMES = 100_000
+#: Names of a month, drawn by hash, that the steps' start is found on.
+START_NAMES = 1_000
+
 
 def _prox(v: np.ndarray, before: np.ndarray, penalty: float, cap: float) -> np.ndarray:
     """argmin of penalty * |w - before| + |w - v|^2 / 2 over sum(w) = 1 and 0 <= w <= cap, by bisection on the sum's price."""
@@ -155,31 +171,213 @@ def trailing_covariance(history: np.ndarray, lookback: int) -> LowRank:
     return LowRank((past - past.mean(axis=0)) / np.sqrt(len(past) - 1), 1e-6)
 
 
-def optimize_panel(scores: DataFrame, lookback: int = 12, cost_bps: float = 15.0, **options) -> DataFrame:
+@dataclass(frozen=True)
+class Terms:
+    """The objective's settings for a month: curvature of a weight's own square, risk, turnover penalty, cap."""
+
+    curve: float
+    own: float
+    penalty: float
+    cap: float
+
+    @staticmethod
+    def of(months: int, risk_aversion: float, turnover_penalty: float, concentration_penalty: float, max_weight: float) -> Terms:
+        ridge = 1e-6 if months > 1 else 0.05
+        return Terms(max(2 * (concentration_penalty + risk_aversion * ridge), 1e-9), 1 / (2 * risk_aversion) if risk_aversion > 0 else 0.0, turnover_penalty, min(max_weight, 1.0))
+
+    def weights(self, pull: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Each name's weight under its pull (expected value less the prices of its risk, plus the sum's price)."""
+        move = pull / self.curve - before
+        return np.clip(before + np.sign(move) * np.maximum(np.abs(move) - self.penalty / self.curve, 0.0), 0.0, self.cap)
+
+
+@dataclass
+class Point:
+    """Prices (of past months, and last of the sum of weights) with the dual's value, slope and curvature there."""
+
+    prices: np.ndarray
+    value: float = -np.inf
+    slope: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    bend: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    total: float = 0.0
+
+    def steepness(self) -> float:
+        return float(np.abs(self.slope).max())
+
+
+def _columns(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(expected, before, past deviations) of a batch of names; k of the deviations count."""
+    deviations = batch.column("past").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if k else np.zeros((batch.num_rows, 0))
+    return batch.column("score").to_numpy(zero_copy_only=False), np.clip(batch.column("before").to_numpy(zero_copy_only=False), 0.0, None), deviations
+
+
+def _sums(names: tuple[np.ndarray, np.ndarray, np.ndarray], points: list[np.ndarray], terms: Terms, k: int) -> np.ndarray:
+    """For each point the sums over names that the dual is made of: value, weights, free names, and deviations of both."""
+    expected, before, past = names
+    before = np.minimum(before, terms.cap)
+    out = np.zeros((len(points), 3 + 2 * k + k * k))
+    for s, p in zip(out, points):
+        pull = expected - past @ p[:k] + p[k]
+        w = terms.weights(pull, before)
+        free = (w > 0) & (w < terms.cap) & (np.abs(pull / terms.curve - before) > terms.penalty / terms.curve)
+        own = past[free]
+        s[:3] = (terms.curve / 2 * w * w - pull * w + terms.penalty * np.abs(w - before)).sum(), w.sum(), free.sum()
+        s[3 : 3 + k], s[3 + k : 3 + 2 * k], s[3 + 2 * k :] = w @ past, own.sum(axis=0), (own.T @ own).ravel()
+    return out
+
+
+def _point(p: np.ndarray, s: np.ndarray, terms: Terms, k: int) -> Point:
+    price, bend = p[:k], np.zeros((k + 1, k + 1))
+    bend[:k, :k] = s[3 + 2 * k :].reshape(k, k) / terms.curve + terms.own * np.eye(k)
+    bend[:k, k] = bend[k, :k] = -s[3 + k : 3 + 2 * k] / terms.curve
+    bend[k, k] = max(s[2], 1.0) / terms.curve
+    return Point(p, float(s[0] + p[k] - terms.own * (price @ price) / 2), np.append(s[3 : 3 + k] - terms.own * price, 1.0 - s[1]), bend, float(s[1]))
+
+
+def _summed(names: DataFrame, points: list[np.ndarray], terms: Terms, k: int) -> np.ndarray:
+    """_sums over a month's names in Spark; a task returns (k + 3)^2 numbers of each point."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(points), 3 + 2 * k + k * k))
+        for batch in batches:
+            sums += _sums(_columns(batch, k), points, terms, k)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(points)), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.float64()))], ["point", "sums"])
+
+    total = np.zeros((len(points), 3 + 2 * k + k * k))
+    for r in names.select("score", "before", "past").mapInArrow(partial, "point int, sums array<double>").collect():
+        total[r["point"]] += r["sums"]
+    return total
+
+
+def climb(summed: Callable[[list[np.ndarray]], np.ndarray], points: list[np.ndarray], terms: Terms, k: int, tolerance: float, steps: int = 200) -> Point:
+    """The maximiser of a month's dual from the best of `points`: Newton steps, each tried at several lengths in one pass."""
+    best, shrink, sizes = None, 1.0, [2.0**-i for i in range(10)]
+    for _ in range(steps):
+        found = [_point(p, s, terms, k) for p, s in zip(points, summed(points))]
+        top = max(p.value for p in found)
+        near = min((p for p in found if p.value >= top - 1e-14 * (1 + abs(top))), key=Point.steepness)
+        if best is None or near.value > best.value or (near.value >= best.value - 1e-13 * (1 + abs(best.value)) and near.steepness() < best.steepness()):
+            best, shrink = near, 1.0
+        else:  # each length goes too far, past a kink
+            shrink *= 2.0 ** -len(sizes)
+            if shrink < 1e-12:
+                break
+        if best.steepness() < tolerance:
+            break
+        step = np.linalg.solve(best.bend + 1e-14 * np.trace(best.bend) / (k + 1) * np.eye(k + 1), best.slope)
+        points = [best.prices + shrink * size * step for size in sizes]
+    return best
+
+
+def dual_prices(names: DataFrame, n: int, terms: Terms, k: int, low: float, high: float, sample: int | None = None) -> Point:
+    """The maximiser of the dual of a month's n names, whose expected values lie between low and high."""
+    sample = START_NAMES if sample is None else sample
+    reach = terms.curve * (terms.cap + 1) + terms.penalty
+    points = [np.append(np.zeros(k), x) for x in np.linspace(-high - reach, reach - low, 24)]
+    tolerance = 1e-11
+    if sample:
+        drawn = names.where(F.pmod(F.xxhash64("symbol"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))).select("score", "before", "past").toArrow().combine_chunks()
+        if drawn.num_rows:
+            few = _columns(drawn.to_batches()[0], k)
+            tolerance *= 1 + np.abs(few[2]).max(initial=0.0)
+            points = [climb(lambda p: _sums(few, p, terms, k) * (n / drawn.num_rows), points, terms, k, tolerance).prices, *points[::6]]
+    best = climb(lambda p: _summed(names, p, terms, k), points, terms, k, tolerance)
+    if best.steepness() > 1e-6 * (1 + tolerance * 1e11):
+        raise ArithmeticError(f"the weights' prices did not settle: {best.steepness()}")
+    return best
+
+
+def _problem(scores: DataFrame, steps: DataFrame, lookback: int, path: str) -> None:
+    """Write the names of each month by (s, m): symbol, score, ret, past (deviations of the months before, over a root)."""
+    clean = scores.select("source", "month_end", "symbol", *[nan_to_null(F.col(c).cast("double")).alias(c) if c == "fwd_1m_ret" else F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("score", "fwd_1m_ret")])
+    rows = clean.join(F.broadcast(steps), (clean["source"].eqNullSafe(steps["src"])) & (clean["month_end"] == steps["month"]))
+    names = Window.partitionBy("s", "symbol").orderBy("m")
+    twice = F.lag("m").over(names) == F.col("m")
+    seen = F.map_from_entries(F.collect_list(F.struct("m", F.coalesce("fwd_1m_ret", F.lit(0.0)))).over(names.rangeBetween(-lookback, -1)))
+    rows = rows.withColumns({"m": F.when(twice, F.raise_error(F.concat(F.lit("two rows of a month and symbol: "), F.col("month").cast("string"), F.lit(" "), "symbol")).cast("int")).otherwise(F.col("m"))})
+    rows = rows.withColumn("__seen", seen).withColumn("__l", F.least(F.col("m"), F.lit(lookback)))
+    rows = rows.where("score is not null and fwd_1m_ret is not null")
+    dense = F.transform(F.sequence(F.col("m") - F.col("__l"), F.col("m") - 1), lambda j: F.coalesce(F.try_element_at("__seen", j), F.lit(0.0)))
+    rows = rows.withColumn("__r", F.when(F.col("__l") > 1, dense))
+    mean = F.aggregate("__r", F.lit(0.0), lambda a, x: a + x) / F.col("__l")
+    past = F.transform("__r", lambda x: (x - F.col("__mean")) / F.sqrt(F.col("__l") - 1.0))
+    rows = rows.withColumn("__mean", mean).select("s", "m", "symbol", "score", F.col("fwd_1m_ret").alias("ret"), F.coalesce(past, F.array().cast("array<double>")).alias("past"))
+    parts = F.ceil(F.col("n") / TASK_NAMES)
+    rows = rows.join(F.broadcast(steps.select("s", "m", "n")), ["s", "m"])
+    rows.withColumn("__part", F.pmod(F.xxhash64("symbol"), parts)).repartition("s", "m", "__part").drop("__part", "n").write.partitionBy("s", "m").parquet(path)
+
+
+def _month(spark: SparkSession, month: dict, path: str, out: str, before: str | None, lookback: int, options: dict) -> None:
+    """Write a month's weights (symbol, weight, before, ret) to `out`."""
+    names = spark.read.schema("symbol string, score double, ret double, past array<double>").parquet(f"{path}/s={month['s']}/m={month['m']}")
+    if before:
+        held = spark.read.schema("symbol string, weight double").parquet(before).withColumnRenamed("weight", "before")
+        names = names.join(held, "symbol", "left").na.fill(0.0, ["before"])
+    else:
+        names = names.withColumn("before", F.lit(0.0))
+    length, n = min(month["m"], lookback), month["own"]
+    k = length if length > 1 and options["risk_aversion"] > 0 else 0
+    terms = Terms.of(length, **options)
+    if n * terms.cap < 1.0 or month["odd"]:
+        names.select("symbol", F.lit(1.0 / n).alias("weight"), "before", "ret").write.parquet(out)
+        return
+    names = names.persist()
+    try:
+        best = dual_prices(names, n, terms, k, month["low"], month["high"])
+        prices, total = best.prices, best.total
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                expected, held, past = _columns(batch, k)
+                w = terms.weights(expected - past @ prices[:k] + prices[k], np.minimum(held, terms.cap)) / total
+                yield pa.RecordBatch.from_arrays([batch.column("symbol"), pa.array(w), batch.column("before"), batch.column("ret")], ["symbol", "weight", "before", "ret"])
+
+        names.mapInArrow(weigh, "symbol string, weight double, before double, ret double").write.parquet(out)
+    finally:
+        names.unpersist()
+
+
+def optimize_panel(scores: DataFrame, lookback: int = 12, cost_bps: float = 15.0, risk_aversion: float = 5.0, turnover_penalty: float = 0.05, concentration_penalty: float = 0.01, max_weight: float = 0.25) -> DataFrame:
     """source, month_end, symbol, weight, month_return, month_turnover, net_return for scores (source, month_end, symbol, score, fwd_1m_ret).
 
-    Names without a score or a realised return are out of the month. Turnover counts the month's names alone.
+    Names without a score or a realised return are out of the month. Turnover counts the month's names alone. Weights are
+    equal where the cap can't hold or a score isn't finite; two rows of a source, month and symbol are an error.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot(index="month_end", columns="symbol", values=["fwd_1m_ret", "score"]).sort_index()
-        ret, score = (table[c].to_numpy(float) for c in ("fwd_1m_ret", "score"))
-        symbols, months, source = table["score"].columns.to_numpy(), table.index, group["source"].iloc[0]
-        out, held = [], np.zeros(len(symbols))
-        for at, month in enumerate(months):
-            own = np.flatnonzero(~np.isnan(score[at]) & ~np.isnan(ret[at]))
-            if not len(own):
-                continue
-            before = held[own]
-            cov = trailing_covariance(ret[max(0, at - lookback) : at, own], lookback)
-            w = optimal_weights(score[at, own], cov, before, **options)
-            gained, moved = float(w @ ret[at, own]), float(np.abs(w - before).sum() / 2)
-            out.append(pd.DataFrame({"source": source, "month_end": month, "symbol": symbols[own], "weight": w, "month_return": gained, "month_turnover": moved, "net_return": gained - moved * cost_bps / 1e4}))
-            held = np.zeros(len(symbols))
-            held[own] = w
-        return pd.concat(out) if out else pd.DataFrame(columns=["source", "month_end", "symbol", "weight", "month_return", "month_turnover", "net_return"])
-
-    return scores.select("source", "month_end", "symbol", "score", "fwd_1m_ret").groupBy("source").applyInPandas(run, "source string, month_end date, symbol string, weight double, month_return double, month_turnover double, net_return double")
+    spark = scores.sparkSession
+    options = {"risk_aversion": risk_aversion, "turnover_penalty": turnover_penalty, "concentration_penalty": concentration_penalty, "max_weight": max_weight}
+    score, ret = F.nullif(F.col("score").cast("double"), F.lit(float("nan"))), nan_to_null(F.col("fwd_1m_ret").cast("double"))
+    own = score.isNotNull() & ret.isNotNull()
+    months = scores.groupBy("source", "month_end").agg(F.count(F.lit(1)).alias("n"), F.count_if(own).alias("own"), F.min(F.when(own, score)).alias("low"), F.max(F.when(own, score)).alias("high"))
+    found = months.where("month_end is not null").orderBy("source", "month_end").collect()  # a row of each source and month
+    sources = list(dict.fromkeys(r["source"] for r in found))
+    plan = []
+    for s, source in enumerate(sources):
+        for m, r in enumerate(r for r in found if r["source"] == source):
+            plan.append(r.asDict() | {"s": s, "m": m, "odd": bool(r["own"]) and not np.isfinite([r["low"], r["high"]]).all()})
+    root = scratch_path(spark, "decision")
+    schema = "s int, m int, symbol string, weight double, before double, ret double"
+    known = spark.createDataFrame([(p["source"], p["month_end"], p["s"], p["m"], p["n"]) for p in plan], "src string, month date, s int, m int, n long")
+    if any(p["own"] for p in plan):
+        _problem(scores, known, lookback, f"{root}/names")
+
+        def run(s: int) -> None:
+            before = None
+            for p in plan:
+                if p["s"] == s and p["own"]:
+                    out = f"{root}/weights/s={s}/m={p['m']}"
+                    _month(spark, p, f"{root}/names", out, before, lookback, options)
+                    before = out
+
+        with ThreadPool(min(8, len(sources))) as pool:
+            pool.map(inheritable_thread_target(spark)(run), range(len(sources)), chunksize=1)
+        remove(spark, f"{root}/names")
+        rows = spark.read.schema(schema).parquet(f"{root}/weights")
+    else:
+        rows = spark.createDataFrame([], schema)
+    sums = rows.groupBy("s", "m").agg(F.sum(F.col("weight") * F.col("ret")).alias("month_return"), (F.sum(F.abs(F.col("weight") - F.col("before"))) / 2).alias("month_turnover"))
+    sums = sums.withColumn("net_return", F.col("month_return") - F.col("month_turnover") * cost_bps / 1e4)
+    met = rows.join(F.broadcast(known.join(sums, ["s", "m"])), ["s", "m"])  # a row of each source and month
+    return met.select(F.col("src").alias("source"), F.col("month").alias("month_end"), "symbol", "weight", "month_return", "month_turnover", "net_return")
 
 
 def long_weights(decided: DataFrame) -> DataFrame:

@@ -215,6 +215,49 @@ def test_decisions(spark, bars):
     assert np.allclose(decision.trailing_covariance(np.zeros((1, 2)), 5).dense(), 0.05 * np.eye(2))
 
 
+def plain_sequence(scores, lookback=3, cost=15.0, **options):
+    """The month sequence with dense arrays and one month's solver."""
+    out = []
+    for source, g in scores.groupby("source"):
+        table = g.pivot(index="month_end", columns="symbol", values=["fwd_1m_ret", "score"]).sort_index()
+        ret, score = (table[c].to_numpy(float) for c in ("fwd_1m_ret", "score"))
+        held = np.zeros(ret.shape[1])
+        for at, month in enumerate(table.index):
+            own = np.flatnonzero(~np.isnan(score[at]) & ~np.isnan(ret[at]))
+            if not len(own):
+                continue
+            w = decision.optimal_weights(score[at, own], decision.trailing_covariance(ret[max(0, at - lookback) : at, own], lookback), held[own], **options)
+            moved, gained = np.abs(w - held[own]).sum() / 2, w @ ret[at, own]
+            out += [(source, month, table["score"].columns[i], x, gained, moved, gained - moved * cost / 1e4) for i, x in zip(own, w)]
+            held = np.zeros(ret.shape[1])
+            held[own] = w
+    return pd.DataFrame(out, columns=["source", "month_end", "symbol", "weight", "month_return", "month_turnover", "net_return"])
+
+
+@pytest.mark.parametrize("sample,size", [(1000, 100_000), (0, 7), (9, 7)])
+def test_month_sequence_over_tasks(spark, monkeypatch, sample, size):
+    """Weights don't depend on how a month's names are spread, nor on the sample that the steps start from."""
+    monkeypatch.setattr(decision, "START_NAMES", sample)
+    monkeypatch.setattr(decision, "TASK_NAMES", size)
+    rng = np.random.default_rng(9)
+    rows = [(s, m, f"n{i:03d}", float(rng.normal()) if rng.random() < 0.9 and not (s == "a" and k == 3) else None, float(rng.normal(0, 0.5)) if rng.random() < 0.9 else None) for s in "ab" for k, m in enumerate(months(6)) for i in range(40) if rng.random() < 0.9]
+    table = pd.DataFrame(rows, columns=["source", "month_end", "symbol", "score", "fwd_1m_ret"])
+    found = decision.optimize_panel(spark.createDataFrame(rows, "source string, month_end date, symbol string, score double, fwd_1m_ret double"), 3, max_weight=0.2).toPandas()
+    both = plain_sequence(table, max_weight=0.2).merge(found, on=["source", "month_end", "symbol"], how="outer", suffixes=("", "_found"))
+    for c in ("weight", "month_return", "month_turnover", "net_return"):
+        assert both[c].notna().all() and np.allclose(both[c], both[f"{c}_found"], atol=1e-8, rtol=0)
+
+
+def test_odd_months_of_the_sequence(spark):
+    schema = "source string, month_end date, symbol string, score double, fwd_1m_ret double"
+    few = [("a", MONTHS[0], "x", 1.0, 0.1), ("a", MONTHS[0], "y", float("inf"), 0.2), ("a", MONTHS[1], "x", 1.0, 0.1), ("a", MONTHS[2], "z", float("nan"), 0.1)]
+    got = {(r["month_end"], r["symbol"]): r["weight"] for r in decision.optimize_panel(spark.createDataFrame(few, schema)).collect()}
+    assert got == {(MONTHS[0], "x"): 0.5, (MONTHS[0], "y"): 0.5, (MONTHS[1], "x"): 1.0}
+    assert decision.optimize_panel(spark.createDataFrame([], schema)).count() == 0
+    with pytest.raises(Exception, match="two rows of a month and symbol"):
+        decision.optimize_panel(spark.createDataFrame([few[0], few[0]], schema)).collect()
+
+
 def test_covariance_in_few_rows():
     rng = np.random.default_rng(3)
     past = rng.normal(0, 0.1, (9, 5))
