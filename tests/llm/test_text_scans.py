@@ -57,6 +57,26 @@ def test_quality_order_changes_no_verdict(spark):
     assert "n_words" in a.columns and dict(a.dtypes)["n_words"] == "bigint"
 
 
+def test_quality_sample_does_not_depend_on_the_cut(spark):
+    texts = [f"text {i} " * (1 + i % 40) for i in range(3000)] + ["copied text"] * 2000 + [None, "", None]
+    one, many = frame(spark, texts).coalesce(1), frame(spark, texts[::-1]).repartition(9)
+    a, b = (sorted((r["text"] or "", r["copies"]) for r in quality.drawn_sample(d, 300).collect()) for d in (one, many))
+    assert a == b and 100 < len(a) < 320
+
+
+def test_quality_order_is_by_rejections_per_second(spark):
+    """A costly and a cheap rule of the same verdicts: the cheap one is first, each time, and the other then rejects nothing."""
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"word{i}" for i in range(300))
+    docs = frame(spark, [f"{words} {'no' if i % 4 else 'spam'} {i}" for i in range(400)])
+    slow = F.size(F.filter(F.split("text", " "), lambda w: F.sha2(F.concat(w, w), 256) == "0")) > 0
+    rules = [quality.Rule("costly", F.col("text").contains("spam") | slow), quality.Rule("zcheap", F.col("text").contains("spam"))]
+    for _ in range(10):
+        (first, _, share), (second, _, rest) = quality.measure(docs, rules)
+        assert (first.name, second.name) == ("zcheap", "costly") and abs(share - 0.25) < 0.01 and rest == 0.0
+
+
 def test_quality_empty_table(spark):
     assert quality.quality_digest(frame(spark, ["x"]).where("false")).count() == 0
 
