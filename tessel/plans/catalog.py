@@ -203,7 +203,8 @@ e AS (SELECT symbol, date, k, CASE WHEN k >= 12 THEN list_reduce(h, lambda a, x:
 
 @query(EMA + " SELECT symbol, date, round(ema12, 4) AS ema12, round(ema26, 4) AS ema26 FROM e")
 def q_ema(spark, sf_dir):
-    return rounded(indicators.moving_convergence(bars(spark, sf_dir)).select("symbol", "date", "ema12", "ema26"), 4)
+    averages = indicators.exponential_averages(bars(spark, sf_dir).select("symbol", "date", "close"), "close", {"ema12": 12, "ema26": 26})
+    return rounded(averages.select("symbol", "date", "ema12", "ema26"), 4)
 
 
 @query(
@@ -212,7 +213,7 @@ def q_ema(spark, sf_dir):
 SELECT symbol, date, round(macd, 4) AS macd, round(CASE WHEN k >= 34 THEN list_reduce(h, lambda a, x: a + 0.2::DOUBLE * (x - a)) END, 4) AS macd_signal FROM t"""
 )
 def q_macd(spark, sf_dir):
-    return rounded(indicators.moving_convergence(bars(spark, sf_dir)).select("symbol", "date", "macd", "macd_signal"), 4)
+    return rounded(indicators.moving_convergence(bars(spark, sf_dir).select("symbol", "date", "close")).select("symbol", "date", "macd", "macd_signal"), 4)
 
 
 @query(

@@ -66,6 +66,32 @@ def test_indicators_match_pandas(bars, daily):
         assert np.allclose(got[name], series.reset_index(drop=True), equal_nan=True, atol=1e-9), name
 
 
+@pytest.mark.parametrize("days", [512, 40, 3])
+def test_exponential_averages_over_chunks(spark, monkeypatch, days):
+    """Chunks of any length give the recursion over the whole symbol, over gaps, empty chunks and missing values too."""
+    import numpy as np
+
+    monkeypatch.setattr(indicators, "CHUNK_DAYS", days)
+    rng = np.random.default_rng(4)
+    rows = []
+    for s in ("a", "b", "c"):
+        day = pd.Timestamp("2019-12-20")
+        for i in range(400):
+            day += pd.Timedelta(days=int(rng.integers(1, 4)) if i != 200 else 1500)
+            missing = s == "c" or (s == "b" and (i < 5 or rng.random() < 0.3 or 100 < i < 180))
+            rows.append((s, day.date(), None if missing else float(10 + rng.normal())))
+    got = indicators.moving_convergence(spark.createDataFrame(rows, "symbol string, date date, close double").repartition(3)).toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
+    table = pd.DataFrame(rows, columns=["symbol", "date", "close"])
+    want = []
+    for _, g in table.groupby("symbol"):
+        ema = lambda x, n: x.ewm(span=n, adjust=False, min_periods=n).mean()
+        macd = ema(g["close"].astype(float), 12) - ema(g["close"].astype(float), 26)
+        want.append(pd.DataFrame({"ema12": ema(g["close"].astype(float), 12), "ema26": ema(g["close"].astype(float), 26), "macd": macd, "macd_signal": ema(macd, 9)}))
+    want = pd.concat(want).reset_index(drop=True)
+    for c in want:
+        assert (got[c].isna() == want[c].isna()).all() and np.allclose(got[c].fillna(0), want[c].fillna(0), atol=1e-10, rtol=0), c
+
+
 def test_rsi_without_loss_is_null(spark):
     rows = [("a", D(2020, 1, 1) + dt.timedelta(days=i), 10.0 + i) for i in range(20)]
     assert all(r["rsi_14"] is None for r in indicators.rsi(spark.createDataFrame(rows, "symbol string, date date, close double")).collect())
