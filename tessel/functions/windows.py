@@ -47,11 +47,6 @@ def average_rank(value: str, *keys: str) -> Column:
     return F.when(v.isNotNull(), F.rank().over(order) + (F.count(v).over(ties) - 1) / 2.0)
 
 
-def percent_rank(value: str, *keys: str) -> Column:
-    """average_rank over the number of values."""
-    return average_rank(value, *keys) / F.count(value).over(Window.partitionBy(*keys))
-
-
 def pair_corr(a: Column, b: Column) -> Column:
     """Pearson correlation of complete pairs; null for a constant."""
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
@@ -81,67 +76,3 @@ def zscore_over(value: str, *keys: str) -> Column:
     w = Window.partitionBy(*keys)
     sd = F.stddev_pop(value).over(w)
     return (F.col(value) - F.avg(value).over(w)) / F.when(F.coalesce(sd, F.lit(0.0)) == 0, 1.0).otherwise(sd)
-
-
-def pooled_rank(df: DataFrame, value: str, out: str, *keys: str, buckets: int = 200) -> DataFrame:
-    """df with `out`, the average rank of `value` within keys (null for null), for keys that hold very many rows.
-
-    Distinct values are counted first and put into buckets between approximate quantiles, a bounded list for each key;
-    a bucket's values are ranked in its own task, after the counts of the buckets before it.
-    """
-    named = [f"__k{i}" for i in range(len(keys))]
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares, 10 * buckets).alias("__cuts"))
-    spread = counts.join(F.broadcast(cuts), list(keys)).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
-    sizes = spread.groupBy(*keys, "__b").agg(F.sum("__n").alias("__s"))
-    before = by(*keys, order="__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select(*keys, "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
-    inside = F.sum("__n").over(by(*keys, "__b", order=value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = spread.join(F.broadcast(base), [*keys, "__b"]).select(
-        *[F.col(k).alias(n) for k, n in zip(keys, named)], F.col(value).alias("__v"), (F.col("__base") + inside - (F.col("__n") - 1) / 2.0).alias(out)
-    )
-    same = F.col(value) == F.col("__v")
-    for k, n in zip(keys, named):
-        same = same & F.col(k).eqNullSafe(F.col(n))
-    return df.join(ranks, same, "left").drop(*named, "__v")
-
-
-def global_quantiles(df: DataFrame, value: str, qs: list[float], accuracy: int = 1000, small: int = 2_000_000) -> list[float | None]:
-    """Exact linear quantiles of a whole column.
-
-    Up to `small` values one aggregate finds them. Beyond, approximate quantiles bound a band around each wanted rank,
-    again and again, until the band holds `small` values at most or a single one, so no task holds the column.
-    """
-    rows = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = rows.count()
-    if not n:
-        return [None] * len(qs)
-    if n <= small:
-        return list(rows.agg(F.percentile("v", F.array(*[F.lit(float(q)) for q in qs]))).first()[0])
-
-    def ranked(r: int) -> float:
-        """The value of 0-based rank r."""
-        band, below, m = rows, 0, n
-        slack = 2.0 / accuracy
-        while m > small:
-            share = (r - below) / max(1, m - 1)
-            lo, hi = band.agg(F.percentile_approx("v", [max(0.0, share - slack), min(1.0, share + slack)], accuracy * 10)).first()[0]
-            if lo == hi:
-                under, over = band.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v") <= lo)).first()
-                if below + under <= r < below + over:
-                    return lo
-            found = band.where(F.col("v").between(lo, hi))
-            under, size = band.where(F.col("v") < lo).count(), found.count()
-            if not below + under <= r < below + under + size or size == m:
-                slack *= 2 if size < m else 0.25
-                continue
-            band, below, m = found, below + under, size
-        return band.agg(F.percentile("v", F.lit((r - below) / max(1, m - 1)))).first()[0]
-
-    out = []
-    for q in qs:
-        at = q * (n - 1)
-        lo, hi = ranked(int(at)), ranked(min(int(at) + 1, n - 1))
-        out.append(lo + (hi - lo) * (at - int(at)))
-    return out

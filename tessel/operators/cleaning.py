@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.windows import by, global_quantiles, with_change
+from tessel.functions.crosssections import global_quantiles
+from tessel.functions.windows import by, with_change
 
 #: Names that daily data comes with, and the names used here.
 ALIASES = {

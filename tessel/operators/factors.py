@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.windows import average_rank, by, pair_corr, positive_ln, ratio, rolling, winsorize_over, with_change, zscore_over
+from tessel.functions.crosssections import is_large, with_rank, with_zscores
+from tessel.functions.tables import written
+from tessel.functions.windows import by, pair_corr, positive_ln, ratio, rolling, with_change
 
 BASE = ("VALUE", "MOM_12_1", "QUALITY", "SIZE")
 ENHANCED = ("REVERSAL_1M", "VOL_1M", "ILLIQUIDITY")
@@ -88,9 +90,8 @@ def raw_factors(df: DataFrame, enhanced: bool = True, month_end_mode: str = "str
 
 def standardize(panel: DataFrame, factors: tuple[str, ...] = FACTORS, p: float = 0.01) -> DataFrame:
     """z_ columns: clipped to the month's [p, 1 - p] quantiles, then to zero mean and unit population deviation."""
-    out = panel.withColumns({f"__w_{f}": winsorize_over(f, p, "month_end") for f in factors})
-    out = out.withColumns({f"z_{f}": zscore_over(f"__w_{f}", "month_end") for f in factors})
-    return out.drop(*[f"__w_{f}" for f in factors])
+    spread = is_large(panel, "month_end")
+    return with_zscores(written(panel, "raw") if spread else panel, factors, p, "month_end", spread=spread)
 
 
 def factor_panel(bars: DataFrame, p: float = 0.01) -> DataFrame:
@@ -110,7 +111,9 @@ def rank_ic(panel: DataFrame, columns: list[str], ret: str = "fwd_1m_ret", least
     rows = long_factors(panel, columns, ("symbol", "month_end", ret))
     if joint:
         rows = rows.where(F.col("value").isNotNull() & F.col(ret).isNotNull())
-    ranked = rows.withColumns({"rv": average_rank("value", "month_end", "factor"), "rr": average_rank(ret, "month_end", "factor")})
+    spread, keys = is_large(panel, "month_end"), ("month_end", "factor")
+    rows = written(rows, "values") if spread else rows
+    ranked = with_rank(with_rank(rows, "value", "rv", *keys, spread=spread), ret, "rr", *keys, spread=spread)
     out = ranked.groupBy("month_end", "factor").agg(F.count(F.lit(1)).alias("n"), pair_corr(F.col("rv"), F.col("rr")).alias("ic"))
     return out.where(F.col("n") >= (least if joint else 0)).drop("n")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.functions.crosssections import with_place
 from tessel.functions.windows import ratio
 from tessel.operators.factors import BASE, rank_ic
 
@@ -69,11 +70,9 @@ def weights(scores: DataFrame, q: float | str = 0.2, keys: tuple[str, ...] = ())
     Ranks descend by score, ties by symbol; a basket holds the rounded (half to even) share q of the names, one at
     least. q may name a column.
     """
-    month = Window.partitionBy(*keys, "month_end")
     known = scores.where(F.col("score").isNotNull())
-    r, n = F.row_number().over(month.orderBy(F.col("score").desc(), "symbol")), F.count(F.lit(1)).over(month)
     share = F.col(q) if isinstance(q, str) else F.lit(q)
-    ranked = known.withColumns({"__r": r, "__n": n}).withColumn("__top", F.greatest(F.lit(1), F.bround(F.col("__n") * share).cast("int")))
+    ranked = with_place(known, [-F.col("score"), F.col("symbol")], "__r", "__n", *keys, "month_end").withColumn("__top", F.greatest(F.lit(1), F.bround(F.col("__n") * share).cast("int")))
     size = F.least("__top", "__n")
     weight = lambda held, of: F.when(held, 1.0 / of).otherwise(0.0)
     return ranked.withColumns(

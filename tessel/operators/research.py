@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions.crosssections import is_large, with_place
 from tessel.functions.windows import by, quantile_bucket, ratio
 from tessel.operators.factors import ic_summary, long_factors, rank_ic
 
@@ -58,8 +59,7 @@ def bootstrap_mean(ic: DataFrame, samples: int = 1000, seed: int = 42, level: fl
 def group_returns(panel: DataFrame, columns: list[str], q: int = 5, ret: str = "fwd_1m_ret") -> DataFrame:
     """month_end, factor, quantile, mean_return; months with fewer rows than quantiles drop out."""
     rows = long_factors(panel, columns, ("symbol", "month_end", ret)).where(F.col("value").isNotNull() & F.col(ret).isNotNull())
-    group = Window.partitionBy("month_end", "factor")
-    rows = rows.withColumns({"r": F.row_number().over(group.orderBy("value", "symbol")), "n": F.count(F.lit(1)).over(group)}).where(F.col("n") >= q)
+    rows = with_place(rows, [F.col("value"), F.col("symbol")], "r", "n", "month_end", "factor", spread=is_large(panel, "month_end")).where(F.col("n") >= q)
     rows = rows.withColumn("quantile", quantile_bucket(F.col("r"), F.col("n"), q).cast("int"))
     return rows.groupBy("month_end", "factor", "quantile").agg(F.avg(ret).alias("mean_return"))
 

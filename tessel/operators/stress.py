@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.windows import percent_rank
+from tessel.functions.crosssections import with_percent_rank
 from tessel.operators import portfolio
 from tessel.operators.factors import monthly_last
 
@@ -18,7 +18,7 @@ def _long_short(scores: DataFrame, months: DataFrame, q: float) -> DataFrame:
 
 def liquidity_filtered(scores: DataFrame, size: DataFrame, cut: float = 0.2) -> DataFrame:
     """score becomes null where SIZE's percent rank in the month is at most `cut`."""
-    ranked = size.withColumn("__p", percent_rank("SIZE", "month_end")).select("month_end", "symbol", "__p")
+    ranked = with_percent_rank(size, "SIZE", "__p", "month_end").select("month_end", "symbol", "__p")
     return scores.join(ranked, ["month_end", "symbol"], "left").withColumn("score", F.when(F.coalesce(F.col("__p") <= cut, F.lit(False)), None).otherwise(F.col("score"))).drop("__p")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessel.config import ML, Factors, Tuning, Validation
 from tessel.functions.tables import written
-from tessel.functions.windows import average_rank, by, forward_fill
+from tessel.functions.crosssections import with_rank
+from tessel.functions.windows import by, forward_fill
 from tessel.operators import cleaning, decision, factors, indicators, linear, ml, portfolio, registry, research, stress, tuning, validation
 from tessel.plans import sql
 from tessel.sources import bars as sources
@@ -360,7 +361,7 @@ def q_factor_corr(spark, sf_dir):
 @query("SELECT month_end, factor, symbol, value_rank FROM (SELECT *, rank() OVER (PARTITION BY month_end, factor ORDER BY round(value, 6)) + (count(*) OVER (PARTITION BY month_end, factor, round(value, 6)) - 1) / 2.0 AS value_rank FROM lz WHERE value IS NOT NULL)")
 def q_cross_rank(spark, sf_dir):
     rows = factors.long_factors(panel(spark, sf_dir), ALL_Z).where("value is not null").withColumn("value", F.round("value", 6))
-    return rows.select("month_end", "factor", "symbol", average_rank("value", "month_end", "factor").alias("value_rank"))
+    return with_rank(rows, "value", "value_rank", "month_end", "factor").select("month_end", "factor", "symbol", "value_rank")
 
 
 @query(

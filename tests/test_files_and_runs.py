@@ -189,17 +189,17 @@ def test_settings_that_nothing_reads():
 def test_pooled_ranks_and_narrow_bands(spark):
     import random
 
-    from tessel.functions.windows import global_quantiles, pooled_rank
+    from tessel.functions.crosssections import global_quantiles, pooled_rank
 
     rng = random.Random(1)
     values = [rng.choice([0.0, 1.0, rng.random() * 100]) for _ in range(3000)] + [None, None]
     df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], "k int, v double")
     for k in (0, 1):
         want = pd.Series([v for i, v in enumerate(values) if i % 2 == k]).rank()
-        got = sorted((r["v"], r["rank"]) for r in pooled_rank(df, "v", "rank", "k", buckets=7).where(f"k = {k} and v is not null").collect())
+        got = sorted((r["v"], r["rank"]) for r in pooled_rank(df, "v", "rank", "k", per_bucket=40).where(f"k = {k} and v is not null").collect())
         assert got == sorted((v, r) for v, r in zip([v for i, v in enumerate(values) if i % 2 == k], want) if v is not None)
     qs = [0.0, 0.005, 0.25, 0.5, 0.995, 1.0]
-    assert global_quantiles(df, "v", qs, small=50) == pytest.approx(list(pd.Series(values).quantile(qs)))
+    assert global_quantiles(df, "v", qs, small=50, per_bucket=40) == pytest.approx(list(pd.Series(values).quantile(qs)))
 
 
 def test_retries_and_fallback():

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.functions import windows
+from tessel.functions import crosssections, windows
 from tessel.operators import cleaning, factors, indicators, research
 
 D = dt.date
@@ -39,9 +39,9 @@ def test_global_quantiles_by_bands(spark):
     df = spark.createDataFrame(pd.DataFrame({"v": v}))
     qs = [0.0, 0.005, 0.25, 0.5, 0.995, 1.0]
     want = np.quantile(v, qs)
-    assert np.allclose(windows.global_quantiles(df, "v", qs), want)
-    assert np.allclose(windows.global_quantiles(df, "v", qs, small=10), want)
-    assert windows.global_quantiles(df.where("false"), "v", [0.5]) == [None]
+    assert np.allclose(crosssections.global_quantiles(df, "v", qs), want)
+    assert np.allclose(crosssections.global_quantiles(df, "v", qs, small=10, per_bucket=50), want)
+    assert crosssections.global_quantiles(df.where("false"), "v", [0.5]) == [None]
 
 
 def test_constant_columns_raise_no_flag(spark):
