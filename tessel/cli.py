@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessel.artifacts import Manifest, bundle, publish
 from tessel.config import Config, ConfigError, as_plain, load
-from tessel.operators import cleaning, decision, factors, indicators, ml, portfolio, registry, research, stress, tuning
+from tessel.operators import cleaning, decision, factors, indicators, ml, plots, portfolio, registry, research, stress, tuning
 from tessel.sources import acquire, sinks
 from tessel.sources.files import first_existing, read_csv
 
@@ -75,7 +75,15 @@ def clean(r: Run) -> list[str]:
     out = indicators.rsi(indicators.volatility(indicators.moving_averages(indicators.returns(daily), c.ma_short, c.ma_long), c.vol_win), c.rsi_period)
     out = indicators.moving_convergence(out, c.ema_fast, c.ema_slow, c.ema_signal)
     out = cleaning.winsorize_global(cleaning.outlier_flags(out, "ret", c.z_thresh, c.iqr_k), "ret", "ret_w", c.winsor_lower_q, c.winsor_upper_q)
-    return [profile, bars, r.save(out, "tech_indicators"), r.save(cleaning.describe(r.read("tech_indicators"), "ret"), "return_stats", report=True), r.save(sinks.histogram(r.read("tech_indicators"), "ret_w"), "return_histogram", report=True)]
+    saved = [profile, bars, r.save(out, "tech_indicators")]
+    full = r.read("tech_indicators")
+    return [
+        *saved,
+        r.save(cleaning.describe(full, "ret"), "return_stats", report=True),
+        r.save(sinks.histogram(full, "ret_w"), "return_histogram", report=True),
+        r.save(plots.box_stats(full, "ret_w"), "return_box", report=True),
+        r.save(plots.scatter_bins(full, "vol_20", "ret_w"), "volatility_return_bins", report=True),
+    ]
 
 
 def build_factors(r: Run) -> list[str]:

@@ -11,7 +11,7 @@ from tessel.config import ML, Factors, Tuning, Validation
 from tessel.functions.tables import written
 from tessel.functions.crosssections import with_rank
 from tessel.functions.windows import by, forward_fill
-from tessel.operators import cleaning, decision, factors, indicators, linear, ml, portfolio, registry, research, stress, tuning, validation
+from tessel.operators import cleaning, decision, factors, indicators, linear, ml, plots, portfolio, registry, research, stress, tuning, validation
 from tessel.plans import sql
 from tessel.sources import bars as sources
 from tessel.sources import sinks
@@ -770,3 +770,33 @@ SELECT bin, count(*) AS count FROM b GROUP BY bin"""
 )
 def q_return_histogram(spark, sf_dir):
     return sinks.histogram(returns(spark, sf_dir), "ret", 20).select("bin", "count")
+
+
+def box_sql(keys: str, source: str = "ret") -> str:
+    head, using = (f"{keys}, ", f"USING ({keys})") if keys else ("", "ON true")
+    group = f"GROUP BY {keys}" if keys else ""
+    return f""", x AS (SELECT {head}ret AS v FROM {source} WHERE ret IS NOT NULL), b AS (SELECT {head}quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.75) AS q3 FROM x {group} HAVING count(*) > 0),
+i AS (SELECT {head}v, q1, med, q3, v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM x JOIN b {using})
+SELECT {head}count(*) AS n, round(avg(v), 8) AS mean, round(any_value(q1), 8) AS q1, round(any_value(med), 8) AS median, round(any_value(q3), 8) AS q3, round(least(min(v) FILTER (WHERE inside), any_value(q1)), 8) AS whisker_low,
+  round(greatest(max(v) FILTER (WHERE inside), any_value(q3)), 8) AS whisker_high, count(*) FILTER (WHERE NOT inside) AS outliers FROM i {group}"""
+
+
+@query(box_sql(""))
+def q_box_stats(spark, sf_dir):
+    return rounded(plots.box_stats(returns(spark, sf_dir), "ret"))
+
+
+@query(box_sql("symbol"))
+def q_box_stats_by_symbol(spark, sf_dir):
+    return rounded(plots.box_stats(returns(spark, sf_dir), "ret", "symbol"))
+
+
+@query(
+    f""", v AS (SELECT round({sql.least_frame('stddev_pop(ret)', 20, 20)} * sqrt(252.0), 7) AS x, round(ret, 8) AS y FROM ret), p AS (SELECT x, y FROM v WHERE x IS NOT NULL AND y IS NOT NULL),
+e AS (SELECT min(x) AS x0, (max(x) - min(x)) / 40 AS xw, min(y) AS y0, (max(y) - min(y)) / 40 AS yw FROM p)
+SELECT CAST(least(floor((x - x0) / xw), 39) AS INTEGER) AS x_bin, CAST(least(floor((y - y0) / yw), 39) AS INTEGER) AS y_bin, count(*) AS count FROM p, e GROUP BY 1, 2"""
+)
+def q_scatter_bins(spark, sf_dir):
+    """Volatility against return, all rows in 40 x 40 bins."""
+    rows = indicators.volatility(returns(spark, sf_dir)).select(F.round("vol_20", 7).alias("vol_20"), F.round("ret", 8).alias("ret"))
+    return plots.scatter_bins(rows, "vol_20", "ret").select("x_bin", "y_bin", "count")
