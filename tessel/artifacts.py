@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import csv
 import datetime as dt
-import os
+import json
 import shutil
+import time
 import uuid
 import zipfile
 from pathlib import Path
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import SparkSession
+
+from tessel.functions.tables import file_system, names_in, remove
 from tessel.sources.sinks import atomic_write, write_json
 
+#: Pointers to keep, for readers that hold an older one.
+KEPT_POINTERS = 20
+
 
 def now() -> str:
     return dt.datetime.now(dt.UTC).isoformat(timespec="seconds")
@@ -86,18 +94,65 @@ def bundle(run_dir: Path, name: str = "reports.zip") -> Path:
     return atomic_write(run_dir / name, write)
 
 
-def publish(run_dir: Path, latest: Path) -> None:
-    """Lay a finished run over `latest`: built beside it, then swapped by renames, so that a reader sees all or nothing."""
-    fresh, old = latest.with_name(f".{latest.name}-{uuid.uuid4().hex[:8]}"), latest.with_name(f".{latest.name}-old")
-    latest.parent.mkdir(parents=True, exist_ok=True)
-    if latest.exists():
-        shutil.copytree(latest, fresh)
-        for p in run_dir.iterdir():  # a table is replaced whole
-            shutil.rmtree(fresh / p.name, ignore_errors=True)
-    shutil.copytree(run_dir, fresh, dirs_exist_ok=True)
-    shutil.rmtree(old, ignore_errors=True)
-    if latest.exists():
-        os.replace(latest, old)
-    os.replace(fresh, latest)
-    shutil.rmtree(old, ignore_errors=True)
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n[:-5]) for n in names_in(spark, f"{root}/pointers") if n.endswith(".json") and n[:-5].isdigit())
+
+
+def _pointer(spark: SparkSession, root: str, version: int) -> dict[str, str] | None:
+    """The tables of a version; None where its publisher hasn't finished writing it."""
+    found = spark.read.text(f"{root}/pointers/{version:08d}.json", wholetext=True).first()
+    try:
+        return json.loads(found[0])["tables"] if found else None
+    except json.JSONDecodeError:
+        return None
+
+
+def current_tables(spark: SparkSession, root: str) -> dict[str, str]:
+    """The published tables' names and paths, by the newest finished pointer below `root`."""
+    for version in reversed(_pointers(spark, root)):
+        if (tables := _pointer(spark, root, version)) is not None:
+            return tables
+    return {}
+
+
+def point_to(spark: SparkSession, root: str, tables: dict[str, str], patience: float = 5.0) -> int:
+    """Publish tables where they lie: a new numbered pointer over those published before; returns its number.
+
+    Hadoop's exclusive create decides between publishers; the loser starts again from the winner's tables. A pointer
+    that stays unfinished for `patience` seconds is taken for a crash and passed over.
+    """
+    waited = 0.0
+    while True:
+        versions = _pointers(spark, root)
+        if versions and waited < patience and _pointer(spark, root, versions[-1]) is None:
+            time.sleep(0.5)
+            waited += 0.5
+            continue
+        version = versions[-1] + 1 if versions else 1
+        body = json.dumps({"published_at": now(), "tables": current_tables(spark, root) | tables}, indent=2)
+        fs, target = file_system(spark, f"{root}/pointers/{version:08d}.json")
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError as e:
+            if fs.exists(target) and "AlreadyExists" in e.java_exception.getClass().getName():
+                waited = 0.0
+                continue
+            raise
+        out.write(bytearray(body.encode()))
+        out.close()
+        for old in versions:
+            if old <= version - KEPT_POINTERS:
+                remove(spark, f"{root}/pointers/{old:08d}.json")
+        return version
+
+
+def publish(spark: SparkSession, run_dir: Path, latest: Path) -> None:
+    """Make a finished run the current one: its small files replace those in `latest`, each whole, and a pointer names its tables, which stay where they are."""
+    latest.mkdir(parents=True, exist_ok=True)
+    for p in sorted(run_dir.iterdir()):
+        if p.is_file() and not p.name.startswith("."):
+            atomic_write(latest / p.name, lambda target, source=p: shutil.copyfile(source, target))
+    fs, folder = file_system(spark, str(run_dir.resolve()))
+    found = [s.getPath() for s in fs.listStatus(folder) if s.isDirectory()]
+    point_to(spark, str(latest.resolve()), {p.getName(): p.toUri().getPath() if fs.getScheme() == "file" else p.toString() for p in found})
     write_json(latest.with_name(f"{latest.name}.json"), {"run_dir": str(run_dir), "published_at": now()})

@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.artifacts import Manifest, bundle, publish
+from tessel.artifacts import Manifest, bundle, current_tables, publish
 from tessel.config import Config, ConfigError, as_plain, load
 from tessel.operators import cleaning, decision, factors, indicators, ml, plots, portfolio, registry, research, stress, tuning
 from tessel.sources import acquire, sinks
@@ -38,7 +38,9 @@ class Run:
         return found
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.find([self.path(name), f"{self.config.data.output_dir}/{name}"]))
+        out = self.config.data.output_dir
+        published = current_tables(self.spark, out).get(name)
+        return self.spark.read.parquet(self.find([self.path(name), *([published] if published else []), f"{out}/{name}"]))
 
     def save(self, df: DataFrame, name: str, report: bool = False) -> str:
         """A table, and where it is a report also a CSV and Markdown."""
@@ -231,7 +233,7 @@ def run_stages(spark: SparkSession, config: Config, names: list[str], command: s
             manifest.skipped(name, "nothing configured")
     manifest.close("succeeded")
     bundle(run_dir)
-    publish(run_dir, latest)
+    publish(spark, run_dir, latest)
     return run_dir
 
 

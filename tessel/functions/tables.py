@@ -40,7 +40,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more, on whatever file system it is."""
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as it takes it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none where it doesn't exist."""
+    fs, folder = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, on whatever file system it is."""
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)

@@ -3,6 +3,11 @@
 Symbols to fetch are found by an anti join with the checkpoint; the fetches run in tasks (mapInPandas over symbols),
 each task spacing its own requests so that all tasks together keep to the rate. A symbol's failure is a row of the
 result, never a failed job. Results are Parquet partitions by symbol, written before the checkpoint.
+
+The checkpoint is a log of numbered batches of statuses (kind=log/seq=N), each committed whole by Spark. Every
+COMPACT_AFTER batches the last status of each symbol is written as a base (kind=base/seq=N), which stands for all
+batches up to its number. Bars carry the number of the batch that announced them, so that a run which broke off
+between bars and outcome is known to have fetched them.
 """
 
 from __future__ import annotations
@@ -16,12 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.functions.tables import written
+from tessel.functions.tables import names_in, remove, written
 from tessel.sources.files import exists
 
 Fetch = Callable[[str, str, str], pd.DataFrame]
 BARS = "symbol string, date date, open double, high double, low double, close double, volume double, amount double"
 CHECKPOINT = "symbol string, status string, error string, rows string, cache_path string, updated_at string"
+COMPACT_AFTER = 20
 
 
 def prefixed(code: str) -> str:
@@ -61,13 +67,57 @@ def with_retries(fetch: Fetch, fallbacks: tuple[Fetch, ...] = (), retries: int =
     return run
 
 
+def _numbers(spark: SparkSession, path: str, kind: str, finished: bool = True) -> list[int]:
+    """Numbers of the checkpoint's batches or bases; unfinished ones have no _SUCCESS file."""
+    found = [n for n in names_in(spark, f"{path}/kind={kind}") if n.startswith("seq=")]
+    return sorted(int(n[4:]) for n in found if not finished or "_SUCCESS" in names_in(spark, f"{path}/kind={kind}/{n}"))
+
+
+def _last_status(spark: SparkSession, path: str) -> DataFrame:
+    """The last status of each symbol and its batch's number `seq`."""
+    base = _numbers(spark, path, "base")[-1:]
+    parts = [f"{path}/kind=base/seq={n}" for n in base] + [f"{path}/kind=log/seq={n}" for n in _numbers(spark, path, "log") if not base or n > base[0]]
+    rows = spark.read.option("basePath", path).schema(CHECKPOINT + ", kind string, seq long").parquet(*parts).drop("kind") if parts else spark.createDataFrame([], CHECKPOINT + ", seq long")
+    if any(n.endswith(".parquet") for n in names_in(spark, path)):  # a checkpoint without numbers comes before all batches
+        rows = rows.unionByName(spark.read.schema(CHECKPOINT).parquet(f"{path}/*.parquet").withColumn("seq", F.lit(0).cast("long")))
+    values = F.struct("status", "error", "rows", "cache_path", "updated_at", "seq")
+    return rows.groupBy("symbol").agg(F.max_by(values, F.struct("seq", "updated_at")).alias("s")).select("symbol", "s.*")
+
+
 def load_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """The last status of each symbol; what was running when a run broke off is pending again."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], CHECKPOINT)
-    rows = spark.read.schema(CHECKPOINT).parquet(path)
-    last = rows.groupBy("symbol").agg(F.max_by(F.struct("status", "error", "rows", "cache_path", "updated_at"), "updated_at").alias("s")).select("symbol", "s.*")
-    return last.withColumn("status", F.when(F.col("status") == "running", "pending").otherwise(F.col("status")))
+    return _last_status(spark, path).drop("seq").withColumn("status", F.when(F.col("status") == "running", "pending").otherwise(F.col("status")))
+
+
+def append_status(spark: SparkSession, path: str, rows: DataFrame) -> int:
+    """Commit one batch of statuses under the next number; returns it."""
+    number = max([0, *_numbers(spark, path, "log", False), *_numbers(spark, path, "base", False)]) + 1
+    rows.coalesce(8).write.mode("overwrite").parquet(f"{path}/kind=log/seq={number}")
+    return number
+
+
+def compact(spark: SparkSession, path: str, after: int | None = None) -> bool:
+    """Replace the batches by one base, if there are `after` of them (COMPACT_AFTER). A crash leaves batches that the base makes void."""
+    base = max(_numbers(spark, path, "base"), default=0)
+    logs, bases = _numbers(spark, path, "log"), _numbers(spark, path, "base", False)
+    if sum(n > base for n in logs) < (COMPACT_AFTER if after is None else max(1, after)):
+        return False
+    load_checkpoint(spark, path).write.mode("overwrite").parquet(f"{path}/kind=base/seq={logs[-1]}")
+    for kind, numbers in (("log", logs), ("base", [n for n in bases if n < logs[-1]])):
+        for n in numbers:
+            remove(spark, f"{path}/kind={kind}/seq={n}")
+    return True
+
+
+def recover(spark: SparkSession, cache: str, checkpoint: str) -> None:
+    """Give symbols whose bars were written by a run that broke off before their outcome that outcome."""
+    running = _last_status(spark, checkpoint).where("status = 'running'").select("symbol", "seq")
+    if not exists(spark, f"{cache}/part=*") or not running.take(1):
+        return
+    rows = spark.read.option("ignoreCorruptFiles", True).schema(BARS + ", batch long").parquet(cache)
+    done = written(rows.join(running, "symbol").where("batch = seq").groupBy("symbol").agg(F.count("date").cast("string").alias("n")), "recovered")
+    if done.take(1):
+        append_status(spark, checkpoint, _status(done, F.lit("succeeded"), F.lit(""), F.col("n"), F.concat(F.lit(f"{cache}/part="), "symbol")))
 
 
 def universe_of(raw: DataFrame, first: int | None = None) -> DataFrame:
@@ -119,6 +169,7 @@ def fetch_symbols(spark: SparkSession, universe: DataFrame, fetch: Fetch, start:
     Symbols go in rounds of about `every`, each marked as running before it and with its outcome after it. Without
     resume everything is fetched anew; without use_cache a success in the checkpoint is enough.
     """
+    recover(spark, cache, checkpoint)
     known = load_checkpoint(spark, checkpoint)
     work = to_fetch(universe, known, cached_symbols(spark, cache) if use_cache else None) if resume else universe.select("symbol").distinct()
     columns = ["symbol", "date", "open", "high", "low", "close", "volume", "amount", "error"]
@@ -143,13 +194,14 @@ def fetch_symbols(spark: SparkSession, universe: DataFrame, fetch: Fetch, start:
     for i in range(rounds):
         part = work.where(F.pmod(F.xxhash64("symbol"), F.lit(rounds)) == i)
         blank = F.lit("")
-        _status(part, F.lit("running"), blank, blank, blank).write.mode("append").parquet(checkpoint)
+        batch = append_status(spark, checkpoint, _status(part, F.lit("running"), blank, blank, blank))
         got = written(part.repartition(tasks).mapInPandas(run, BARS + ", error string"), "fetched")
-        bars = got.where("error is null").drop("error").withColumn("part", F.col("symbol"))
+        bars = got.where("error is null").drop("error").withColumns({"part": F.col("symbol"), "batch": F.lit(batch).cast("long")})
         bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(cache)
         ended = got.groupBy("symbol").agg(F.max("error").alias("error"), F.count("date").cast("string").alias("n"))
         status = F.when(F.col("error").isNull(), "succeeded").otherwise("failed")
-        _status(ended, status, F.coalesce("error", blank), F.col("n"), F.concat(F.lit(f"{cache}/part="), "symbol")).write.mode("append").parquet(checkpoint)
+        append_status(spark, checkpoint, _status(ended, status, F.coalesce("error", blank), F.col("n"), F.concat(F.lit(f"{cache}/part="), "symbol")))
+        compact(spark, checkpoint)
     return load_checkpoint(spark, checkpoint)
 
 

@@ -243,3 +243,86 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_entry_point():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len([n for n in q if n.startswith("q_")]) > 60
+
+
+def test_pointers(spark, tmp_path):
+    """Tables are published where they lie, over any Hadoop file system; unfinished pointers are passed over."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.default.link./out", f"file://{tmp_path}/other")
+    (tmp_path / "other").mkdir()
+    for root in (f"{tmp_path}/latest", "viewfs:///out/latest"):
+        assert artifacts.current_tables(spark, root) == {}
+        spark.range(3).write.parquet(f"{root}-run/a")
+        assert artifacts.point_to(spark, root, {"a": f"{root}-run/a", "b": "1"}) == 1 and artifacts.point_to(spark, root, {"b": "2"}) == 2
+        fs, unfinished = artifacts.file_system(spark, f"{root}/pointers/00000003.json")
+        fs.create(unfinished, False).close()
+        assert artifacts.current_tables(spark, root) == {"a": f"{root}-run/a", "b": "2"}
+        assert artifacts.point_to(spark, root, {"c": "4"}, patience=0) == 4
+        assert spark.read.parquet(artifacts.current_tables(spark, root)["a"]).count() == 3 and artifacts.current_tables(spark, root)["c"] == "4"
+        for i in range(artifacts.KEPT_POINTERS):
+            last = artifacts.point_to(spark, root, {"c": str(i)})
+        assert len(artifacts._pointers(spark, root)) == artifacts.KEPT_POINTERS and artifacts._pointers(spark, root)[-1] == last
+        assert artifacts.names_in(spark, root) == ["pointers"]
+
+
+def test_two_publishers(spark, tmp_path, monkeypatch):
+    """The one whose number is taken starts again from the other's tables."""
+    root, seen, first = f"{tmp_path}/latest", artifacts._pointers, [True]
+    artifacts.point_to(spark, root, {"a": "1"})
+    monkeypatch.setattr(artifacts, "_pointers", lambda *a: [] if first and first.pop() else seen(*a))
+    assert artifacts.point_to(spark, root, {"b": "2"}) == 2
+    assert artifacts.current_tables(spark, root) == {"a": "1", "b": "2"}
+
+
+def test_a_run_that_breaks_off(spark, tmp_path, monkeypatch):
+    """Bars written before a crash aren't fetched again, those not written are; unfinished batches don't count."""
+    universe = spark.createDataFrame([(f"{i:06d}",) for i in range(6)], "symbol string")
+    cache, point, calls = f"{tmp_path}/cache", f"{tmp_path}/checkpoint", f"{tmp_path}/calls"
+    Path(calls).mkdir()
+
+    def make(calls):  # tasks load it without this module
+        def fetch(symbol, start, end):
+            import uuid
+
+            open(f"{calls}/{symbol}-{uuid.uuid4().hex}", "w").close()
+            return pd.DataFrame({"date": ["2020-01-02"], "open": [1.0], "high": [1.0], "low": [1.0], "close": [2.0], "volume": [3.0], "amount": [6.0]})
+
+        return fetch
+
+    append = acquire.append_status
+
+    def broken(spark, path, rows):
+        if rows.where("status <> 'running'").take(1):
+            raise RuntimeError("crash between bars and outcome")
+        return append(spark, path, rows)
+
+    monkeypatch.setattr(acquire, "append_status", broken)
+    with pytest.raises(RuntimeError, match="crash"):
+        acquire.fetch_symbols(spark, universe, make(calls), "2020-01-01", "2020-12-31", cache, point, 2, None, every=3)
+    monkeypatch.setattr(acquire, "append_status", append)
+    first = len(list(Path(calls).iterdir()))
+    assert 0 < first < 6 and acquire.load_checkpoint(spark, point).where("status = 'pending'").count() == first
+    (tmp_path / "checkpoint" / "kind=log" / "seq=7").mkdir()  # begun, never committed
+    done = acquire.fetch_symbols(spark, universe, make(calls), "2020-01-01", "2020-12-31", cache, point, 2, None, every=3)
+    assert {r["symbol"]: r["status"] for r in done.collect()} == {f"{i:06d}": "succeeded" for i in range(6)}
+    assert sorted(p.name[:6] for p in Path(calls).iterdir()) == [f"{i:06d}" for i in range(6)]
+
+
+def test_checkpoint_stays_small(spark, tmp_path):
+    """Batches are compacted without a change of any status; older checkpoints are read; the base outlives a crash before its clearing."""
+    point = f"{tmp_path}/checkpoint"
+    row = lambda s, status, at: spark.createDataFrame([(s, status, "", "1", "", at)], acquire.CHECKPOINT)
+    row("000001", "failed", "2020").write.parquet(point)
+    row("000002", "succeeded", "2020").write.mode("append").parquet(point)
+    for i, status in enumerate(["running", "succeeded", "failed"]):  # the batch's number decides, not the clock
+        acquire.append_status(spark, point, row("000001", status, f"{2030 - i}"))
+    acquire.append_status(spark, point, row("000003", "running", "2020"))
+    want = {"000001": "failed", "000002": "succeeded", "000003": "pending"}
+    state = lambda: {r["symbol"]: r["status"] for r in acquire.load_checkpoint(spark, point).collect()}
+    assert state() == want and not acquire.compact(spark, point)
+    assert acquire.compact(spark, point, after=4) and state() == want
+    assert acquire._numbers(spark, point, "log") == [] and acquire._numbers(spark, point, "base") == [4]
+    row("000001", "succeeded", "2040").write.parquet(f"{point}/kind=log/seq=2")  # what a crash would have left
+    assert state() == want and not acquire.compact(spark, point, after=1)
+    assert acquire.append_status(spark, point, row("000003", "succeeded", "2019")) == 5 and state() == want | {"000003": "succeeded"}
+    assert acquire.compact(spark, point, after=1) and acquire._numbers(spark, point, "base") == [5] and acquire._numbers(spark, point, "log") == []
