@@ -311,9 +311,9 @@ d{h} AS (SELECT month_end, {h} AS horizon, factor, {sql.CORR.format(a='rv', b='r
 DECAY = f", {', '.join(_decay(h) for h in HORIZONS)}, dc AS ({' UNION ALL '.join(f'SELECT * FROM d{h}' for h in HORIZONS)})"
 
 
-@query(DECAY + " SELECT month_end, horizon, factor, round(ic, 7) AS ic FROM dc")
+@query(DECAY + " SELECT month_end, horizon, factor, round(ic, 7) + 0.0::DOUBLE AS ic FROM dc")
 def q_ic_decay(spark, sf_dir):
-    return rounded(research.ic_decay(panel(spark, sf_dir), ALL_Z, HORIZONS), 7)
+    return rounded(research.ic_decay(panel(spark, sf_dir), ALL_Z, HORIZONS), 7).withColumn("ic", F.col("ic") + F.lit(0.0))  # no negative zeros
 
 
 @query(DECAY + " SELECT factor, horizon, round(avg(ic), 7) AS ic_mean, round(stddev_samp(ic), 7) AS ic_std, count(ic) AS ic_count, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir FROM dc GROUP BY factor, horizon")
