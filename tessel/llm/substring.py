@@ -7,14 +7,14 @@ passage can only repeat if its anchor's token is found twice. Consecutive suffix
 
 1. Tokens found once drop out (counted with map-side combining). A block found twice or more repeats whole.
 2. Where blocks of one token differ, near the ends of repeats, one copy of each block goes to the suffix sort: sampled
-   splitters range-partition the blocks by their token; each bucket sorts its suffixes by multikey quicksort on
-   (offset from the anchor, hash of the first half, hash of the second half) and compares neighbours. A range partition
-   never parts equal tokens, so no repeat straddles a boundary, but for a token with more than LOCAL_BLOCKS blocks:
-   its suffixes are dealt out by their own hashes and compared by a count.
+   splitters range-partition the blocks by their leading token; each bucket sorts its suffixes by multikey quicksort
+   over their bytes, eight at a time, and counts runs of equal neighbours. A range partition never parts equal tokens, so
+   no repeat straddles a boundary, but for a token with more than LOCAL_BLOCKS blocks: its suffixes are dealt out by
+   their own hashes and compared by a count.
 3. Repeated suffixes become spans of bytes, which are cut out of each text.
 
-Blocks, and the suffixes of very frequent tokens, are told apart by xxh3 hashes of their bytes; neighbours in a bucket
-are compared byte by byte. No group is held whole beyond LOCAL_BLOCKS blocks. Copies of a text are handled as one: a
+Blocks, and the suffixes of very frequent tokens, are told apart by xxh3 hashes of their bytes; a bucket compares
+bytes. No group is held whole beyond LOCAL_BLOCKS blocks. Copies of a text are handled as one: a
 task passes on two of them at most, since a third says nothing new. Null texts are empty; texts shorter than LENGTH keep all; repeated rows are copies of each other; an
 empty table gives no row; extra columns are ignored.
 """
@@ -57,65 +57,47 @@ def blocks_of(data: np.ndarray, length: int, token: int) -> tuple[np.ndarray, np
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def multikey_equal(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group): rows sorted by the columns, and for each sorted row the number of its run of equal rows.
+def multikey_sort(data: np.ndarray, at: np.ndarray, length: int, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, run): suffixes data[at : at + length] sorted by lead and their bytes, and each sorted one's run of equal ones.
 
-    Column by column: rows are quicksorted by a key, and only runs of equal keys go on to the next.
+    Multikey quicksort with eight bytes as one character: only runs in which a character differs are sorted by it, and
+    runs of one suffix are done.
     """
-    n = len(columns[0])
-    order = np.argsort(columns[0], kind="quicksort")
-    start = np.ones(n, bool)
-    start[1:] = columns[0][order][1:] != columns[0][order][:-1]
-    for key in columns[1:]:
+    order = np.argsort(lead, kind="stable")
+    start = np.ones(len(at), bool)
+    start[1:] = lead[order][1:] != lead[order][:-1]
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    for lo in range(0, length, 8):
         run = np.cumsum(start) - 1
-        busy = np.flatnonzero(np.bincount(run)[run] > 1)  # positions in runs of two or more
+        busy = np.flatnonzero(np.bincount(run)[run] > 1)
         if not len(busy):
             break
-        own = order[busy]
-        again = np.lexsort((key[own], run[busy]))
-        order[busy] = own[again]
-        k, r = key[order[busy]], run[busy]
-        start[busy[1:]] |= (k[1:] != k[:-1]) & (r[1:] == r[:-1])
+        key = words[at[order[busy]] + lo]
+        key[:, length - lo :] = 0
+        key, run = key.view(">u8").ravel(), run[busy]
+        apart = (key[1:] != key[:-1]) & (run[1:] == run[:-1])
+        if not apart.any():
+            continue
+        mixed = np.isin(run, run[1:][apart])
+        own, key, run = busy[mixed], key[mixed].astype(np.uint64), run[mixed]
+        by = np.lexsort((key, run))
+        order[own], key = order[own][by], key[by]
+        start[own[1:]] |= (key[1:] != key[:-1]) & (run[1:] == run[:-1])
     return order, np.cumsum(start) - 1
 
 
-def confirmed(data: np.ndarray, at: np.ndarray, order: np.ndarray, run: np.ndarray, length: int, rows: int = 20_000) -> np.ndarray:
-    """run, split wherever neighbours of a run differ in their bytes data[at : at + length]."""
-    same = np.flatnonzero(run[1:] == run[:-1])
-    if not len(same):
-        return run
-    windows = np.lib.stride_tricks.sliding_window_view(data, length)
-    split = np.zeros(len(run), np.int64)
-    for lo in range(0, len(same), rows):
-        i = same[lo : lo + rows]
-        split[i + 1] = (windows[at[order[i]]] != windows[at[order[i + 1]]]).any(axis=1)
-    return run + np.cumsum(split)
-
-
-def begins_of(data: list[bytes]) -> np.ndarray:
-    """Where each piece begins in the joined pieces."""
-    sizes = np.array([len(d) for d in data])
-    return np.cumsum(sizes) - sizes
-
-
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true flags."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _suffixes(data: list[bytes], anchor: list[int], length: int) -> tuple[np.ndarray, ...]:
-    """(block's number, suffix's place in it, offset from the anchor, hashes of either half) of all blocks' suffixes."""
-    half = length // 2
-    joined = np.frombuffer(b"".join(data), np.uint8)
-    roll = Rolling(joined)
+def _suffixes(data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block's number, place in the joined blocks) of all blocks' suffixes."""
     sizes = np.array([len(d) for d in data])
     counts = sizes - length + 1
-    begin = np.cumsum(sizes) - sizes
     block = np.repeat(np.arange(len(data)), counts)
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = begin[block] + place
-    return block, place, np.array(anchor)[block] - place, roll.spans(at, at + half), roll.spans(at + half, at + length)
+    return block, np.arange(len(block)) + block * (length - 1)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, local_blocks: int = LOCAL_BLOCKS) -> DataFrame:
@@ -180,14 +162,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, lo
 
         def judge(rows: list[tuple]) -> pa.RecordBatch:
             token, _, w, tk, n, p0, data = (list(c) for c in zip(*rows))
-            anchor = []
-            for d, t in zip(data, token):  # the anchor is where the token's own string stands
-                roll = Rolling(np.frombuffer(d, np.uint8))
-                anchor.append(int(np.flatnonzero(roll.windows(token_size).view(np.int64) == t)[0]))
-            block, place, offset, h1, h2 = _suffixes(data, anchor, length)
-            group = np.unique(np.array(token), return_inverse=True)[1].astype(np.int64)
-            order, run = multikey_equal([h1, h2, group[block] << 12 | offset])
-            run = confirmed(np.frombuffer(b"".join(data), np.uint8), begins_of(data)[block] + place, order, run, length)
+            block, at = _suffixes(data, length)
+            group = np.unique(np.array(token), return_inverse=True)[1]
+            order, run = multikey_sort(np.frombuffer(b"".join(data), np.uint8), at, length, group[block])
             weight = np.bincount(run, weights=np.array(w)[block[order]])
             repeat = np.zeros(len(block), bool)
             repeat[order] = weight[run] > 1
@@ -210,7 +187,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, lo
         if held:
             yield judge(held)
 
-    token_size = token
     sorted_pieces = pieces.where("not hot").select("token", "block", "w", "tk", "n", "p0", "bytes").repartitionByRange("token").sortWithinPartitions("token", "block")
     spans = whole.unionByName(sorted_pieces.mapInArrow(compare, "tk long, n int, a int, b int"))
     hot = pieces.where("hot")

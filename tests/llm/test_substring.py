@@ -69,3 +69,26 @@ def test_segments(monkeypatch):
     monkeypatch.setattr(substring, "SEGMENT", 700)
     token, block, first, end = substring.blocks_of(data, 400, 100)
     assert first[0] == 0 and end[-1] == 4601 and (first[1:] == end[:-1]).all()
+
+
+@pytest.mark.parametrize("length", [1, 8, 13, 40])
+def test_multikey_sort(length):
+    rng = np.random.default_rng(length)
+    data = rng.integers(0, 3, 3000).astype(np.uint8)
+    data[1500:1700] = data[100:300]
+    data[2000:2200] = 255
+    at, lead = rng.permutation(3000 - length + 1), rng.integers(0, 2, 3000 - length + 1)
+    order, run = substring.multikey_sort(data, at, length, lead)
+    keys = [(int(k), data[i : i + length].tobytes()) for k, i in zip(lead, at)]
+    ranked = [keys[i] for i in order]
+    assert sorted(order) == list(range(len(at))) and ranked == sorted(keys)
+    assert [int(r) for r in run] == [sorted(set(keys)).index(k) for k in ranked]
+
+
+def test_very_long_text_and_no_row(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh") for _ in range(2_300_000))  # beyond two segments of hashes
+    docs = spark.createDataFrame([(1, long), (2, long[1_048_000:1_049_200] + "!" * 399), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in substring.cut_repeats(docs).collect()}
+    assert got == {1: (2_300_000, 1200, 1), 2: (1599, 1200, 1), 3: (0, 0, 0)}
+    assert substring.cut_repeats(docs.where("false")).count() == 0
