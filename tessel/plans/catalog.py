@@ -754,14 +754,14 @@ def q_trailing_cov(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT CAST(range AS DATE) AS date, row_number() OVER (ORDER BY range) - 1 AS t FROM range(DATE '2019-01-01', DATE '2024-01-01', INTERVAL 1 DAY) WHERE isodow(range) < 6),
-c AS (SELECT i, t, date, (10 + i) * pow(1 + (1 + 0.00015::DOUBLE * i) * 0.0005::DOUBLE, t) * (1 + 0.02::DOUBLE * sin(t / 19.0::DOUBLE + i)) AS close FROM d CROSS JOIN (SELECT range AS i FROM range(8)))
-SELECT lpad(CAST(i + 1 AS VARCHAR), 6, '0') AS symbol, date, round(close * 0.999::DOUBLE, 6) AS open, round(close * 1.01::DOUBLE, 6) AS high, round(close * 0.99::DOUBLE, 6) AS low, round(close, 6) AS close, CAST(100000 + 1000 * i + 10 * t AS DOUBLE) AS volume,
-  round(close * (100000 + 1000 * i + 10 * t), 2) AS amount, round((close / lag(close) OVER (PARTITION BY i ORDER BY t) - 1) * 100, 6) AS pct_chg FROM c""",
-    chain=False,
+    """, d AS (SELECT symbol, date, CAST(symbol AS BIGINT) % 8 AS i, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS t FROM bars),
+c AS (SELECT symbol, date, i, t, (10 + i) * pow(1 + (1 + 0.00015::DOUBLE * i) * 0.0005::DOUBLE, t) * (1 + 0.02::DOUBLE * sin(t / 19.0::DOUBLE + i)) AS close FROM d)
+SELECT symbol, date, round(close * 0.999::DOUBLE, 6) AS open, round(close * 1.01::DOUBLE, 6) AS high, round(close * 0.99::DOUBLE, 6) AS low, round(close, 6) AS close, CAST(100000 + 1000 * i + 10 * t AS DOUBLE) AS volume,
+  round(close * (100000 + 1000 * i + 10 * t), 2) AS amount, round((close / lag(close) OVER (PARTITION BY symbol ORDER BY t) - 1) * 100, 6) AS pct_chg FROM c"""
 )
 def q_sample_panel(spark, sf_dir):
-    return rounded(sources.sample_panel(spark), 6, amount=2)
+    """Made-up prices for every symbol and day of the bars."""
+    return rounded(sources.sample_like(bars(spark, sf_dir)), 6, amount=2)
 
 
 @query(

@@ -43,8 +43,24 @@ def sample_panel(spark: SparkSession, symbols: int = 8, start: str = "2019-01-01
     days = spark.sql(f"SELECT explode(sequence(DATE'{start}', DATE'{end}')) AS date").where("weekday(date) < 5")
     steps = days.withColumn("t", F.row_number().over(by(order="date")) - 1)
     rows = F.broadcast(spark.range(symbols).withColumnRenamed("id", "i")).crossJoin(steps)
+    return _made_up(rows.withColumn("symbol", F.lpad((F.col("i") + 1).cast("string"), 6, "0")))
+
+
+def sample_like(bars: DataFrame, levels: int = 8) -> DataFrame:
+    """Deterministic bars for each symbol and day of given bars, to try a study on a panel of their shape.
+
+    A symbol's level is its number modulo levels (its length, if it is no number); its steps are its own days in order.
+    A symbol or date that is null drops out; repeated rows give one.
+    """
+    days = bars.select("symbol", "date").where("symbol IS NOT NULL AND date IS NOT NULL").distinct()
+    level = F.pmod(F.coalesce(F.expr("try_cast(symbol AS BIGINT)"), F.length("symbol").cast("long")), F.lit(levels))
+    return _made_up(days.withColumns({"i": level, "t": F.row_number().over(by("symbol", order="date")) - 1}))
+
+
+def _made_up(rows: DataFrame) -> DataFrame:
+    """Bars of rows (symbol, date, level i, step t)."""
     close = (10 + F.col("i")) * F.pow(1 + (1 + 0.00015 * F.col("i")) * 0.0005, F.col("t")) * (1 + 0.02 * F.sin(F.col("t") / 19 + F.col("i")))
-    rows = rows.select(F.lpad((F.col("i") + 1).cast("string"), 6, "0").alias("symbol"), "date", close.alias("close"), (100000 + 1000 * F.col("i") + 10 * F.col("t")).cast("double").alias("volume"))
+    rows = rows.select("symbol", "date", close.alias("close"), (100000 + 1000 * F.col("i") + 10 * F.col("t")).cast("double").alias("volume"))
     out = rows.withColumns({"open": F.col("close") * 0.999, "high": F.col("close") * 1.01, "low": F.col("close") * 0.99, "amount": F.col("close") * F.col("volume")})
     w = by("symbol", order="date")
     return out.withColumn("pct_chg", (F.col("close") / F.lag("close").over(w) - 1) * 100).select("symbol", "date", "open", "high", "low", "close", "volume", "amount", "pct_chg")

@@ -1,6 +1,7 @@
 """Sources, sinks, settings, manifests, acquisition, streaming and the command line."""
 
 import datetime as dt
+import math
 import json
 import zipfile
 from pathlib import Path
@@ -229,6 +230,16 @@ def test_sample_panel(spark):
     assert p[p["symbol"] == "000001"].sort_values("date")["close"].iloc[0] == pytest.approx(10.0)
 
 
+def test_sample_of_given_days(spark):
+    days = [("000002", "2020-01-03"), ("000002", "2020-01-01"), ("000002", "2020-01-03"), ("abc", "2020-01-02"), (None, "2020-01-02"), ("000001", None)]
+    given = spark.createDataFrame(days, "symbol string, date string").selectExpr("symbol", "CAST(date AS DATE) AS date", "1.0 AS close")
+    got = {(r["symbol"], str(r["date"])): r for r in made.sample_like(given).collect()}
+    assert sorted(got) == [("000002", "2020-01-01"), ("000002", "2020-01-03"), ("abc", "2020-01-02")]
+    assert got["000002", "2020-01-01"]["close"] == pytest.approx(12 * (1 + 0.02 * math.sin(2))) and got["000002", "2020-01-01"]["pct_chg"] is None
+    assert got["000002", "2020-01-03"]["volume"] == 102010.0 and got["abc", "2020-01-02"]["volume"] == 103000.0
+    assert made.sample_like(given.where("false")).count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(1, dt.datetime(2020, 1, d, h), float(d * 10 + h)) for d in (1, 2, 3, 9) for h in (9, 12)]
     spark.createDataFrame(rows, "user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/e")
