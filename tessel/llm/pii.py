@@ -6,8 +6,14 @@ which estimates the labelers' reliabilities without labels. Its posteriors are t
 classifier, trained on at most TRAIN_SPANS candidates; its verdict adds spans of the kinds ssn, local_phone, name and
 number to the base kinds email, ip, card and phone, which always stay.
 
+The gazetteers of names and mail endings are learnt: words that follow a title, and endings of addresses, in at least
+GAZETTEER_DOCUMENTS documents, of these the GAZETTEER_WORDS most frequent (all candidates are counted), beside a few
+fixed ones. A name that is found once is no evidence against it: its labeler abstains.
+
 Each text is read once: candidates are written to a shared table, where the model then judges them. Null texts are
-empty and have no span; repeated rows are scanned each; an empty table gives no row; extra columns are ignored.
+empty and have no span; very long texts are scanned whole, each at once; repeated rows are scanned each; an empty table
+gives no row; extra columns are ignored. Ties (of sampled spans' hashes and of gazetteer words' counts) go by doc_id,
+place and kind, and by the word.
 """
 
 from __future__ import annotations
@@ -21,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm._shared import materialize, pieces_of
+from tessel.llm._shared import discard, materialize, pieces_of
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "local_phone", "name", "number")
 BASE = 4
 #: Candidate spans that the classifier is trained on at most, drawn by hash from all documents' candidates.
 TRAIN_SPANS = 20_000
+#: Documents in which a name or ending stands to be learnt, and the number of learnt words of each kind at most.
+GAZETTEER_DOCUMENTS, GAZETTEER_WORDS = 2, 20_000
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9][0-9]*\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -44,6 +52,8 @@ ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
 CALLING = ("1", "33", "34", "39", "44", "49", "52", "54", "61", "81", "86", "91")
 GIVEN = frozenset("anna ben carlos claire david elena emma hans jean john juan karl laura lucia maria marie mary michael paul peter pierre sarah sofia thomas".split())
 LABELERS = ("regex", "gazetteer", "context", "shape", "isolation")
+#: Place of the gazetteer's vote among the classifier's features: after the constant, the kinds and four more.
+GAZETTEER_FEATURE = 1 + len(KINDS) + 4
 
 
 def luhn(digits: str) -> bool:
@@ -97,20 +107,27 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def gazetteer_words(text: str, start: int, kind: int, end: int) -> list[str]:
+    """What a gazetteer may know of a span: a name's words after the title, an address's ending."""
+    span = text[start:end].lower()
+    return span.split()[1:] if kind == 6 else [span.rsplit(".", 1)[-1]] if kind == 0 else []
+
+
 def votes_and_features(text: str, start: int, kind: int, end: int) -> tuple[list[int], list[float]]:
     """The labelers' votes (1 for, -1 against, 0 abstain) and the classifier's features of one span."""
     span = text[start:end]
     digits = "".join(c for c in span if "0" <= c <= "9")
     before = text[max(0, start - 48) : start]
-    regex = 1 if kind < BASE or kind == 4 else 0
+    known = gazetteer_words(text, start, kind, end)
+    regex = 1 if kind < BASE or kind == 4 or kind == 6 and len(known) > 1 else 0
     if kind == 0:
-        gazetteer = 1 if span.rsplit(".", 1)[-1].lower() in MAIL_ENDINGS else 0
+        gazetteer = 1 if known[0] in MAIL_ENDINGS else 0
     elif kind in (2, 7):
         gazetteer = 1 if digits.startswith(ISSUERS) else -1
     elif kind == 3:
         gazetteer = 1 if digits.startswith(CALLING) else -1
     elif kind == 6:
-        gazetteer = 1 if any(w.lower() in GIVEN for w in span.split()[1:]) else -1
+        gazetteer = 1 if any(w in GIVEN for w in known) else 0
     else:
         gazetteer = 0
     context = 1 if CUE.search(before) else -1 if COUNTER_CUE.search(before) else 0
@@ -165,14 +182,16 @@ def _shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-CANDIDATES = "array<struct<start:int,kind:int,end:int,pattern:int,features:array<float>>>"
+CANDIDATES = "array<struct<start:int,kind:int,end:int,pattern:int,features:array<float>,words:array<string>>>"
+
+
+SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32()), ("features", pa.list_(pa.float32())), ("words", pa.list_(pa.string()))])
 
 
 def extract_candidates(docs: DataFrame) -> DataFrame:
     """doc_id and its candidate spans, with the labelers' votes (as a base-3 number) and features."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32()), ("features", pa.list_(pa.float32()))])
         for whole in batches:
             for batch in pieces_of(whole, "text"):
                 out = []
@@ -180,14 +199,38 @@ def extract_candidates(docs: DataFrame) -> DataFrame:
                     found = []
                     for a, k, b in candidates(text or ""):
                         votes, features = votes_and_features(text, a, k, b)
-                        found.append({"start": a, "kind": k, "end": b, "pattern": sum((v + 1) * 3**i for i, v in enumerate(votes)), "features": features})
+                        found.append({"start": a, "kind": k, "end": b, "pattern": sum((v + 1) * 3**i for i, v in enumerate(votes)), "features": features, "words": gazetteer_words(text, a, k, b)})
                     out.append(found)
-                yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.list_(span))], names=["doc_id", "found"])
+                yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.list_(SPAN))], names=["doc_id", "found"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, found {CANDIDATES}")
 
 
+def learn_gazetteer(found: DataFrame, documents: int = GAZETTEER_DOCUMENTS, words: int = GAZETTEER_WORDS) -> dict[int, frozenset[str]]:
+    """Each kind's words that stand in enough documents' candidates; the most frequent, and of equals the first by letters."""
+    each = found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.kind", F.explode("s.words").alias("word")).distinct()
+    counted = each.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= documents)
+    return {k: frozenset(r["word"] for r in counted.where(F.col("kind") == k).orderBy(F.desc("c"), "word").limit(words).collect()) for k in (0, 6)}
+
+
+def with_gazetteer(found: DataFrame, gazetteer: dict[int, frozenset[str]]) -> DataFrame:
+    """Candidates whose gazetteer labeler abstained, but that hold a learnt word, get its vote."""
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans in batch.column("found").to_pylist():
+                for s in spans or ():
+                    if not s["features"][GAZETTEER_FEATURE] and any(w in gazetteer.get(s["kind"], ()) for w in s["words"]):
+                        s["features"][GAZETTEER_FEATURE] = 1.0
+                        s["pattern"] += 3 ** LABELERS.index("gazetteer")
+                out.append(spans)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.list_(SPAN))], names=["doc_id", "found"])
+
+    return found.mapInArrow(vote, found.schema)
+
+
 def train(found: DataFrame, train_spans: int = TRAIN_SPANS) -> np.ndarray | None:
     """The span classifier's weights from all candidates' vote patterns and a bounded sample; None without candidates."""
     spans = found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*")
@@ -206,7 +249,9 @@ def train(found: DataFrame, train_spans: int = TRAIN_SPANS) -> np.ndarray | None
 
 def find_pii(docs: DataFrame, train_spans: int = TRAIN_SPANS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for documents (doc_id, text)."""
-    found = materialize(extract_candidates(docs), "candidates")
+    seen = materialize(extract_candidates(docs), "candidates")
+    found = materialize(with_gazetteer(seen, learn_gazetteer(seen)), "labelled")
+    discard(seen)
     weights = train(found, train_spans)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
