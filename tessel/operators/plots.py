@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions.crosssections import is_large, pooled_quantiles
+from tessel.functions.crosssections import global_quantiles, is_large, pooled_quantiles
+from tessel.functions.tables import written
 
 
 def box_stats(df: DataFrame, value: str, *keys: str, reach: float = 1.5, spread: bool | None = None) -> DataFrame:
@@ -14,16 +15,19 @@ def box_stats(df: DataFrame, value: str, *keys: str, reach: float = 1.5, spread:
     Whiskers end at the outermost values within `reach` interquartile ranges of the box, or at the box where there are
     none; values beyond are counted as outliers. Nulls are left out; a group without values has no row.
     """
-    rows = df.select(F.struct(*keys).alias("__k") if keys else F.struct(F.lit(0).alias("all")).alias("__k"), F.col(value).cast("double").alias("__x")).where("__x is not null")
-    quarters = [0.25, 0.5, 0.75]
-    if is_large(rows, "__k") if spread is None else spread:
-        boxes = pooled_quantiles(rows.select("__k.*", "__x"), ["__x"], quarters, *(keys or ("all",))).withColumnRenamed("__x", "__q")
+    rows = df.select(F.struct(*keys).alias("__k") if keys else F.struct(F.lit(0).alias("all")).alias("__k"), F.col(value).cast("double").alias("__x"))
+    rows, quarters = written(rows, "boxes").where("__x is not null"), [0.25, 0.5, 0.75]
+    if not keys:
+        at = global_quantiles(rows, "__x", quarters, **({} if spread is None else {"small": 0 if spread else rows.count()}))
+        boxed = rows.withColumn("__q", F.array(*[F.lit(q).cast("double") for q in at]))
+    elif is_large(rows, "__k") if spread is None else spread:
+        boxed = rows.join(pooled_quantiles(rows.select("__k.*", "__x"), ["__x"], quarters, *keys).withColumnRenamed("__x", "__q"), "__k")
     else:
-        boxes = rows.groupBy("__k").agg(F.percentile("__x", F.array(*map(F.lit, quarters))).alias("__q"))
+        boxed = rows.join(rows.groupBy("__k").agg(F.percentile("__x", F.array(*map(F.lit, quarters))).alias("__q")), "__k")
     q1, median, q3 = (F.get("__q", F.lit(i)) for i in range(3))
     x, inner = F.col("__x"), reach * (q3 - q1)
     within = (x >= q1 - inner) & (x <= q3 + inner)
-    out = rows.join(boxes, "__k").groupBy("__k", q1.alias("q1"), median.alias("median"), q3.alias("q3")).agg(
+    out = boxed.groupBy("__k", q1.alias("q1"), median.alias("median"), q3.alias("q3")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.min(F.when(within, x)).alias("__lo"), F.max(F.when(within, x)).alias("__hi"), F.count_if(~within).alias("outliers")
     )
     low, high = F.least(F.coalesce("__lo", "q1"), F.col("q1")), F.greatest(F.coalesce("__hi", "q3"), F.col("q3"))

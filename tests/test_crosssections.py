@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ def test_zscores_and_quantiles(values):
     assert {k: (r["v"], r["u"]) for k, r in got.items()} == {r["k"]: (r["v"], r["u"]) for r in want}
 
 
+def test_values_at_ranks_by_narrowing(spark):
+    """Ties, infinities and values that no pivot meets; every range is narrowed until few values are left."""
+    rng = np.random.default_rng(3)
+    v = [*rng.standard_t(1, 3000), *[0.25] * 900, *[-np.inf] * 40, *[np.inf] * 30, *np.round(rng.normal(size=2000), 1)]
+    rows = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(3).persist()
+    ranks = {0, 1, 39, 40, 41, 700, 2500, 2985, 4000, len(v) - 31, len(v) - 30, len(v) - 1}
+    want = sorted(v)
+    for accuracy in (20, 10_000):
+        assert cs.values_at(rows, len(v), ranks, 5, accuracy) == {r: want[r] for r in ranks}
+
+
 def test_one_task_holds_one_bucket(values):
     rows = values.select(F.struct("k").alias("__g"), F.struct("v", "symbol").alias("__v"), F.lit(1).alias("__rows"))
     _, sizes = cs._placed(rows, 100, 1000)

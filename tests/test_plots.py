@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import udf
 
 from tessel.functions import crosssections
 from tessel.operators import plots
@@ -36,3 +37,16 @@ def test_bins(rows):
     assert got == {(i, j): int(n) for (i, j), n in np.ndenumerate(want) if n}
     assert plots.scatter_bins(rows.where("false"), "v", "w").count() == 0
     assert [(r["x_bin"], r["count"]) for r in plots.scatter_bins(rows.where("k = 'b'"), "v", "w").collect()] == [(0, 1)]
+
+
+@pytest.mark.parametrize("spread", [None, True])
+def test_a_box_computes_its_column_once(spark, spread):
+    seen = spark.sparkContext.accumulator(0)
+
+    def costly(x):
+        seen.add(1)
+        return x * 0.5
+
+    rows = spark.range(1000, numPartitions=2).select(udf(costly, "double")("id").alias("v"))
+    box = plots.box_stats(rows, "v", spread=spread).first()
+    assert (box["n"], box["q1"], box["median"], box["q3"], seen.value) == (1000, 124.875, 249.75, 374.625, 1000)
