@@ -59,6 +59,22 @@ def test_values_at_ranks_by_narrowing(spark):
         assert cs.values_at(rows, len(v), ranks, 5, accuracy) == {r: want[r] for r in ranks}
 
 
+@pytest.mark.parametrize("name, passes", [("describe", 1), ("outlier_flags", 2), ("winsorize_global", 2)])
+def test_whole_column_statistics_write_their_column(spark, name, passes):
+    """The column is computed once for its statistics, and once more for rows that are returned with it."""
+    from tessel.operators import cleaning
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def costly(x):
+        seen.add(1)
+        return x * 0.5
+
+    rows = spark.range(1000, numPartitions=2).select(F.udf(costly, "double")("id").alias("v"))
+    more = ["out"] if name == "winsorize_global" else []
+    assert getattr(cleaning, name)(rows, "v", *more).collect() and seen.value == 1000 * passes
+
+
 def test_one_task_holds_one_bucket(values):
     rows = values.select(F.struct("k").alias("__g"), F.struct("v", "symbol").alias("__v"), F.lit(1).alias("__rows"))
     _, sizes = cs._placed(rows, 100, 1000)
