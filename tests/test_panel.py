@@ -170,3 +170,26 @@ def test_fama_macbeth_is_least_squares(spark):
         assert got[t]["mean_coef"] == pytest.approx(own.mean()) and got[t]["t_stat"] == pytest.approx(own.mean() / (own.std(ddof=1) / 2))
     one = {r["term"]: r["mean_coef"] for r in research.fama_macbeth_single(spark.createDataFrame(p), "a", "r").collect()}
     assert one["slope"] == pytest.approx({r["term"]: r["mean_coef"] for r in research.fama_macbeth(spark.createDataFrame(p), ["a"], "r").collect()}["a"])
+
+
+def test_month_end_statistics_equal_daily_windows(spark, bars):
+    """With gaps, missing closes and constant stretches; each bar is computed once for the panel and what is read from it."""
+    gaps = bars.where("pmod(xxhash64(symbol, date), 11) > 0").withColumn("close", F.expr("CASE WHEN pmod(xxhash64(date), 7) = 0 THEN NULL WHEN year(date) = 2021 AND symbol < '000003' THEN 0.1 ELSE close END"))
+    columns = ("symbol", "date", "month_end", "close", "avg_dv_21", "ma_252", "sharpe_3m", "vol_21", "illiq_21")
+    want = factors.monthly_last(factors.daily_windows(gaps)).select(*columns)
+    for strict in (False, True):
+        got = factors.monthly_windows(gaps, strict=strict).select(*columns)
+        got, kept = (got.where("date = month_end"), want.where("date = month_end")) if strict else (got, want)
+        assert kept.count() and not got.exceptAll(kept).count() and not kept.exceptAll(got).count()
+
+
+def test_a_panel_computes_its_bars_once(spark, bars):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    panel = factors.factor_panel(bars.withColumn("close", F.udf(counted, "double")("close")), amounts=True)
+    assert factors.rank_ic(panel, ["z_VALUE", "z_SIZE"]).count() and panel.count()
+    assert seen.value == bars.count()
