@@ -23,7 +23,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.tables import remove, scratch_path
+from tessel.functions.tables import remove, scratch_path, written
 from tessel.functions.windows import nan_to_null
 from tessel.operators import portfolio
 
@@ -343,7 +343,7 @@ def optimize_panel(scores: DataFrame, lookback: int = 12, cost_bps: float = 15.0
     Names without a score or a realised return are out of the month. Turnover counts the month's names alone. Weights are
     equal where the cap can't hold or a score isn't finite; two rows of a source, month and symbol are an error.
     """
-    spark = scores.sparkSession
+    spark, scores = scores.sparkSession, written(scores.select("source", "month_end", "symbol", "score", "fwd_1m_ret"), "scores")
     options = {"risk_aversion": risk_aversion, "turnover_penalty": turnover_penalty, "concentration_penalty": concentration_penalty, "max_weight": max_weight}
     score, ret = F.nullif(F.col("score").cast("double"), F.lit(float("nan"))), nan_to_null(F.col("fwd_1m_ret").cast("double"))
     own = score.isNotNull() & ret.isNotNull()

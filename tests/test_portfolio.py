@@ -337,3 +337,16 @@ def test_logistic_splits_and_constant_features(spark):
     broken = validation.Split(0, tuple(months(8)[2:4]), tuple(months(8)[4:6]), "expanding", 0)
     with pytest.raises(ValueError, match="all months"):
         linear.fit_all(data, [broken], ("linear",), ["x"])
+
+
+def test_a_decision_computes_its_scores_once(spark, month):
+    seen = spark.sparkContext.accumulator(0)
+
+    def costly(x):
+        seen.add(1)
+        return x
+
+    rows = [("a", month(2020, m), f"s{i}", float(i % 3), 0.01 * i) for m in (1, 2, 3) for i in range(6)]
+    scores = spark.createDataFrame(rows, "source string, month_end date, symbol string, score double, fwd_1m_ret double")
+    found = decision.optimize_panel(scores.withColumn("score", F.udf(costly, "double")("score")))
+    assert found.count() == seen.value == len(rows)
