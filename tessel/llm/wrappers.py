@@ -42,8 +42,8 @@ from tessel.llm._shared import discard, materialize, pieces_of, small
 
 #: Share of pages from which an equal text is template, share of text from which a container is the main slot.
 CONSTANT, MAIN = 0.8, 0.7
-#: Depth from which elements go on as siblings, and cells of a matching from which children are matched in order alone.
-DEEPEST, MOST_CELLS = 200, 250_000
+#: Depth from which elements go on as siblings.
+DEEPEST = 200
 
 # Element names by their part in a page, from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -221,49 +221,38 @@ def walk(root: Node) -> Iterator[tuple[Node, Node | None, bool, bool]]:
 
 def match(a: Node, b: Node) -> dict[int, Node]:
     """Simple tree matching of two trees whose roots match: number of a's node -> b's node (a's nodes are numbered)."""
-    sizes: dict[tuple[int, int], tuple[int, list]] = {}
 
-    def weigh(x: Node, y: Node) -> int:
+    def weigh(x: Node, y: Node) -> tuple[int, list]:
+        """(weight, [(child of x, child of y, their own list)]); each pair is met once, as its parents are."""
         if not _alike(x, y):
-            return 0
+            return 0, []
         if x.tag == "#":
-            return 3 if x.text == y.text else 2
-        key = (id(x), id(y))
-        if key not in sizes:
-            m, n = len(x.children), len(y.children)
-            if m * n > MOST_CELLS:  # in order, each of the shorter list with the next that matches
-                picks, total, j = [], 0, 0
-                for i in range(m):
-                    k = next((k for k in range(j, min(n, j + 50)) if weigh(x.children[i], y.children[k])), None)
-                    if k is not None:
-                        picks.append((i, k))
-                        total, j = total + weigh(x.children[i], y.children[k]), k + 1
-            else:
-                best = [[0] * (n + 1) for _ in range(m + 1)]
-                for i in range(m):
-                    above, row, xc = best[i], best[i + 1], x.children[i]
-                    for j in range(n):
-                        w = weigh(xc, y.children[j])
-                        row[j + 1] = max(above[j + 1], row[j], above[j] + w if w else 0)
-                picks, i, j, total = [], m, n, best[m][n]
-                while i and j:
-                    if best[i][j] == best[i - 1][j]:
-                        i -= 1
-                    elif best[i][j] == best[i][j - 1]:
-                        j -= 1
-                    else:
-                        picks.append((i - 1, j - 1))
-                        i, j = i - 1, j - 1
-            sizes[key] = total + 2, picks
-        return sizes[key][0]
-
-    weigh(a, b)
-    out, todo = {}, [(a, b)]
+            return (3 if x.text == y.text else 2), []
+        m, n = len(x.children), len(y.children)
+        best, moves, below = [0] * (n + 1), [], {}  # a row of weights, and a byte for each cell's way back
+        for i in range(m):
+            row, way, xc = [0] * (n + 1), bytearray(n), x.children[i]
+            for j in range(n):
+                w, inner = weigh(xc, y.children[j])
+                row[j + 1] = top = max(best[j + 1], row[j], best[j] + w if w else 0)
+                way[j] = 0 if top == best[j + 1] else 1 if top == row[j] else 2
+                if way[j] == 2 and inner:
+                    below[i, j] = inner
+            best = row
+            moves.append(way)
+        picks, i, j = [], m, n
+        while i and j:
+            way = moves[i - 1][j - 1]
+            if way == 2:
+                picks.append((x.children[i - 1], y.children[j - 1], below.get((i - 1, j - 1), [])))
+            i, j = i - (way != 1), j - (way != 0)
+        return best[n] + 2, picks
+
+    out, todo = {}, [(a, b, weigh(a, b)[1])]
     while todo:
-        x, y = todo.pop()
+        x, y, picks = todo.pop()
         out[x.at] = y
-        if x.tag != "#":
-            todo += [(x.children[i], y.children[j]) for i, j in sizes[(id(x), id(y))][1]]
+        todo += picks
     return out
 
 

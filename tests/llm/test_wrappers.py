@@ -119,3 +119,13 @@ def test_wrapper_slot():
     slot = nodes[main_slot(nodes, chars)][0]
     assert [c.tag for c in slot.children] == ["p", "p"]
     assert extract(page, None) == "long text of the page\nmore of the text"
+
+
+def test_wide_lists_are_matched_as_narrow_ones():
+    """A long list whose like stands over 50 places further on: no size may switch to a coarser alignment."""
+    own, more = "".join(f"<h2>a{i}</h2>" for i in range(500)), "".join(f"<p>x{i}</p>" for i in range(60))
+    a, b = parse(f"<div>{own}</div>"), parse(f"<div>{more}{own}</div>")
+    for root in (a, b):
+        list(walk(root))
+    found = match(a, b)
+    assert sum(n.tag == "h2" for n in found.values()) == 500
