@@ -4,11 +4,13 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.functions import crosssections, windows
+from tessel.functions import crosssections, trailing, windows
 from tessel.operators import cleaning, factors, indicators, research
+from tessel.sources import bars as sources
 
 D = dt.date
 
@@ -193,3 +195,22 @@ def test_a_panel_computes_its_bars_once(spark, bars):
     panel = factors.factor_panel(bars.withColumn("close", F.udf(counted, "double")("close")), amounts=True)
     assert factors.rank_ic(panel, ["z_VALUE", "z_SIZE"]).count() and panel.count()
     assert seen.value == bars.count()
+
+
+def test_bars_to_month_ends_exchange_once(spark):
+    """Trades are dealt by symbol and sorted once; neither bars nor months' ends move or sort them again."""
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double"
+    plan = factors.monthly_windows(sources.bars_from_lineitem(spark.createDataFrame([], schema)), amounts=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1 and "ObjectHashAggregate" not in plan
+
+
+def test_month_ends_over_batches(bars):
+    """Batches that cut symbols and months anywhere give what one batch gives."""
+    rows = bars.select("symbol", "date", F.last_day("date").alias("month_end"), "close", F.when(F.dayofmonth("date") % 5 != 0, F.col("amount")).alias("dollar_vol"))
+    pdf = rows.withColumn("last", F.coalesce(F.last_day(F.lead("date").over(windows.by("symbol", order="date"))) != F.col("month_end"), F.lit(True))).toPandas().sort_values(["symbol", "date"])
+    whole = pa.Table.from_pandas(pdf, preserve_index=False)
+    run = lambda size, gathered: pa.Table.from_batches(trailing.month_ends(False, gathered)(iter(whole.to_batches(size)))).to_pandas()
+    want = run(10**6, 10**6)
+    assert len(want) == int(pdf["last"].sum()) and want["ma_252"].notna().sum() > 100
+    for size, gathered in ((7, 1), (500, 900), (1, 50)):
+        pd.testing.assert_frame_equal(run(size, gathered), want)
