@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.operators import decision, factors, linear, ml, portfolio, registry, research, stress, tuning, validation
+from tessel.operators import cleaning, decision, factors, linear, ml, portfolio, registry, research, stress, tuning, validation
 
 D = dt.date
 MONTHS = [D(2020, 1, 31), D(2020, 2, 29), D(2020, 3, 31)]
@@ -350,3 +350,12 @@ def test_a_decision_computes_its_scores_once(spark, month):
     scores = spark.createDataFrame(rows, "source string, month_end date, symbol string, score double, fwd_1m_ret double")
     found = decision.optimize_panel(scores.withColumn("score", F.udf(costly, "double")("score")))
     assert found.count() == seen.value == len(rows)
+
+
+def test_one_regime_plans_no_other(spark, bars, monkeypatch):
+    """A single regime makes no turnover, and cleaned bars are exchanged by symbol alone."""
+    p = factors.factor_panel(bars)
+    monkeypatch.setattr(portfolio, "turnover", lambda *a, **k: pytest.fail("turnover isn't asked for"))
+    assert stress.regimes(p, portfolio.scored_panel(p), bars.withColumn("pct_chg", F.lit(1.0)), only=("price_limit_filtered_return",)).count() == p.select("month_end").distinct().count()
+    plan = cleaning.clean_daily(bars)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
