@@ -352,6 +352,21 @@ def test_a_decision_computes_its_scores_once(spark, month):
     assert found.count() == seen.value == len(rows)
 
 
+def test_candidates_share_scores(spark, bars, monkeypatch):
+    """Places are made once for each score, and each candidate's row is the one that it has alone."""
+    seen, keep = [], tuning.__dict__.get("written", lambda df, name: df)
+    monkeypatch.setattr(tuning, "written", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    panel, splits = factors.factor_panel(bars).persist(), {"train_end": "2021-06-30", "valid_end": "2022-03-31", "test_start": "2022-04-01"}
+    weights = [{"z_VALUE": 1.0}, {"z_VALUE": 1.0, "z_SIZE": 1.0}]
+    out = tuning.evaluate(panel, tuning.grid(spark, [1.0, 5.0], [0.0, 0.1], [0.2, 0.5], weights), splits).toPandas().drop(columns="candidate_id")
+    assert seen[0].count() == 4 * panel.count()
+    for risk, penalty, quantile, w in ((5.0, 0.1, 0.5, weights[1]), (1.0, 0.0, 0.2, weights[0])):
+        alone = tuning.evaluate(panel, tuning.grid(spark, [risk], [penalty], [quantile], [w]), splits).toPandas().drop(columns="candidate_id")
+        same = out[(out["risk_aversion"] == risk) & (out["turnover_penalty"] == penalty) & (out["top_quantile"] == quantile) & (out["factor_weights_json"] == alone["factor_weights_json"][0])]
+        order = lambda df: df.sort_values("split").reset_index(drop=True)
+        pd.testing.assert_frame_equal(order(same), order(alone))
+
+
 def test_one_regime_plans_no_other(spark, bars, monkeypatch):
     """A single regime makes no turnover, and cleaned bars are exchanged by symbol alone."""
     p = factors.factor_panel(bars)
