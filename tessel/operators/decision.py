@@ -4,9 +4,12 @@ A month's weights depend on the month before, so a score source is a sequence of
 a month the work is spread over its names: the covariance comes from a few past months, so the optimum is described by
 one price for each of them and one for the sum of weights. Those dozen prices live on the driver, each Newton step on the
 dual is one aggregate over the month's names, and given the prices each name's weight is a formula of its own row. The
-weights are written and joined to the next month's names. No task holds a month, let alone a panel. Where the steps start
-is found on a sample of START_NAMES names at most, each standing for its share of them; it decides how many passes follow,
-not what they end at.
+weights are written and joined to the next month's names. No task holds a month, let alone a panel.
+
+Few names get a weight, and which ones decides the prices. So the prices are found on a few names first (START_NAMES, drawn
+by hash) by an interior point method; a pass over the month sums the dual there and returns the names that would get a
+weight at these prices, which join the few until no name is left out. Where the few would become more than HELD_NAMES, the
+steps on the dual go on from there. The sums over all names alone tell when a month is solved.
 
 optimal_weights solves one month whose names are at hand as arrays, as a function of its own and as a check of the rest.
 """
@@ -19,6 +22,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,8 +33,10 @@ from tessel.operators import portfolio
 
 #: Names of a month that one task takes, about.
 TASK_NAMES = 100_000
-#: Names of a month, drawn by hash, that the steps' start is found on.
+#: Names of a month, drawn by hash, that its prices are first found on.
 START_NAMES = 1_000
+#: Names that a task adds to these in a pass, and names that the driver holds at most.
+NEW_NAMES, HELD_NAMES = 1_000, 20_000
 
 
 def _prox(v: np.ndarray, before: np.ndarray, penalty: float, cap: float) -> np.ndarray:
@@ -249,7 +255,7 @@ def _summed(names: DataFrame, points: list[np.ndarray], terms: Terms, k: int) ->
     return total
 
 
-def climb(summed: Callable[[list[np.ndarray]], np.ndarray], points: list[np.ndarray], terms: Terms, k: int, tolerance: float, steps: int = 200) -> Point:
+def climb(summed: Callable[[list[np.ndarray]], np.ndarray], points: list[np.ndarray], terms: Terms, k: int, tolerance: float, steps: int = 2_000) -> Point:
     """The maximiser of a month's dual from the best of `points`: Newton steps, each tried at several lengths in one pass."""
     best, shrink, sizes = None, 1.0, [2.0**-i for i in range(10)]
     for _ in range(steps):
@@ -269,18 +275,113 @@ def climb(summed: Callable[[list[np.ndarray]], np.ndarray], points: list[np.ndar
     return best
 
 
+def interior_prices(names: tuple[np.ndarray, np.ndarray, np.ndarray], terms: Terms, k: int, tolerance: float = 1e-10, steps: int = 100) -> np.ndarray:
+    """The prices of a few names by a predictor-corrector interior point method, close to the dual's maximiser.
+
+    Each name's weight is what it held, plus what is bought, less what is sold; both have bounds and the same curvature.
+    """
+    expected, before, past = names
+    before, curve = np.minimum(before, terms.cap), terms.curve
+    buys, sells = np.flatnonzero(before < terms.cap), np.flatnonzero(before > 0)
+    who, sign = np.concatenate([buys, sells]), np.repeat([1.0, -1.0], [len(buys), len(sells)])
+    most = np.where(sign > 0, terms.cap - before[who], before[who])
+    cost = sign * (curve * before[who] - expected[who]) + terms.penalty
+    pulls = np.column_stack([-past[:, :k], np.ones(len(expected))])
+    unit = np.abs(pulls).max(axis=0)
+    unit[unit == 0] = 1.0
+    want, own = (np.append(np.zeros(k), 1.0) - before @ pulls) / unit, np.append(np.full(k, terms.own), 0.0) / unit**2
+    pulls, large = sign[:, None] * pulls[who] / unit, 1 + np.abs(cost).max()
+    x, prices = most / 2, np.zeros(k + 1)
+    low, high = np.full(len(x), large), np.full(len(x), large)  # multipliers of the bounds
+
+    def room(v: np.ndarray, step: np.ndarray) -> float:
+        return float((-v[step < 0] / step[step < 0]).min(initial=1.0))
+
+    for _ in range(steps):
+        rest, gap = most - x, float(x @ low + (most - x) @ high)
+        slope, off = curve * x + cost - pulls @ prices - low + high, pulls.T @ x + own * prices - want
+        if gap < tolerance / 100 * large and max(np.abs(slope).max() / large, np.abs(off).max()) < tolerance:
+            break
+        bend = curve + low / x + high / rest
+        matrix = (pulls.T / bend) @ pulls + np.diag(own)
+        matrix += 1e-15 * np.diag(np.diag(matrix))
+
+        def move(to_low, to_high) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            pulled = slope + low - to_low / x - high + to_high / rest
+            d = np.linalg.solve(matrix, pulls.T @ (pulled / bend) - off)
+            dx = (pulls @ d - pulled) / bend
+            return d, dx, (to_low - low * (x + dx)) / x, (to_high - high * (rest - dx)) / rest
+
+        _, dx, dl, dh = move(0.0, 0.0)
+        a, b = min(room(x, dx), room(rest, -dx)), min(room(low, dl), room(high, dh))
+        after = (x + a * dx) @ (low + b * dl) + (rest - a * dx) @ (high + b * dh)
+        centre = (after / gap) ** 3 * gap / (2 * len(x))
+        d, dx, dl, dh = move(centre - dx * dl, centre + dx * dh)
+        size = 0.995 * min(room(x, dx), room(rest, -dx), room(low, dl), room(high, dh))
+        if not np.isfinite(d).all() or size < 1e-12:
+            break
+        x, low, high, prices = x + size * dx, low + size * dl, high + size * dh, prices + size * d
+        if min(x.min(), (most - x).min(), low.min(), high.min()) <= 0:  # as far as the numbers' precision goes
+            break
+    return prices / unit
+
+
+def _wanted(names: DataFrame, known: pa.Array, prices: np.ndarray, terms: Terms, k: int) -> tuple[np.ndarray, pa.Table]:
+    """_sums at one point over a month's names in Spark, and NEW_NAMES other names than the known at most that get a weight there, by their pull."""
+    most, schema = NEW_NAMES, "sums array<double>, symbol string, score double, before double, past array<double>, pull double"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kept = np.zeros((1, 3 + 2 * k + k * k)), None
+        for batch in batches:
+            own = expected, held, past = _columns(batch, k)
+            total += _sums(own, [prices], terms, k)
+            pull = expected - past @ prices[:k] + prices[k]
+            weighty = terms.weights(pull, np.minimum(held, terms.cap)) > 0
+            found = pa.Table.from_batches([batch]).append_column("pull", pa.array(pull)).filter(pa.array(weighty))
+            found = found.filter(pc.invert(pc.is_in(found.column("symbol"), known)))
+            kept = found if kept is None else pa.concat_tables([kept, found])
+            if kept.num_rows > most:
+                kept = kept.sort_by([("pull", "descending"), ("symbol", "ascending")]).slice(0, most).combine_chunks()
+        none = pa.nulls(1, pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(total.tolist(), pa.list_(pa.float64())), pa.nulls(1, pa.string()), none, none, pa.nulls(1, pa.list_(pa.float64())), none], ["sums", "symbol", "score", "before", "past", "pull"])
+        if kept is not None:
+            past = pa.array(kept.column("past").to_pylist(), pa.list_(pa.float64()))
+            yield from pa.table({"sums": pa.nulls(kept.num_rows, past.type), "symbol": kept.column("symbol").cast(pa.string()), "score": kept.column("score"), "before": kept.column("before"), "past": past, "pull": kept.column("pull")}).to_batches()
+
+    out = names.select("symbol", "score", "before", "past").mapInArrow(partial, schema).toArrow()
+    sums = np.array([s for s in out.column("sums").to_pylist() if s is not None]).sum(axis=0)
+    found = out.filter(out.column("sums").is_null()).sort_by([("pull", "descending"), ("symbol", "ascending")])
+    return sums, found.slice(0, most).select(["symbol", "score", "before", "past"])
+
+
 def dual_prices(names: DataFrame, n: int, terms: Terms, k: int, low: float, high: float, sample: int | None = None) -> Point:
-    """The maximiser of the dual of a month's n names, whose expected values lie between low and high."""
+    """The maximiser of the dual of a month's n names, whose expected values lie between low and high; with no sample, by steps over all names alone."""
     sample = START_NAMES if sample is None else sample
     reach = terms.curve * (terms.cap + 1) + terms.penalty
     points = [np.append(np.zeros(k), x) for x in np.linspace(-high - reach, reach - low, 24)]
     tolerance = 1e-11
     if sample:
-        drawn = names.where(F.pmod(F.xxhash64("symbol"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))).select("score", "before", "past").toArrow().combine_chunks()
-        if drawn.num_rows:
-            few = _columns(drawn.to_batches()[0], k)
-            tolerance *= 1 + np.abs(few[2]).max(initial=0.0)
-            points = [climb(lambda p: _sums(few, p, terms, k) * (n / drawn.num_rows), points, terms, k, tolerance).prices, *points[::6]]
+        draw = min(1.0, max(sample, min(4 / terms.cap, HELD_NAMES)) / n)  # so many that their caps leave room for a sum of 1
+        few = names.where(F.pmod(F.xxhash64("symbol"), F.lit(1 << 30)) < int(draw * (1 << 30))).select("symbol", "score", "before", "past").toArrow()
+        drawn = _columns(few.combine_chunks().to_batches()[0], k) if few.num_rows else None
+        start: list[np.ndarray] = []
+        while few.num_rows and few.num_rows <= HELD_NAMES and few.num_rows * terms.cap > 1:
+            own = _columns(few.combine_chunks().to_batches()[0], k)
+            tolerance = 1e-11 * (1 + np.abs(own[2]).max(initial=0.0))
+            near = climb(lambda p: _sums(own, p, terms, k), [interior_prices(own, terms, k)], terms, k, tolerance)
+            known = few.column("symbol").combine_chunks()
+            sums, new = _wanted(names, known, near.prices, terms, k)
+            best = _point(near.prices, sums, terms, k)
+            if best.steepness() < tolerance:
+                return best
+            start = [near.prices]
+            if not new.num_rows:
+                break
+            few = pa.concat_tables([few, new.cast(few.schema)])
+        if drawn:  # too many names have a weight: each drawn one stands for its share
+            tolerance = max(tolerance, 1e-11 * (1 + np.abs(drawn[2]).max(initial=0.0)))
+            share = n / len(drawn[0])
+            points = [*start, climb(lambda p: _sums(drawn, p, terms, k) * share, points, terms, k, tolerance).prices, *points[::6]]
     best = climb(lambda p: _summed(names, p, terms, k), points, terms, k, tolerance)
     if best.steepness() > 1e-6 * (1 + tolerance * 1e11):
         raise ArithmeticError(f"the weights' prices did not settle: {best.steepness()}")

@@ -248,6 +248,50 @@ def test_month_sequence_over_tasks(spark, monkeypatch, sample, size):
         assert both[c].notna().all() and np.allclose(both[c], both[f"{c}_found"], atol=1e-8, rtol=0)
 
 
+def uneven_month(spark, n, seed):
+    """A month's names with heavy-tailed pasts, of which only a few are worth holding, and what _sums takes of them."""
+    rng = np.random.default_rng(seed)
+    past = np.minimum(rng.lognormal(0, 2.5, (n, 12)) / rng.lognormal(0, 2.5, (n, 12)), 1e4)
+    past, score, before = (past - past.mean(axis=1, keepdims=True)) / np.sqrt(11), rng.normal(0, 0.5, n), np.zeros(n)
+    before[rng.choice(n, 10, replace=False)] = 0.1
+    rows = pd.DataFrame({"symbol": [f"{i:06d}" for i in range(n)], "score": score, "before": before, "past": past.tolist()})
+    return spark.createDataFrame(rows, "symbol string, score double, before double, past array<double>").persist(), (score, before, past)
+
+
+def gap_of(point, names, terms, ra):
+    """What the weights at a point's prices cost above the dual's value there: none but at the optimum. And their sum."""
+    score, before, past = names
+    before = np.minimum(before, terms.cap)
+    w = terms.weights(score - past @ point.prices[:12] + point.prices[12], before)
+    risk = w @ past
+    return terms.curve / 2 * w @ w - score @ w + terms.penalty * np.abs(w - before).sum() + ra * risk @ risk - point.value, w.sum()
+
+
+@pytest.mark.parametrize("seed", [2, 5])
+def test_a_month_settles_in_few_passes(spark, seed):
+    names, columns = uneven_month(spark, 4_000, seed)
+    terms = decision.Terms.of(12, 5.0, 0.05, 0.01, 0.25)
+    spark.sparkContext.setJobGroup(f"uneven{seed}", "")
+    try:
+        best = decision.dual_prices(names, 4_000, terms, 12, columns[0].min(), columns[0].max())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"uneven{seed}"))
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert np.allclose(gap_of(best, columns, terms, 5.0), (0.0, 1.0), atol=1e-6) and jobs <= 15
+
+
+@pytest.mark.parametrize("new,held", [(20, 20_000), (100, 150)])
+def test_more_names_than_the_driver_holds(spark, monkeypatch, new, held):
+    """The same optimum where names join a few at a time, and by steps over all names where they are too many."""
+    monkeypatch.setattr(decision, "START_NAMES", 100)
+    monkeypatch.setattr(decision, "NEW_NAMES", new)
+    monkeypatch.setattr(decision, "HELD_NAMES", held)
+    names, columns = uneven_month(spark, 600, 1)
+    terms = decision.Terms.of(12, 5.0, 0.05, 0.01, 0.02)
+    best = decision.dual_prices(names.repartition(3), 600, terms, 12, columns[0].min(), columns[0].max())
+    assert np.allclose(gap_of(best, columns, terms, 5.0), (0.0, 1.0), atol=1e-6)
+
+
 def test_odd_months_of_the_sequence(spark):
     schema = "source string, month_end date, symbol string, score double, fwd_1m_ret double"
     few = [("a", MONTHS[0], "x", 1.0, 0.1), ("a", MONTHS[0], "y", float("inf"), 0.2), ("a", MONTHS[1], "x", 1.0, 0.1), ("a", MONTHS[2], "z", float("nan"), 0.1)]
